@@ -12,14 +12,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mitoloom.llm.shared import new_folder, pick
-from mitoloom.llm.words import pieces
+from mitoloom.llm.words import WordTable, pieces, ranges
 
-CACHED_WORDS = 400_000
+#: Entries in each of the two generations of a task's caches: of words, and of the runs of letters and the like in them.
+CACHED_WORDS, CACHED_RUNS = 250_000, 350_000
+
+#: Words that are cut into runs.
+LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+
+
+#: Byte-level vocabularies write each byte as a letter: printable Latin-1 as itself, the other bytes as U+0100 and on, in order.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(0x100) if b not in PRINTABLE)}
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -27,11 +37,35 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+class Cache(dict):
+    """A dictionary of bounded size: when it is full, it starts anew, but keeps what is used of its previous generation."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys) -> list[str]:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out, old = [], self.old
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class WordEncoder:
-    """Encodes texts through a bounded cache of the ids of space-separated words.
+    """Encodes texts with the tokenizers library, through bounded caches of what it gave for words and for runs within words.
 
-    Cutting at spaces and line feeds changes no id for vocabularies that drop white space before merging; the
-    constructor tests that on the tokenizer's own settings and else encodes whole texts.
+    Where a vocabulary's own settings cut texts into runs by a pattern that no run with white space matches, and drop the white
+    space, a text's ids are those of its words, one after another, and a word's are those of its runs. Words are cut at
+    ASCII white space. Runs are used for words of Latin letters, digits and signs up to U+024F but U+0130, which lower-case one
+    by one and are their own composed form; other words are encoded whole, as are texts that hold a special token, and all
+    texts for vocabularies without such settings.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -41,33 +75,64 @@ class WordEncoder:
         self.dtype = np.dtype(dtype)
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
-        dropped = [s for s in (settings.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
-        self.by_word = bool(dropped) and r"[^\s" in dropped[0]["pattern"].get("Regex", "") and not settings.get("post_processor")
+        dropped = [s["pattern"].get("Regex", "") for s in (settings.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
+        kinds = [s.get("type") for s in (settings.get("normalizer") or {}).get("normalizers", [])]
+        last = ((settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
+        self.by_word = last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and len(dropped) == 1 and r"[^\s" in dropped[0] and not settings.get("post_processor") and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        if self.by_word:  # the same pattern for the standard library, within the range of LATIN
+            members = {k: "".join(chr(c) for c in range(0x250) if regex.match(rf"\p{{{k}}}", chr(c))) for k in "LN"}
+            self.run = re.compile(re.sub(r"\[\\p\{([LN])\}\]", r"\\p{\1}", dropped[0]).replace(r"\p{L}+", f"[{members['L']}]+").replace(r"|\p{N}|", f"|[{members['N']}]|").replace(r"\p{L}", members["L"]).replace(r"\p{N}", members["N"]))
+        self.lower = "Lowercase" in kinds
         self.special = [t["content"] for t in settings.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {"": b""}
+        self.words, self.runs = Cache(CACHED_WORDS), Cache(CACHED_RUNS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode(texts)
-        whole = [any(s in t and re.search(r"\s", s) for s in self.special) for t in texts]  # special tokens with spaces in them span words
-        split = [re.split("[ \n]", t) if not w else [] for t, w in zip(texts, whole, strict=True)]
-        cache = self.cache
-        missing = list({word for words in split for word in words if word not in cache})
-        if len(cache) + len(missing) > CACHED_WORDS:
-            cache = self.cache = {"": b""}
-            missing = list({word for words in split for word in words if word})
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            cache.update(zip(some, self._encode(some), strict=True))
-        out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        if any(whole):
-            at = [i for i, w in enumerate(whole) if w]
-            for i, ids in zip(at, self._encode([texts[i] for i in at]), strict=True):
-                out[i] = ids
-        return out
+    def _learn(self, missing: list[str], to: dict) -> None:
+        for at in range(0, len(missing), 1_000):
+            some = missing[at : at + 1_000]
+            to.update(zip(some, self._encode(some), strict=True))
+
+    def _model(self, runs: list[str]) -> list[bytes]:
+        """Runs straight through the library's merge model: they are normalised and cut already, so only the bytes' letters are due."""
+        tokenize, dtype = self.tokenizer.model.tokenize, self.dtype
+        return [np.array([t.id for t in tokenize(r if r.isascii() else r.encode().decode("latin-1").translate(BYTE_LETTERS))], dtype=dtype).tobytes() for r in runs]
+
+    def _words(self, vocabulary: list[str]) -> list[bytes]:
+        missing = self.words.missing(vocabulary)
+        cut = {w: self.run.findall(w.lower() if self.lower else w) for w in missing if (w.isascii() and w.isprintable()) or LATIN.fullmatch(w)}
+        runs = self.runs
+        unknown = runs.missing({r for rs in cut.values() for r in rs})
+        runs.update(zip(unknown, self._model(unknown), strict=True))
+        self.words.update((w, runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs])) for w, rs in cut.items())
+        self._learn([w for w in missing if w not in cut], self.words)
+        words = self.words
+        return [words[w] for w in vocabulary]
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids), each text's followed by ``end``."""
+        texts = pc.fill_null(texts, "")
+        whole = np.ones(len(texts), dtype=bool)
+        if self.by_word:
+            whole = np.zeros(len(texts), dtype=bool)
+            for s in self.special:
+                whole |= np.asarray(pc.match_substring(texts, s))
+        table = WordTable(pc.if_else(pa.array(whole), "", texts), lower=None)
+        at = np.flatnonzero(whole)
+        values = [*self._words(table.vocabulary), *self._encode([texts[int(i)].as_py() for i in at]), end]
+        n = len(table.vocabulary)
+        # a text that is encoded whole is one word of its own, and the end is a word that every text has
+        rows = np.arange(len(texts))
+        order = np.argsort(np.concatenate([np.repeat(rows, table.counts), at, rows]), kind="stable")
+        codes = np.concatenate([table.codes, n + np.arange(len(at)), np.full(len(texts), n + len(at))])[order]
+        counts = table.counts + whole + 1
+        sizes = np.array([len(v) for v in values], dtype=np.int64) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(values), self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        ids = flat[ranges(starts[codes], sizes[codes])]
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.cumsum(counts)]
+        return np.diff(ends, prepend=0), ids
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, dtype: str = "uint16") -> list[dict]:
@@ -89,20 +154,19 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, *, id_col: str
         store.create_dir(root, recursive=True)
         encoder, own = WordEncoder(tokenizer, dtype), uuid.uuid4().hex
         end = b"" if end_id is None else np.asarray([end_id], dtype=dtype).tobytes()
-        width, at, docs = np.dtype(dtype).itemsize, 0, 0
+        at, docs = 0, 0
         if encoder.tokenizer.get_vocab_size() - 1 > limit or (end_id or 0) > limit:
             raise ValueError(f"ids of this vocabulary do not fit in {dtype}")
         offsets, ids, known = io.BytesIO(), io.BytesIO(), io.BytesIO()
         with store.open_output_stream(f"{root}/.{own}.ids") as out:
             for batch in pieces(batches, limit=1 << 20):
-                encoded = encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())
-                lengths = np.fromiter(((len(e) + len(end)) // width for e in encoded), dtype=np.int64, count=len(encoded))
-                out.write(b"".join(x for e in encoded for x in (e, end)))
+                lengths, encoded = encoder.encode(batch.column("text"), end)
+                out.write(encoded.astype(np.dtype(dtype).newbyteorder("<")).tobytes())
                 offsets.write((at + np.concatenate([[0], np.cumsum(lengths)[:-1]])).astype("<i8").tobytes())
                 column = batch.column("doc_id")
                 ids.write(pc.fill_null(column, 0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 known.write(np.asarray(column.is_valid(), dtype=np.uint8).tobytes())
-                at, docs = at + int(lengths.sum()), docs + len(encoded)
+                at, docs = at + int(lengths.sum()), docs + batch.num_rows
         if not docs:
             store.delete_file(f"{root}/.{own}.ids")
             return
