@@ -132,7 +132,7 @@ def train(df: DataFrame, *, most: int = 700, id_col: str = "doc_id", text_col: s
     """
     rows = pick(df, doc_id=id_col, text=text_col, lang=label_col).withColumns({"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string")})
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(bucket(F.col("doc_id"), holdout) != held)
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy("lang").collect()]
+    found = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1 << 20):
@@ -141,13 +141,21 @@ def train(df: DataFrame, *, most: int = 700, id_col: str = "doc_id", text_col: s
                 counts = table.dense(i)
                 at = np.flatnonzero(counts)
                 out.append(at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], names=["lang", "profile"])
-
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("lot"), pa.array(out, pa.binary())], names=["lang", "lot", "profile"])
+
+    # one pass: a share of each language by the id's hash that gives twice the bound at most, of which the lowest hashes stay
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, 1.5 * most / n) * (1 << 20)) + 1)) for k, n in sorted(found.items())]) if found else F.lit(0)
+    sample = rows.where(lot < share).select("lang", lot.alias("lot"), "text").mapInArrow(profile, "lang string, lot long, profile binary")
+    by_language: dict[str, list[tuple[int, bytes]]] = {}
+    for row in sample.toLocalIterator():
+        held = by_language.setdefault(row.lang, [])
+        held.append((row.lot, row.profile))
+        if len(held) > 2 * most:
+            by_language[row.lang] = sorted(held)[:most]
     x, y = [], []
-    for language in languages:  # a bounded sample of each; the heap keeps ids only
-        ids = rows.where(F.col("lang") == language).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        sample = rows.where(F.col("lang") == language).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(profile, "lang string, profile binary")
-        for raw in sorted(r.profile for r in sample.toLocalIterator()):
+    for language, held in sorted(by_language.items()):
+        for _, raw in sorted(held)[:most]:
             n = len(raw) // 6
             dense = np.zeros(DIMENSIONS, dtype=np.float32)
             dense[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)

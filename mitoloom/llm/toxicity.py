@@ -80,9 +80,10 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
     theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     theta[d] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        sp, su = _sigmoid(positive @ theta[:d] + theta[d]), _sigmoid(unlabelled @ theta[:d] + theta[d])
+        w = theta[:d].astype(positive.dtype)
+        sp, su = _sigmoid(positive @ w + theta[d]), _sigmoid(unlabelled @ w + theta[d])
         negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        back = lambda x, g: np.r_[g @ x, g.sum()] / len(g)
+        back = lambda x, g: np.r_[g.astype(x.dtype) @ x, g.sum()] / len(g)
         g_negative = back(unlabelled, su) - prior * back(positive, sp)
         g = prior * back(positive, sp - 1) + g_negative if negative >= -slack else -g_negative
         g[:d] += decay * theta[:d]
