@@ -19,7 +19,7 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
     "pileup": ("lineitem", ["'1' AS contig", "CAST(l_partkey AS INT) AS pos", "concat('s', CAST(l_suppkey % 10 AS STRING)) AS sample", "l_returnflag AS allele", "CASE l_linestatus WHEN 'F' THEN '+' ELSE '-' END AS strand", "CAST(floor(l_quantity) AS INT) AS qual", "CAST(floor(l_discount * 600 + 0.5) AS INT) AS mapq", "l_orderkey AS read_id", "l_linenumber AS rank_in_read"], "true"),
     "reads": ("orders", ["concat('s', CAST(o_custkey % 5 AS STRING)) AS sample", "concat('q', CAST(floor(o_orderkey / 2) AS STRING)) AS qname", "CAST((o_orderkey * 37) % 4096 AS INT) AS flag", "concat('chr', CAST(o_custkey % 7 AS STRING)) AS rname", "CAST(o_orderkey % 16000 AS INT) AS pos", "CAST(o_custkey % 61 AS INT) AS mapq", "concat('chr', CAST((o_custkey + (o_orderkey % 3)) % 7 AS STRING)) AS rnext", "CASE o_orderkey % 6 WHEN 0 THEN '10M' WHEN 1 THEN '5M2I5M' WHEN 2 THEN '4S8M' WHEN 3 THEN '6M3D6M' WHEN 4 THEN '3M1I2M1D4M' ELSE '2H6M2S' END AS cigar", "substring('ACGTTGCAACGTNACGTAGC', 1 + CAST(o_orderkey % 6 AS INT), CASE o_orderkey % 6 WHEN 0 THEN 10 WHEN 1 THEN 12 WHEN 2 THEN 12 WHEN 3 THEN 12 WHEN 4 THEN 10 ELSE 8 END) AS seq", "substring('ABCDEFGHIJKLMNOPQRST', 1 + CAST(o_orderkey % 6 AS INT), CASE o_orderkey % 6 WHEN 0 THEN 10 WHEN 1 THEN 12 WHEN 2 THEN 12 WHEN 3 THEN 12 WHEN 4 THEN 10 ELSE 8 END) AS qual", "o_orderkey AS read_id"], "true"),
     "pedigree": ("customer", ["concat('F', CAST(c_nationkey AS STRING)) AS fam", "CAST(c_custkey AS STRING) AS child", "CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS STRING) AS father", "CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS STRING) AS mother", "c_custkey AS line"], "true"),
-    "pairs": ("lineitem", ["CAST(l_partkey % 16569 + 1 AS INT) AS pos", "concat('F', CAST(l_suppkey % 7 AS STRING)) AS fam", "concat('M', CAST(l_suppkey % 50 AS STRING)) AS mother", "concat('C', CAST(l_orderkey % 97 AS STRING)) AS child", "CAST(floor(l_quantity) * 20 AS INT) AS m_dp", "CAST(floor(floor(l_quantity) * 20 * (0.02 + l_discount * 9)) AS INT) AS m_alt", "CAST(100 + floor(l_tax * 1000 + 0.5) AS INT) AS c_dp", "CAST(floor((100 + floor(l_tax * 1000 + 0.5)) * greatest(0.0, least(1.0, 0.02 + l_discount * 9 + (l_partkey % 41 - 20) / 100.0))) AS INT) AS c_alt", "CASE WHEN l_linenumber = 7 THEN 'LOW_DEPTH' ELSE 'PASS' END AS qc", "l_orderkey AS row_a", "l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS row_b"], "true"),
+    "pairs": ("lineitem", ["CAST(l_partkey % 16569 + 1 AS INT) AS pos", "concat('F', CAST(l_suppkey % 7 AS STRING)) AS fam", "concat('M', CAST(l_suppkey % 50 AS STRING)) AS mother", "concat('C', CAST(l_orderkey % 97 AS STRING)) AS child", "CAST(floor(l_quantity) * 20 AS INT) AS m_dp", "CAST(floor(floor(l_quantity) * 20 * (0.02 + l_discount * 9)) AS INT) AS m_alt", "CAST(100 + floor(l_tax * 1000 + 0.5) AS INT) AS c_dp", "CAST(floor((100 + floor(l_tax * 1000 + 0.5)) * greatest(0.0, least(1.0, 0.02 + l_discount * 9 + (l_partkey % 41 - 20) / 100.0))) AS INT) AS c_alt", "CASE WHEN l_linenumber = 7 THEN 'LOW_DEPTH' ELSE 'PASS' END AS qc", "l_orderkey AS row_a", "CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * 10 + l_linenumber AS row_b"], "true"),
     "regions": ("part", ["concat('chr', CAST(p_partkey % 5 AS STRING)) AS chrom", "CAST(p_partkey * 7 AS BIGINT) AS s", "CAST(p_partkey * 7 + p_size AS BIGINT) AS e", "p_partkey AS region_id"], "true"),
     "contigs": ("nation", ["concat('chr', CASE n_nationkey WHEN 24 THEN 'M' ELSE CAST(n_nationkey + 1 AS STRING) END) AS contig", "CAST(n_nationkey AS BIGINT) AS nation", "CAST(1000000 + 1000 * n_nationkey AS BIGINT) AS length"], "true"),
     "alts": ("part", ["CAST(p_partkey AS INT) AS pos", "substring('ACGTACGTTGCA', 1 + CAST(p_partkey % 5 AS INT), 1 + CAST(p_size % 4 AS INT)) AS ref", "substring('ACGTACGTTGCA', 1 + CAST(p_partkey % 5 AS INT) + CAST(p_partkey % 2 AS INT), 1 + CAST(floor(p_size / 4) % 4 AS INT)) AS alt", "p_size AS size", "p_retailprice AS score"], "true"),

@@ -29,17 +29,20 @@ def kimura(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def trimmed(rows: DataFrame, share: float, order: list[str]) -> DataFrame:
-    """rows without the floor(share * n) of highest F; ties by ``order``.
+    """rows without the floor(share * n) of highest F; ties by ``order``, and among rows that tie there too, any of them.
 
-    The cut is found from the (share)-quantile of F by count, then one ranked pass; ranking is within one partition only for the
-    rows near the top, as the rest cannot be cut.
+    Only the cut itself (one row) reaches the driver: rows beyond it go, and of those equal to it as many as are still due.
     """
-    n = rows.count()
-    drop = int(share * n)
+    key = F.struct((-F.col("f")).alias("f"), *order)
+    drop = int(share * rows.count())
     if not drop:
         return rows
-    ranked = rows.orderBy(F.col("f").desc(), *order).limit(drop).select(*order)
-    return rows.join(ranked, order, "left_anti")
+    keyed = rows.withColumn("__k", key)
+    cut = keyed.select("__k").orderBy("__k").limit(drop).agg(F.max("__k").alias("k")).first().k
+    limit = F.struct(*[F.lit(v).alias(n) for n, v in zip(["f", *order], cut, strict=True)])
+    due = drop - keyed.where(F.col("__k") < limit).count()
+    equal = keyed.where(F.col("__k") == limit).withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy("w", "r"))).where(F.col("__r") > due).drop("__r")
+    return keyed.where(F.col("__k") > limit).unionByName(equal).drop("__k")
 
 
 def outliers(rows: DataFrame, k: int, order: list[str]) -> DataFrame:

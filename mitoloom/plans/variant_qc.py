@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mitoloom.functions import stats as st
+from mitoloom.operators import filters
 
 
 def histogram_divergence(calls: DataFrame, by: list[str], bins: int, a: float, b: float) -> DataFrame:
@@ -15,3 +16,60 @@ def histogram_divergence(calls: DataFrame, by: list[str], bins: int, a: float, b
     q = F.col("__n") / F.sum("__n").over(Window.partitionBy(*by))
     expected = st.beta_density((F.col("__b") + 0.5) / bins, a, b) / bins
     return counts.withColumn("__t", q * F.ln(q / expected)).groupBy(*by).agg(F.coalesce(F.sum("__t"), F.lit(1000.0)).alias("kl"))
+
+
+def background(calls: DataFrame, least_depth: int, least_quality: float) -> DataFrame:
+    """(site key, n, error, alpha, beta): each site's background error over its one-allele samples, and its Beta fit.
+
+    The fit needs a count and two sums of logarithms, so a site travels as one row and the search runs over rows in Arrow batches.
+    """
+    import pandas as pd
+
+    from mitoloom.functions.numeric import fit_beta
+
+    error = F.lit(1.0) - F.col("af")
+    ready = filters.background_ready(calls, least_depth, least_quality)
+    inside = (error > 0) & (error < 1)
+    sums = ready.groupBy("pos").agg(F.count("*").alias("n"), F.avg(error).alias("error"), F.count_if(inside).alias("k"), F.coalesce(F.sum(F.when(inside, F.ln(error))), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.when(inside, F.ln(F.col("af")))), F.lit(0.0)).alias("b"))
+
+    def fit(frames):
+        for frame in frames:
+            fits = [fit_beta(k, a, b) for k, a, b in zip(frame["k"], frame["a"], frame["b"], strict=True)]
+            yield frame.assign(alpha=pd.Series([x for x, _ in fits], index=frame.index, dtype=float), beta=pd.Series([x for _, x in fits], index=frame.index, dtype=float))[["pos", "n", "error", "alpha", "beta"]]
+
+    kind = dict(sums.dtypes)["pos"]
+    return sums.mapInPandas(fit, f"pos {kind}, n long, error double, alpha double, beta double")
+
+
+def quality_control(calls: DataFrame, *, least_depth: int = 100, least_quality: float = 20.0, prior: float = 5e-8 * 16569, least_posterior: float = 0.9, rounds: int = 20, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """(calls with pp and good, sites with pass and kl).
+
+    calls: pos, sample, idx (0: reference), ploidy, ad, dp, af, aq, srf. A site's error model comes from its background; the model of
+    true shares is a Beta-Binomial refitted to the called mutations until fewer than ``tolerance`` of the calls change, at most
+    ``rounds`` times. Each round sends the distinct (ad, dp) counts of called mutations to the driver, at most the square of the
+    depth in number, after rounding dp down to multiples that keep them below 20000.
+    """
+    from mitoloom.functions.numeric import fit_beta_binomial
+
+    sites = background(calls, least_depth, least_quality)
+    rows = calls.join(sites.select("pos", "alpha", "beta"), "pos", "left").withColumns({"alpha": F.coalesce("alpha", F.lit(2.5)), "beta": F.coalesce("beta", F.lit(1680.0))}).cache()
+    total = rows.count()
+    a1, b1 = 0.5, 0.2
+    scored, before = None, None
+    for _ in range(rounds):
+        k, n = F.col("ad").cast("double"), F.col("dp").cast("double")
+        sure = F.when(F.col("aq") < least_quality, 1 / (1 + F.exp(10 * (F.lit(float(least_quality)) - F.col("aq"))))).otherwise(F.lit(1.0))
+        error = st.log_beta(k + F.col("alpha"), n - k + F.col("beta")) - st.log_beta(F.col("alpha"), F.col("beta"))
+        mutation = st.log_beta(k + a1, n - k + b1) - st.log_beta(F.lit(a1), F.lit(b1)) + F.ln(sure * F.col("srf") + 1e-12)
+        scored = rows.withColumn("pp", F.when((n <= 0) | (k < 0) | (k > n), F.lit(0.0)).otherwise(st.posterior(error, mutation, prior))).withColumn("good", F.col("pp") >= least_posterior)
+        called = scored.where("good AND idx > 0 AND af > 0 AND af < 1")
+        state = called.agg(F.count("*").alias("n"), F.sum(F.xxhash64("pos", "sample", "idx").cast("decimal(38,0)")).alias("h")).first()
+        if state.n < 3 or (before is not None and abs(state.n - before) <= tolerance * max(1, total)):
+            break
+        before = state.n
+        step = F.greatest(F.lit(1), F.floor(F.col("dp") / 200)).cast("int")
+        shape = called.groupBy(F.floor(F.col("ad") / step).alias("k"), F.floor(F.col("dp") / step).alias("n")).count().toPandas()
+        a1, b1 = fit_beta_binomial(shape["k"].to_numpy(float), shape["n"].to_numpy(float), shape["count"].to_numpy(float))
+    passes = scored.groupBy("pos").agg(F.bool_or("good").alias("pass"))
+    divergence = histogram_divergence(calls, ["pos"], 100, a1, b1)
+    return scored.drop("alpha", "beta"), passes.join(divergence, "pos", "left").fillna({"kl": 1000.0})
