@@ -29,21 +29,30 @@ def word_features(word: str) -> list[int]:
 
 
 class TextFeatures:
-    """The distinct features of each text of a batch: (text, feature) pairs, in order of the text."""
+    """The distinct features of each text of a batch: (text, feature) pairs, in order of the text.
 
-    def __init__(self):
-        self.known: dict[str, list[int]] = {}
+    With ``only``, a sorted list of features, the others are left out; then most words have none and drop out early.
+    """
+
+    def __init__(self, only: np.ndarray | None = None):
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.only = None if only is None else frozenset(only.tolist())
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        found = word_features(word)
+        return tuple(found if self.only is None else [f for f in found if f in self.only])
 
     def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         table = WordTable(texts, lower="utf8")
         if len(self.known) > 300_000:
             self.known.clear()
         known = self.known
-        lists = [known[w] if w in known else known.setdefault(w, word_features(w)) for w in table.vocabulary]
+        lists = [known[w] if w in known else known.setdefault(w, self._of(w)) for w in table.vocabulary]
         sizes = np.array([len(x) for x in lists], dtype=np.int64)
         flat = np.array([f for x in lists for f in x], dtype=np.int64)
-        text = np.repeat(np.arange(len(table.counts)), table.counts)
-        words = np.unique(text * np.int64(max(1, len(sizes))) + table.codes)
+        bearing = sizes[table.codes] > 0 if len(sizes) else np.zeros(0, dtype=bool)
+        text = np.repeat(np.arange(len(table.counts)), table.counts)[bearing]
+        words = np.unique(text * np.int64(max(1, len(sizes))) + table.codes[bearing])
         text, words = words // max(1, len(sizes)), words % max(1, len(sizes))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
         both = np.unique((np.repeat(text, sizes[words]) << FEATURE_BITS) | flat[ranges(starts[words], sizes[words])])
@@ -149,7 +158,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     model = train(df, labels, id_col=id_col, text_col=text_col, holdout=holdout, **options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = TextFeatures()
+        maker = TextFeatures(model.features)
         for batch in pieces(batches, limit=2 << 20):
             scores = model.scores(*maker.pairs(batch.column("text")), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -164,7 +173,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     names, text_at = df.columns, df.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = TextFeatures()
+        maker = TextFeatures(model.features)
         for batch in pieces(batches, text=names[text_at], limit=2 << 20):
             yield batch.filter(pa.array(model.scores(*maker.pairs(batch.column(text_at)), batch.num_rows) < least))
 
