@@ -10,12 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mitoloom.llm.bitfilter import bit_filter, passes
 from mitoloom.llm.shared import cut, pick
 from mitoloom.llm.words import WordTable, ngram_starts, pieces, rolling
 
 PUNCTUATION = re.compile(r"[\W_]+")
-#: Bits of the filter of n-grams that is broadcast: 16 MB, whatever the size of the benchmark.
-FILTER_BITS = 27
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -58,31 +57,6 @@ def item_grams(items: DataFrame, width: int) -> DataFrame:
     return items.mapInArrow(grams, "item_id long, words string, n long, gram long, pos long")
 
 
-def gram_filter(grams: DataFrame):
-    """A broadcast bit map of fixed size in which every gram's bit is set; it may pass others, never misses one."""
-    place = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
-    maps = grams.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for row in maps:
-        part = np.frombuffer(row.m, np.uint8)
-        at = (row.b - 1) * 4096  # Spark numbers buckets from 1, 0 alone holding the value 0
-        if at < 0:
-            continue
-        bits[at : at + len(part)] |= part[: len(bits) - at]
-    return grams.sparkSession.sparkContext.broadcast(bits)
-
-
-def place_in_filter(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    at = np.maximum(place - 1, 0)
-    return at >> 3, (1 << (at & 7)).astype(np.uint8)
-
-
-def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    byte, bit = place_in_filter(hashes)
-    return (bits[byte] & bit != 0) | (hashes >> np.uint64(64 - FILTER_BITS) == 0)
-
-
 def gram_widths(grams: DataFrame, width: int) -> tuple[list[int], int]:
     """The widths in use, and the longest item in words."""
     row = grams.agg(F.collect_set(F.least("n", F.lit(width))).alias("w"), F.max("n").alias("n")).first()
@@ -91,7 +65,7 @@ def gram_widths(grams: DataFrame, width: int) -> tuple[list[int], int]:
 
 def document_counts(rows: DataFrame, grams: DataFrame, widths: list[int]) -> DataFrame:
     """(gram, df): in how many documents of the whole corpus each gram of the benchmark occurs."""
-    bits = gram_filter(grams.select("gram"))
+    bits = bit_filter(grams, "gram")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -106,7 +80,7 @@ def document_counts(rows: DataFrame, grams: DataFrame, widths: list[int]) -> Dat
 
 def passages(rows: DataFrame, seeds: DataFrame, widths: list[int], reach: int) -> DataFrame:
     """(doc_id, start, words, grams): stretches of the documents within ``reach`` words of a seed, overlaps merged."""
-    bits = gram_filter(seeds.select("gram"))
+    bits = bit_filter(seeds, "gram")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mitoloom.llm.bitfilter import bit_filter, may_hold
 from mitoloom.llm.components import connected_components
 from mitoloom.llm.shared import cut, pick
 from mitoloom.llm.signature_tree import Sets, linked_groups
@@ -165,56 +166,71 @@ def _joined(sets: DataFrame, num: int, den: int) -> DataFrame:
                     if len(held) > 1 and (out := done()) is not None:
                         yield out
                     held = []
-                held.append(((clump, block), *row))
+                if not held or held[-1][1] != row[0]:  # a class comes twice where ids repeat
+                    held.append(((clump, block), *row))
         if len(held) > 1 and (out := done()) is not None:
             yield out
 
     return sets.select("clump", "block", "class", "side", "label", "values").repartition("clump", "block").sortWithinPartitions("clump", "block", "class").mapInArrow(links, "u long, v long")
 
 
-def class_links(rows: DataFrame, first: DataFrame, members: DataFrame, width: int, num: int, den: int, weight: int) -> DataFrame:
-    """Links (u, v) that connect all linked classes of ``members`` (node, root)."""
-    wanted = members.join(first, F.col("node") == F.col("class")).select(F.col("min_id").alias("doc_id"), F.col("class").alias("wanted"), F.col("root").alias("clump"))
+def fetched_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(clump, block, class, values) of the wanted classes, from the documents that stand for them.
+
+    A filter of fixed size keeps other documents' texts from being shuffled; the join by id after it decides.
+    """
+    bits = bit_filter(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
+    wanted = wanted.withColumnRenamed("doc_id", "__id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             offsets, values = shingle_sets(batch.column("text"), width)
             hashes, bounds = set_hashes(offsets, values).view(np.int64), offsets.tolist()
             right = np.flatnonzero(hashes == batch.column("wanted").to_numpy())  # ids may repeat with other texts
-            yield pa.RecordBatch.from_arrays([batch.column("clump").take(pa.array(right)), pa.array(hashes[right]), pa.array([values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in right], pa.binary())], names=["clump", "class", "values"])
+            at = pa.array(right)
+            yield pa.RecordBatch.from_arrays([batch.column("clump").take(at), batch.column("block").take(at), pa.array(hashes[right]), pa.array([values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in right], pa.binary())], names=["clump", "block", "class", "values"])
 
-    sets = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted", "clump").mapInArrow(fetch, "clump long, class long, values binary").dropDuplicates(["class"])
-    sizes = members.join(first, F.col("node") == F.col("class")).groupBy(F.col("root").alias("clump")).agg((F.floor(F.sum("n") / weight) + 1).alias("blocks"))
-    sets = cut(sets.join(sizes, "clump").withColumns({"block": F.pmod(F.xxhash64("class"), F.col("blocks")), "side": F.lit(True), "label": F.col("class")}))
-    links = cut(_joined(sets, num, den))
-    heavy = sets.where("blocks > 1").select("clump", "class", "blocks", "block")
+    near = rows.where(may_hold(bits, F.col("doc_id")))
+    joined = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "wanted", "clump", "block")
+    return joined.mapInArrow(fetch, "clump long, block long, class long, values binary")
+
+
+def class_links(rows: DataFrame, first: DataFrame, members: DataFrame, width: int, num: int, den: int, weight: int) -> DataFrame:
+    """Links (u, v) that connect all linked classes of ``members`` (node, root)."""
+    wanted = members.join(first, F.col("node") == F.col("class")).select(F.col("min_id").alias("doc_id"), F.col("class").alias("wanted"), F.col("root").alias("clump"), "n")
+    loads = wanted.groupBy("clump").agg((F.floor(F.sum("n") / weight) + 1).alias("blocks"))
+    wanted = cut(wanted.join(loads, "clump").select("doc_id", "wanted", "clump", "blocks", F.pmod(F.xxhash64("wanted"), F.col("blocks")).alias("block")))
+    alone = {"side": F.lit(True), "label": F.col("class")}
+    links = cut(_joined(fetched_sets(rows, wanted, width).withColumns(alone), num, den))
+    heavy = wanted.where("blocks > 1").select("clump", F.col("wanted").alias("class"), "blocks", "block")
     if heavy.isEmpty():
         return links
+    sets = cut(fetched_sets(rows, wanted.where("blocks > 1"), width).drop("block").dropDuplicates(["class"]))
     # representatives of each block's groups, gathered until they fit a block or no longer merge
     before = -1
     while True:
         groups = connected_components(links)
         labelled = heavy.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
         speakers = labelled.groupBy("clump", "label", "block").agg(F.min("class").alias("class"))
-        apart = labelled.groupBy("clump").agg(F.count_distinct("label").alias("labels"), F.count_distinct("block").alias("was"), F.first("blocks").alias("blocks")).where("labels > 1")
+        apart = labelled.groupBy("clump").agg(F.count_distinct("label").alias("labels")).where("labels > 1")
         left = apart.agg(F.sum("labels")).first()[0]
         if left is None:
             return links
-        if before in (0, left):
+        if before == left:
             break
         before = left
-        again = sets.drop("label", "block", "blocks").join(speakers.drop("block"), ["clump", "class"])
+        again = sets.join(speakers.drop("block"), ["clump", "class"])
         loads = again.groupBy("clump").agg((F.floor(F.sum(F.octet_length("values") / 8) / weight) + 1).alias("blocks"))
-        again = again.join(loads, "clump").withColumn("block", F.pmod(F.xxhash64("class", F.lit(left)), F.col("blocks")))
+        again = again.join(loads, "clump").withColumns({"block": F.pmod(F.xxhash64("class", F.lit(left)), F.col("blocks")), "side": F.lit(True)})
         links = cut(links.unionByName(_joined(again, num, den)))
     # all that is not in its clump's main group meets the whole clump, a pair of blocks at a time
     main = labelled.groupBy("clump", "label").count().groupBy("clump").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     labelled = labelled.join(apart.select("clump"), "clump").join(main, "clump").select("clump", "class", "label", "main", "blocks")
-    full = sets.drop("label", "block", "blocks").join(labelled, ["clump", "class"])
+    full = sets.join(labelled, ["clump", "class"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    searched = full.where("label <> main").withColumn("other", F.explode(every)).withColumn("block", own * F.col("blocks") + F.col("other")).withColumn("side", F.lit(True))
-    against = full.withColumn("other", F.explode(every)).withColumn("block", F.col("other") * F.col("blocks") + own).withColumn("side", F.lit(False))
+    searched = full.where("label <> main").withColumn("other", F.explode(every)).withColumns({"block": own * F.col("blocks") + F.col("other"), "side": F.lit(True)})
+    against = full.withColumn("other", F.explode(every)).withColumns({"block": F.col("other") * F.col("blocks") + own, "side": F.lit(False)})
     both = searched.unionByName(against).groupBy("clump", "block", "class").agg(F.max("side").alias("side"), F.first("label").alias("label"), F.first("values").alias("values"))
     return cut(links.unionByName(_joined(both, num, den)))
 
@@ -248,11 +264,14 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     """df without the rows that are linked to a row with a smaller id; of rows that repeat an id and a set, one stays."""
     groups = cut(jaccard_groups(df, id_col=id_col, text_col=text_col, **options))
     gone = groups.where("NOT representative").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = df.join(gone, df[id_col].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    ident = df[id_col].cast("long")
+    bits = bit_filter(gone.select(F.xxhash64("__gone").alias("h")), "h")  # most rows need no shuffle to be known as kept
+    marked = df.withColumn("__may", may_hold(bits, ident))
+    kept = marked.where("NOT __may").unionByName(marked.where("__may").join(gone, ident.eqNullSafe(F.col("__gone")), "left_anti")).drop("__may")
     twice = groups.groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
     if twice.isEmpty():
         return kept
-    again = df[id_col].cast("long").eqNullSafe(F.col("__twice"))
+    again = kept[id_col].cast("long").eqNullSafe(F.col("__twice"))
     return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))
 
 
