@@ -135,8 +135,8 @@ def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: floa
     """One row for each document and test item that a passage of the document copies: doc_id, item_id, score, start, end.
 
     Words are compared in lower case without punctuation. Document frequencies of the items' n-grams are counted over all
-    documents; an item's seeds are its n-grams no more frequent than their median, so each item keeps half of its places, and
-    an item that leaked into very many documents still has seeds. Each passage around a seed is aligned to each item it
+    documents; an item's seeds are those of its n-grams that occur and are no more frequent than their median, so that an item
+    of which few n-grams are left, and one that leaked into very many documents, still have seeds. Each passage around a seed is aligned to each item it
     shares a seed with; score is the local alignment's score over that of a full match (1: the whole item, word for word),
     and pairs of ``least`` or more are returned, the best place each, as word positions with an exclusive end.
     Null or empty texts and items match nothing; an item of fewer than ``width`` words must occur whole. Rows that repeat an
@@ -149,9 +149,9 @@ def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: floa
     if not longest:
         return rows.sparkSession.createDataFrame([], schema)
     frequent = document_counts(rows, grams, widths)
-    known = grams.join(frequent, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = grams.join(frequent, "gram")  # those that occur at all; the rest cannot be seeds
     middle = Window.partitionBy("item_id", "words")
-    seeds = cut(known.withColumn("middle", F.percentile("df", F.lit(0.5)).over(middle)).where("df > 0 AND df <= middle").select("gram", "item_id", "words", "n").distinct())
+    seeds = cut(known.withColumn("middle", F.percentile("df", F.lit(0.5)).over(middle)).where("df <= middle").select("gram", "item_id", "words", "n").distinct())
     found = cut(passages(rows, seeds, widths, longest + longest // 4).withColumn("passage", F.xxhash64("doc_id", "start", "words")))
     pairs = found.select("passage", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_id", F.col("words").alias("item_words")), "gram").select("passage", "item_id", "item_words").distinct()
     pairs = pairs.join(found.drop("grams").dropDuplicates(["passage"]), "passage")

@@ -31,7 +31,7 @@ COMMON = "password letmein welcome monkey dragon master admin login qwerty ilove
 ENGLISH = "the and for are but not you all any can her was one our out day get has him his how man new now old see two way who boy did its let put say she too use this that with have from they know want been good much some time very when come here just like long make many more only over such take than them well were what your which their about would there could other after first never these think where being every great might shall still those under while house world right place again water light night point thing north south east west blue green red black white".split()
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4301578$@!", "aeolstbsai")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(dict.fromkeys(COMMON + ENGLISH))))}
 LONGEST = max(map(len, RANK))
 NEXT = {(a, b) for row in KEYBOARD for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))} | {(a, b) for up, low in zip(KEYBOARD[1:], KEYBOARD[2:]) for i, b in enumerate(low) for j in (i, i + 1) if j < len(up) for a, b in ((up[j], b), (b, up[j]))}
