@@ -2,9 +2,11 @@
 
 A text becomes its set of 64-bit shingle hashes, equal sets become one class, and only classes are compared.
 
-1. Clumps. The hash space is cut into more parts than two linked sets can differ in, so that by the pigeonhole principle
-   linked sets agree on a whole part that is not empty. Each class gives one key for each part; classes that share a key
-   are chained to the smallest of them, and the connected components of these chains are the clumps: every link lies in one.
+1. Buckets and clumps. The hash space is cut into more parts than two linked sets can differ in, so that by the pigeonhole
+   principle linked sets agree on a whole part that is not empty. Each class gives one key for each part; classes that share
+   a key form a bucket. In each bucket a signature tree over the classes' bitmaps tells which of them can be similar enough;
+   the connected components of those chances are the clumps, and every link lies in one. A bucket of very many classes is
+   taken as one chain without a tree, which can only make its clump larger.
 2. Trees. A clump's sets go to one task, or in blocks of bounded weight to several. There a signature tree is built and
    traversed against itself; node pairs whose largest possible overlap is too small, or that are already in one group, are
    not opened. What remains is verified exactly.
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 from mitoloom.llm.bitfilter import bit_filter, may_hold
 from mitoloom.llm.components import connected_components
 from mitoloom.llm.shared import cut, pick
-from mitoloom.llm.signature_tree import Sets, linked_groups
-from mitoloom.llm.words import M1, M2, mix, pieces, set_hashes, shingle_sets, sums
+from mitoloom.llm.signature_tree import Sets, Sketches, linked_groups, sketch
+from mitoloom.llm.words import M1, M2, mix, pieces, ranges, set_hashes, shingle_sets, sums
 
 #: Shingles that a tree task holds at a time (8 bytes each, and about as much again for bitmaps and ids).
 BLOCK_WEIGHT = 4_000_000
 SEEN = 200_000
+#: Members of a bucket that a task holds; larger buckets become chains.
+BUCKET = 4096
 
 
 class Partition:
@@ -87,19 +91,74 @@ class Partition:
 
 
 def documents_and_classes(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, class): class is a 64-bit hash of the set, null where the set is empty."""
+    """(doc_id, n_shingles, class, sketch): class is a 64-bit hash of the set, null where the set is empty, as is the sketch."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             offsets, values = shingle_sets(batch.column("text"), width)
             hashes, sizes = set_hashes(offsets, values), np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes.view(np.int64), mask=sizes == 0)], names=["doc_id", "n_shingles", "class"])
+            sketches = [sketch(values[x:y]) if y > x else None for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes.view(np.int64), mask=sizes == 0), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "class", "sketch"])
 
-    return rows.mapInArrow(classes, "doc_id long, n_shingles long, class long")
+    return rows.mapInArrow(classes, "doc_id long, n_shingles long, class long, sketch binary")
 
 
-def clumps(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, root) of the classes that share a key with another class."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, class) in order to (bucket, class) for keys of several classes, or (leader, class) for keys of very many.
+
+    Buckets are named by their members, so that the many keys that the same classes share make one bucket.
+    """
+    none = np.zeros(0, np.int64)
+    held_key, held, over, leader, seen = none, none, None, 0, set()
+
+    def rows(bucket: np.ndarray, member: np.ndarray, chained: bool) -> pa.RecordBatch:
+        name, null = pa.array(bucket), pa.nulls(len(member), pa.int64())
+        return pa.RecordBatch.from_arrays([null if chained else name, pa.array(member), name if chained else null], names=["bucket", "class", "leader"])
+
+    def emit(key: np.ndarray, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1])
+        key, member = key[fresh], member[fresh]
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        name = mix(np.add.reduceat(mix(member.view(np.uint64)), starts) ^ (sizes.astype(np.uint64) * M2)).view(np.int64)
+        long = np.flatnonzero(sizes > BUCKET)
+        if len(long):
+            at = ranges(starts[long], sizes[long])
+            yield rows(np.repeat(member[starts[long]], sizes[long]), member[at], True)
+        _, first = np.unique(name, return_index=True)
+        if len(seen) > SEEN:
+            seen.clear()
+        chosen = np.array([i for i in first.tolist() if 1 < sizes[i] <= BUCKET and int(name[i]) not in seen], dtype=np.int64)
+        if len(chosen):
+            seen.update(name[chosen].tolist())
+            yield rows(np.repeat(name[chosen], sizes[chosen]), member[ranges(starts[chosen], sizes[chosen])], False)
+
+    for batch in batches:
+        key, member = batch.column("key").to_numpy(), batch.column("class").to_numpy()
+        if over is not None and len(key):
+            same = int(np.searchsorted(key, over, side="right"))
+            if same:
+                yield rows(np.full(same, leader), member[:same], True)
+                key, member = key[same:], member[same:]
+            if len(key):
+                over = None
+        if not len(key):
+            continue
+        key, member = np.concatenate([held_key, key]), np.concatenate([held, member])
+        last = int(np.searchsorted(key, key[-1]))
+        yield from emit(key[:last], member[:last])
+        held_key, held = key[last:], member[last:]
+        if len(held) > 4 * BUCKET:
+            yield rows(np.full(len(held), held[0]), held, True)
+            over, leader, held_key, held = held_key[0], held[0], none, none
+    yield from emit(held_key, held)
+
+
+def clumps(rows: DataFrame, documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, root) of the classes that share a bucket with a class that could be similar enough, by their bitmaps."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, seen = Partition(num, den), set()
@@ -117,23 +176,34 @@ def clumps(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
             use = fresh[at]
             yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(hashes[at[use]])], names=["key", "class"])
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, leader = None, None
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, ids, raw = None, [], []
+
+        def found() -> pa.RecordBatch | None:
+            labels = linked_groups(Sketches(raw), num, den)
+            to = np.array(ids)[labels]
+            moved = to != np.array(ids)
+            return pa.RecordBatch.from_arrays([pa.array(to[moved]), pa.array(np.array(ids)[moved])], names=["u", "v"]) if moved.any() else None
+
         for batch in batches:
-            key, member = batch.column("key").to_numpy(), batch.column("class").to_numpy()
-            if not len(key):
-                continue
-            start = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
-            lead = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
-            to = np.where(lead < 0, leader if leader is not None else 0, member[np.maximum(lead, 0)])
-            last_key, leader = key[-1], to[-1]
-            pairs = np.unique(np.stack([to, member])[:, to != member], axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            for b, i, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "class", "sketch")), strict=True):
+                if b != bucket:
+                    if len(ids) > 1 and (out := found()) is not None:
+                        yield out
+                    bucket, ids, raw = b, [], []
+                ids.append(i)
+                raw.append(r)
+        if len(ids) > 1 and (out := found()) is not None:
+            yield out
 
     keys = rows.mapInArrow(keyed, "key long, class long")
-    runs = keys.repartition("key").sortWithinPartitions("key", "class")
-    return connected_components(runs.mapInArrow(chains, "u long, v long"))
+    found = cut(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(runs, "bucket long, class long, leader long"))
+    buckets = found.where("bucket IS NOT NULL").select("bucket", "class").distinct()
+    wanted = buckets.select("class").distinct()
+    sketches = documents.join(wanted, "class", "left_semi").select("class", "sketch").dropDuplicates(["class"])
+    members = buckets.join(sketches, "class").select("bucket", "class", "sketch").repartition("bucket").sortWithinPartitions("bucket", "class")
+    chained = found.where("leader IS NOT NULL").select(F.col("leader").alias("u"), F.col("class").alias("v"))
+    return connected_components(members.mapInArrow(chances, "u long, v long").unionByName(chained))
 
 
 SETS = "clump long, block long, class long, side boolean, label long, values binary"
@@ -248,7 +318,7 @@ def jaccard_groups(df: DataFrame, *, width: int = 5, num: int = 80, den: int = 1
     num, den = num // np.gcd(num, den).item(), den // np.gcd(num, den).item()
     documents = cut(documents_and_classes(rows, width))
     first = documents.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"))
-    members = cut(clumps(rows, width, num, den))
+    members = cut(clumps(rows, documents, width, num, den))
     links = class_links(rows, first, members, width, num, den, block_weight)
     groups = connected_components(links)
     tied = first.join(groups, F.col("class") == F.col("node")).select("class", "min_id", "root")

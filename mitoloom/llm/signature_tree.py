@@ -41,6 +41,33 @@ class Sets:
         return hit[ends] - hit[ends - counts]
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """A set's size, smallest token and bitmap, of 2 to 4 bits a token, 256 at least and 8192 at most."""
+    bits = int(min(8192, max(256, 1 << int(np.ceil(np.log2(max(1, 2 * len(values))))))))
+    dense = np.zeros(bits, dtype=np.uint8)
+    dense[(values >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = 1
+    return np.array([len(values), values[0] if len(values) else 0], dtype="<u8").tobytes() + np.packbits(dense).tobytes()
+
+
+class Sketches:
+    """The same view of sets as Sets, of their sketches alone: whether two could be similar enough, not whether they are."""
+
+    def __init__(self, raw: list[bytes]):
+        heads = np.array([np.frombuffer(r, "<u8", 2) for r in raw])
+        self.sizes, self.smallest = heads[:, 0].astype(np.int64), heads[:, 1]
+        width = min(len(r) for r in raw) - 16  # larger bitmaps are folded: neighbours' bits meet
+        maps = []
+        for r in raw:
+            bits = np.frombuffer(r, np.uint8, offset=16)
+            maps.append(bits if len(bits) == width else np.packbits(np.unpackbits(bits).reshape(8 * width, -1).max(axis=1)))
+        self.maps = np.array(maps).view(np.uint64)
+        self.spare = self.sizes - np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
+
+    def common(self, one: int, others: np.ndarray) -> np.ndarray:
+        most = np.bitwise_count(self.maps[one] & self.maps[others]).sum(axis=1, dtype=np.int64) + np.minimum(self.spare[one], self.spare[others])
+        return np.minimum(most, np.minimum(self.sizes[one], self.sizes[others]))
+
+
 class Tree:
     """Level 0 holds the sets in ``order``; a node of level k covers ``step[k]`` consecutive ones."""
 
@@ -83,7 +110,7 @@ def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, num: int, den: in
     return keep
 
 
-def linked_groups(sets: Sets, num: int, den: int, labels: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
+def linked_groups(sets: Sets | Sketches, num: int, den: int, labels: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
     """A label for each set: sets linked by Jaccard similarity of num/den or more, directly or by way of others, share one.
 
     ``labels`` may start with known groups (numbers below the count of sets). With ``left`` (positions) only pairs with one
@@ -92,16 +119,17 @@ def linked_groups(sets: Sets, num: int, den: int, labels: np.ndarray | None = No
     """
     n = len(sets.sizes)
     labels = np.arange(n) if labels is None else labels.copy()
-    if n < 2:
+    if n < 2 or (left is not None and not len(left)):
         return labels
+    if n == 2:
+        linked = int(sets.common(0, np.array([1]))[0]) * (num + den) >= num * int(sets.sizes.sum())
+        return np.full(2, labels[0]) if linked else labels
     right = Tree(sets, np.arange(n))
     tree = right if left is None else Tree(sets, left)
     same = left is None
-    top = max(len(tree.levels), len(right.levels)) - 1
     la, lb = len(tree.levels) - 1, len(right.levels) - 1
     stack = [(la, lb, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     ua, ub, dirty = tree.uniform(labels), right.uniform(labels), False
-    del top
     while stack:
         la, lb, i, j = stack.pop()
         if dirty:
