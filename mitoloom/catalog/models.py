@@ -80,14 +80,14 @@ def _(v: Views) -> DataFrame:
     return bottleneck.load_pairs(raw).groupBy("m_dp", "m_alt", "c_dp", "c_alt").agg(F.count("*").alias("n"))
 
 
-@query("src13_region_tokens", "SELECT region_id, chrom, s, CASE WHEN region_id % 3 = 0 THEN CAST(4294967295 AS BIGINT) ELSE e END AS e FROM regions")
+@query("src13_region_tokens", "SELECT region_id, chrom, s, CASE WHEN region_id % 3 = 0 THEN CAST(4294967295 AS BIGINT) ELSE e END AS e FROM regions WHERE region_id > 0")
 def _(v: Views) -> DataFrame:
     token = F.concat(F.lit(" "), "chrom", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.when(F.col("region_id") % 3 == 0, "").otherwise(F.col("e").cast("string")), F.lit(" "))
-    rows = text.regions(v.regions.select(token.alias("value")))
+    rows = text.regions(v.regions.where("region_id > 0").select(token.alias("value")))
     return rows.join(v.regions.select("chrom", "s", "region_id"), ["chrom", "s"]).select("region_id", "chrom", "s", "e")
 
 
-@query("src14_strict_regions", "SELECT chrom, s, e FROM regions WHERE region_id % 2 = 0")
+@query("src14_strict_regions", "SELECT chrom, greatest(s, 1) AS s, e FROM regions WHERE region_id % 2 = 0")
 def _(v: Views) -> DataFrame:
     token = F.concat("chrom", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
     return text.regions(v.regions.where("region_id % 2 = 0").select(token.alias("value")), strict=True)
@@ -117,7 +117,7 @@ def _(v: Views) -> DataFrame:
 
     folder = _shared(v.spark)
     schema = v.events.schema
-    stream = v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/events.parquet*")
+    stream = v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     run_once(windowed_depth(stream, "ts", ["event_type"], "1 hour", "0 seconds"), folder, "depth")
     closed = v.spark.read.parquet(f"{folder}/depth")
     last = v.events.agg(F.max("ts").alias("t")).first().t
