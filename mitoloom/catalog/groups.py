@@ -61,9 +61,9 @@ site AS (SELECT pos, CAST(sum(k) AS BIGINT) AS an, CAST(count(CASE WHEN k = 1 AN
 SELECT pos, an, ref_n, het_n, hom_n, dp_mean, dp_median, round(vaf_mean, {places}) AS vaf_mean, round(vaf_mean_het, {places}) AS vaf_mean_het, CASE WHEN het_n > 0 AND hom_n > 0 THEN 'Mixed' WHEN het_n > 0 THEN 'Het' WHEN hom_n > 0 THEN 'Hom' WHEN ref_n > 0 THEN 'Ref' ELSE 'Unknown' END AS pt FROM site"""
 
 
-@query("agg13_site_info", SITE.format(vaf="af", depth="round", places=6))
+@query("agg13_site_info", SITE.format(vaf="af", depth="round", places=9))
 def _(v: Views) -> DataFrame:
-    return cohort.site_info(v.genotyped).withColumns({c: F.round(c, 6) for c in ("vaf_mean", "vaf_mean_het")})
+    return cohort.site_info(v.genotyped).withColumns({c: F.round(c, 9) for c in ("vaf_mean", "vaf_mean_het")})
 
 
 @query("agg17_subset_info", SITE.format(vaf="CAST(CAST(af AS FLOAT) AS DOUBLE)", depth="floor", places=5).replace("FROM genotyped", "FROM genotyped WHERE sample IN ('s1', 's3', 's5', 's7')"))
@@ -156,9 +156,9 @@ def term_rows(v: Views) -> DataFrame:
     return drift.terms(filters.usable_pairs(v.pairs))
 
 
-@query("scl22_drift_terms", TERMS + "SELECT row_a, row_b, round(w, 9) AS w, round(d, 9) AS d, round(s, 9) AS s, round(f, 9) + 0.0 AS f FROM terms")
+@query("scl22_drift_terms", TERMS + "SELECT row_a, row_b, round(w, 12) AS w, round(d, 12) AS d, round(s, 15) AS s, round(f, 9) + 0.0 AS f FROM terms")
 def _(v: Views) -> DataFrame:
-    return term_rows(v).select("row_a", "row_b", *[F.round(c, 9).alias(c) for c in "wds"], (F.round("f", 9) + F.lit(0.0)).alias("f"))
+    return term_rows(v).select("row_a", "row_b", *[F.round(c, n).alias(c) for c, n in (("w", 12), ("d", 12), ("s", 15))], (F.round("f", 9) + F.lit(0.0)).alias("f"))
 
 
 @query("agg28_kimura_b", TERMS + "SELECT CAST(count(*) AS BIGINT) AS n, round(b, 6) AS b, round(1 / (1 - b), 4) AS ne FROM (SELECT row_a, least(1 - 1e-9, greatest(1e-9, 1 - sum(r) OVER () / sum(w) OVER ())) AS b FROM terms) GROUP BY b")
@@ -395,7 +395,7 @@ def _(v: Views) -> DataFrame:
 
 @query("jn21_alignment_columns", "SELECT doc_id, CAST((576 + rank() OVER (PARTITION BY doc_id ORDER BY i) - 1) % 16569 + 1 AS BIGINT) AS pos, a, b FROM (SELECT doc_id, i, substring(seq, i, 1) AS a, substring(reverse(seq), i, 1) AS b FROM (SELECT doc_id, replace(seq, 'E', '-') AS seq, unnest(range(1, length(seq) + 1)) AS i FROM segments WHERE doc_id < 100000 AND regexp_full_match(seq, '[ -~]+'))) WHERE a <> '-'")
 def _(v: Views) -> DataFrame:
-    rows = v.segments.where(F.col("seq").rlike("^[ -~]+$")).select("doc_id", F.replace("seq", F.lit("E"), F.lit("-")).alias("seq")).where("doc_id < 100000")
+    rows = v.segments.where(F.col("seq").rlike(r"^[ -~]+\z")).select("doc_id", F.replace("seq", F.lit("E"), F.lit("-")).alias("seq")).where("doc_id < 100000")
     return rows.select("doc_id", F.explode(annotate.alignment_columns(F.col("seq"), F.reverse("seq"), 577, 16569)).alias("x")).select("doc_id", F.col("x.pos").cast("bigint").alias("pos"), F.col("x.one").alias("a"), F.col("x.other").alias("b"))
 
 

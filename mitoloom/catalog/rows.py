@@ -250,9 +250,9 @@ def _(v: Views) -> DataFrame:
 # ---- scalar functions
 
 
-@query("scl01_phred_likelihood", "SELECT pos, sample, round(sum(ln(CASE WHEN allele = 'A' THEN 1.0 - pow(10.0, -qual / 10.0) ELSE pow(10.0, -qual / 10.0) / 3.0 END)), 4) AS ll FROM pileup WHERE qual > 0 GROUP BY 1, 2")
+@query("scl01_phred_likelihood", "SELECT pos, sample, round(sum(ln(CASE WHEN allele = 'A' THEN 1.0 - pow(10.0, -qual / 10.0) ELSE pow(10.0, -qual / 10.0) / 3.0 END)), 4) + 0.0 AS ll FROM pileup WHERE qual > 0 GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
-    return v.pileup.where("qual > 0").groupBy("pos", "sample").agg(F.round(F.sum(F.ln(st.allele_likelihood(F.col("allele") == "A", F.col("qual"), 4))), 4).alias("ll"))
+    return v.pileup.where("qual > 0").groupBy("pos", "sample").agg((F.round(F.sum(F.ln(st.allele_likelihood(F.col("allele") == "A", F.col("qual"), 4))), 4) + F.lit(0.0)).alias("ll"))
 
 
 @query("scl02_proportion_interval", """SELECT pos, allele, round(greatest(0.0, c - h), 6) AS low, round(least(1.0, c + h), 6) AS high FROM (SELECT *, (k + 1.96 * 1.96 / 2) / (n + 1.96 * 1.96) AS c, CASE WHEN n >= 40 THEN 1.96 * sqrt((k + 1.96 * 1.96 / 2) / (n + 1.96 * 1.96) * (1 - (k + 1.96 * 1.96 / 2) / (n + 1.96 * 1.96)) / (n + 1.96 * 1.96)) ELSE 1.96 / (1 + 1.96 * 1.96 / n) * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) END AS h
