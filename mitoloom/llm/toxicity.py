@@ -44,7 +44,7 @@ class TextFeatures:
 
     def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         table = WordTable(texts, lower="utf8")
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known = self.known
         lists = [known[w] if w in known else known.setdefault(w, self._of(w)) for w in table.vocabulary]

@@ -11,7 +11,7 @@ import xxhash
 
 #: Odd 64-bit multipliers of the mixing functions.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
