@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores the pairs."""
+"""Benchmark decontamination: n-gram seeds join training passages to test items, Smith-Waterman scores the pairs."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mitoloom.llm.bitfilter import bit_filter, passes
@@ -63,21 +64,6 @@ def gram_widths(grams: DataFrame, width: int) -> tuple[list[int], int]:
     return sorted(int(w) for w in row.w), int(row.n or 0)
 
 
-def document_counts(rows: DataFrame, grams: DataFrame, widths: list[int]) -> DataFrame:
-    """(gram, df): in how many documents of the whole corpus each gram of the benchmark occurs."""
-    bits = bit_filter(grams, "gram")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            text, _, _, hashes = PlainWords(batch.column("text")).grams(widths)
-            hit = passes(bits.value, hashes)
-            pairs = np.unique(np.stack([text[hit].astype(np.uint64), hashes[hit]]), axis=1)
-            gram, n = np.unique(pairs[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    return rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
-
-
 def passages(rows: DataFrame, seeds: DataFrame, widths: list[int], reach: int) -> DataFrame:
     """(doc_id, start, words, grams): stretches of the documents within ``reach`` words of a seed, overlaps merged."""
     bits = bit_filter(seeds, "gram")
@@ -134,10 +120,10 @@ def smith_waterman(items: list[list[str]], texts: list[list[str]]) -> tuple[np.n
 def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and test item that a passage of the document copies: doc_id, item_id, score, start, end.
 
-    Words are compared in lower case without punctuation. Document frequencies of the items' n-grams are counted over all
-    documents; an item's seeds are those of its n-grams that occur and are no more frequent than their median, so that an item
-    of which few n-grams are left, and one that leaked into very many documents, still have seeds. Each passage around a seed is aligned to each item it
-    shares a seed with; score is the local alignment's score over that of a full match (1: the whole item, word for word),
+    Words are compared in lower case without punctuation. Every n-gram of an item is a seed, however frequent: which of them an
+    edited copy keeps does not depend on what else the corpus holds. Each passage around a seed, wide enough for the longest
+    alignment that can score ``least``, is aligned to each item it shares a seed with, unless too few of the item's words occur
+    in it to reach ``least``; a copy that keeps no ``width`` words of the item in a row has no seed and is not found. Score is the local alignment's score over that of a full match (1: the whole item, word for word),
     and pairs of ``least`` or more are returned, the best place each, as word positions with an exclusive end.
     Null or empty texts and items match nothing; an item of fewer than ``width`` words must occur whole. Rows that repeat an
     id give one row together. Nothing but the fixed-size filter and two numbers is sent to the driver or broadcast by hand.
@@ -148,18 +134,18 @@ def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: floa
     schema = "doc_id long, item_id long, score double, start long, end long"
     if not longest:
         return rows.sparkSession.createDataFrame([], schema)
-    frequent = document_counts(rows, grams, widths)
-    known = grams.join(frequent, "gram")  # those that occur at all; the rest cannot be seeds
-    middle = Window.partitionBy("item_id", "words")
-    seeds = cut(known.withColumn("middle", F.percentile("df", F.lit(0.5)).over(middle)).where("df <= middle").select("gram", "item_id", "words", "n").distinct())
-    found = cut(passages(rows, seeds, widths, longest + longest // 4).withColumn("passage", F.xxhash64("doc_id", "start", "words")))
+    seeds = grams.select("gram", "item_id", "words").distinct()
+    # n matches less the gaps between them score least * 2n or more: at most 2n * (1 - least) words of the text lie in gaps
+    reach = longest + math.ceil(2 * longest * max(0.0, 1 - least))
+    found = cut(passages(rows, seeds, widths, reach).withColumn("passage", F.xxhash64("doc_id", "start", "words")))
     pairs = found.select("passage", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_id", F.col("words").alias("item_words")), "gram").select("passage", "item_id", "item_words").distinct()
     pairs = pairs.join(found.drop("grams").dropDuplicates(["passage"]), "passage")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             item, text = ([(w or "").split() for w in batch.column(c).to_pylist()] for c in ("item_words", "words"))
-            order = sorted(range(len(item)), key=lambda i: (len(text[i]), len(item[i])))
+            shared = [sum(map(set(b).__contains__, a)) for a, b in zip(item, text, strict=True)]
+            order = sorted((i for i in range(len(item)) if shared[i] >= least * len(item[i])), key=lambda i: (len(text[i]), len(item[i])))
             at = 0
             while at < len(order):
                 size = max(1, min(256, 400_000 // (len(text[order[at]]) + 1)))

@@ -99,6 +99,17 @@ def test_edited_copies_of_items_are_found(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_edited_copies_are_found_beside_whole_ones(spark):
+    words = [f"w{i}" for i in range(30)]
+    edited = {k: ["other" if i % k == k - 1 else w for i, w in enumerate(words)] for k in (4, 5, 6)}
+    stretched = [x for w in words[:27] for x in (w, "gap")] + words[27:]  # 30 matches, 27 gaps, a single seed at its end
+    docs = {0: words, 1: edited[4], 2: edited[5], 3: edited[6], 4: stretched, 5: words[:9], **{i: words[:3] for i in range(6, 20)}}
+    df = spark.createDataFrame([(i, " ".join([*["before"] * 70, *w, *["after"] * 70])) for i, w in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(df, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    expected = {i: decontaminate.smith_waterman([words], [docs[i]])[0][0] / 60 for i in range(5)}
+    assert got == pytest.approx(expected) and min(expected.values()) >= 0.5
+
+
 def test_alignment_scores_equal_the_plain_recurrence():
     rng = random.Random(5)
     pairs = [([rng.choice("abc") for _ in range(rng.randint(1, 9))], [rng.choice("abc") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
