@@ -137,3 +137,17 @@ def test_line_groups(spark):
     assert got == expected
     cleaned = {r.doc_id: r.text for r in ld.drop_repeated_lines(df).collect()}
     assert cleaned[30] is None and sum(t.count("\n") + 1 for t in cleaned.values() if t is not None) == sum(kept for _, kept in got.values())
+
+
+def test_fingerprints_of_very_long_lines_take_the_majority_over_all_words(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(50)]
+    line = [rng.choice(words) for _ in range(70_000)]
+    edited = ["more", *line[:50_000], "other", *line[50_001:]]
+    df = spark.createDataFrame([(0, " ".join(line)), (1, " ".join(edited)), (2, "a b c")], "doc_id long, text string")
+    prints = {r.doc_id: r.fingerprint for r in ld.fingerprints(ld.lines_of(df, "text"), 3).collect()}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in {*line, *edited, "a", "b", "c"}], "w string").select("w", ld.F.xxhash64("w").alias("h")).collect()}
+    for doc, text in ((0, line), (1, edited), (2, ["a", "b", "c"])):
+        ones = [sum(hashes[w] >> k & 1 for w in text) * 2 > len(text) for k in range(64)]
+        assert prints[doc] & ((1 << 64) - 1) == sum(1 << k for k in range(64) if ones[k])
+    assert bin((prints[0] ^ prints[1]) & ((1 << 64) - 1)).count("1") <= 3
