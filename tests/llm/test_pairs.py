@@ -151,3 +151,25 @@ def test_fingerprints_of_very_long_lines_take_the_majority_over_all_words(spark)
         ones = [sum(hashes[w] >> k & 1 for w in text) * 2 > len(text) for k in range(64)]
         assert prints[doc] & ((1 << 64) - 1) == sum(1 << k for k in range(64) if ones[k])
     assert bin((prints[0] ^ prints[1]) & ((1 << 64) - 1)).count("1") <= 3
+
+
+def test_one_changed_letter_is_linked_at_every_length(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9))) for _ in range(2000)]
+    sizes = {(3, 9): 40, (10, 19): 40, (20, 39): 40, (40, 79): 40, (80, 160): 40}
+    pairs, of = [], []
+    for (low, high), n in sizes.items():
+        for _ in range(n):
+            line = " ".join(rng.choice(words) for _ in range(rng.randint(low, high)))
+            at = rng.choice([i for i, c in enumerate(line) if c != " "])
+            pairs.append((line, line[:at] + "z" + line[at + 1 :]))
+            of.append((low, high))
+    line = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(25))  # no spaces at all
+    pairs.append((line, line[:11] + "。" + line[12:]))
+    of.append("unspaced")
+    df = spark.createDataFrame([(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)], "doc_id long, text string")
+    got = {r.doc_id: r.group_doc_id for r in ld.line_groups(df, least_words=1).collect()}
+    near = [i for i, (a, _) in enumerate(pairs) if len(a) >= 10]
+    assert len(near) > 195 and all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(len(pairs)))
+    recall = {k: sum(got[2 * i + 1] == 2 * i for i in near if of[i] == k) / sum(of[i] == k for i in near) for k in set(of)}
+    assert min(recall.values()) >= 0.95
