@@ -18,7 +18,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(table(spark, sf_dir, "documents"))
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

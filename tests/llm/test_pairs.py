@@ -173,3 +173,13 @@ def test_one_changed_letter_is_linked_at_every_length(spark):
     assert len(near) > 195 and all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(len(pairs)))
     recall = {k: sum(got[2 * i + 1] == 2 * i for i in near if of[i] == k) / sum(of[i] == k for i in near) for k in set(of)}
     assert min(recall.values()) >= 0.95
+
+
+def test_query_groups_equal_lines_of_any_length(spark, tmp_path):
+    from mitoloom.llm import registry
+
+    texts = ["les\n日本語のとても長い行です\nMenu", "Les!\n\n日本語のとても長い行です", "menu\nhome page\n--", "home page\n\n--"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no) for r in registry.op1_line_dedup(spark, str(tmp_path)).collect()}
+    moved = {(1, 0): (0, 0), (1, 2): (0, 1), (2, 0): (0, 2), (3, 0): (2, 1)}
+    assert got == {(d, n): moved.get((d, n), (d, n)) for d, t in enumerate(texts) for n in range(t.count("\n") + 1)}
