@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +22,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Contexts whose value is weighed by its guess cost: wider than ASSIGN in names, separators and characters.
-CONTEXT = re.compile(r"""(?:password|passwd|pass_?phrase|pwd|secret|token|api_?key|auth_?key|credentials?)["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*["'`]?([^\s"'`<>,;]{6,128})""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:password|passwd|pass_?phrase|pwd|secret|token|api_?key|auth_?key|credentials?)["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*["'`]?([^\s"'`<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 HINT = re.compile(r"pass|pwd|secret|token|api_?key|auth_?key|credential", re.IGNORECASE | re.ASCII)
+#: Repeat units and walks longer than this many characters are not sought as such; shorter pieces of them are.
+SPAN = 128
 #: Log10 of the guesses from which a value counts as a secret.
 STRONG = 8.0
 
@@ -47,11 +50,14 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
 
     best[j] is the least sum of log10 costs over segmentations of value[:j]; spans are dictionary words (also in leet and with
     capitals), dates, repeats of one unit, keyboard walks and single brute-force characters, which the last step joins. Each
-    further span costs a factor of two, for its kind and place. O(length squared); an empty value costs 0.
+    further span costs a factor of two, for its kind and place. Units of repeats and walks are bounded by SPAN, so that the cost is
+    linear in the length; an empty value costs 0.
     """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     spans: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    brute = [0.0, *accumulate(map(_brute, value))]
+    same = [0] * (SPAN + 1)
     for i in range(n):
         spans[i + 1].append((i, _brute(value[i]), "brute"))
         for j in range(i + 3, min(n, i + LONGEST) + 1):
@@ -61,14 +67,18 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
                 spans[j].append((i, math.log10(rank) + (0.3 if capitals else 0) + max(0, capitals - 1) * 0.3 * (capitals < j - i), "word"))
         if m := DATE.match(value, i):
             spans[m.end()].append((i, math.log10(365.25 * 120 if m.end() - i > 4 else 120) + (0.6 if not m.group().isdigit() else 0), "date"))
-        for unit in range(1, (n - i) // 2 + 1):
-            times = 1
-            while value.startswith(value[i : i + unit], i + times * unit):
-                times += 1
+        for unit in range(1, min(SPAN, (n - i) // 2) + 1):
+            # same[unit] is the end of the stretch around i in which each character equals the one ``unit`` before it
+            if same[unit] < i + unit:
+                j = i + unit
+                while j < n and value[j] == value[j - unit]:
+                    j += 1
+                same[unit] = j
+            times = (same[unit] - i) // unit
             if times * unit >= 3 and times > 1:
-                spans[i + times * unit].append((i, sum(map(_brute, value[i : i + unit])) + math.log10(times), "repeat"))
+                spans[i + times * unit].append((i, brute[i + unit] - brute[i] + math.log10(times), "repeat"))
         j = i + 1
-        while j < n and ((low[j - 1], low[j]) in NEXT or abs(ord(low[j]) - ord(low[j - 1])) == 1 and low[j].isalnum() and low[j - 1].isalnum()):
+        while j < min(n, i + SPAN) and ((low[j - 1], low[j]) in NEXT or abs(ord(low[j]) - ord(low[j - 1])) == 1 and low[j].isalnum() and low[j - 1].isalnum()):
             j += 1
             if j - i >= 3:
                 spans[j].append((i, math.log10(47 * 4 * (j - i)), "walk"))
@@ -81,8 +91,12 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     out, j = [], n
     while j:
         i, kind = via[j]
-        out, j = [(kind, i, out[0][2]) if out and kind == "brute" == out[0][0] else (kind, i, j), *out[1 if out and kind == "brute" == out[0][0] else 0 :]], i
-    return best[n], tuple(out)
+        if out and kind == "brute" == out[-1][0]:
+            out[-1] = (kind, i, out[-1][2])
+        else:
+            out.append((kind, i, j))
+        j = i
+    return best[n], tuple(reversed(out))
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -95,7 +109,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         taken = [(a, b) for _, a, b in spans]
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(x < b and a < y for x, y in taken) and guess_cost(text[a:b])[0] >= STRONG:
+            if not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b])[0] >= STRONG:
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -164,6 +164,18 @@ def test_secret_spans(spark):
     assert [k for k, *_ in secrets.guess_cost("dragon2019-05-11")[1]] == ["word", "date"]
 
 
+def test_long_values_are_weighed_and_spanned_whole():
+    tail = "xk7#Qz!m2Lp9@Vw4&Tb"
+    rng = random.Random(8)
+    for name in ("pwd=", "auth_key := ", "credentials => ", "passphrase is "):
+        for value in ("z" * 128 + tail, "".join(rng.choice("GHIJKLMNghijklmn._-#") for _ in range(700)), "Zq9#" * 300 + tail):
+            assert secrets.find_secrets(f"{name}{value} and more") == [("guess", len(name), len(name) + len(value))]
+    assert secrets.find_secrets("pwd=" + "z" * 5000) == []
+    assert secrets.find_secrets(f"pwd={'a' * 128}{tail}") == [("hex", 4, 132), ("guess", 4, 151)]  # a base span of a part does not hide the rest
+    cost, segments = secrets.guess_cost("a" * 128 + tail)
+    assert cost > secrets.STRONG and segments[0] == ("repeat", 0, 128) and segments[-1][2] == 147
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(300)] + [(300, None), (301, [None, 1.0]), (302, [float("nan")] * 8), (303, []), (304, [1.0]), (None, [1.0] * 8), (20, [9.0] * 8)]
