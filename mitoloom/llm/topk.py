@@ -99,10 +99,11 @@ def top_k(df: DataFrame, *, k: int = 20, query_modulus: int = 20, scale: int = 6
     Both are packed into groups of bounded size, and each group of queries meets each range of candidates in one task: that is
     the stated query set against all rows, in blocks. There each query takes the blocks in order of the sum of its terms'
     maxima and stops when no bound reaches its kth score; the ranges' lists are merged by rank. Vectors of other lengths
-    count as padded with zeros, empty ones score 0, rows that repeat an id are candidates each; nulls take no part.
+    count as padded with zeros, empty ones score 0; nulls take no part. Rows that repeat an id are candidates each; as a query
+    such an id stands for its smallest integer vector, compared from the first component on.
     """
     rows = cut(integer_vectors(df, scale, id_col, vector_col))
-    queries = _packed(rows.where(F.col("vec_id") % query_modulus == 0).dropDuplicates(["vec_id"]), QUERIES, "q", 1)
+    queries = _packed(rows.where(F.col("vec_id") % query_modulus == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), QUERIES, "q", 1)
     candidates = _packed(rows, SUPER, "c", 2)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -198,6 +198,14 @@ def test_exact_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_a_repeated_query_id_stands_for_its_smallest_vector(spark):
+    vectors = [[float(b), 1.0] for b in range(9, -10, -1)]
+    others = [(i, [float(i), 0.0]) for i in (-3, -1, 1, 3)]
+    for order in (vectors, vectors[::-1], vectors[5:] + vectors[:5]):
+        df = spark.createDataFrame([*((20, v) for v in order), *others], "vec_id long, embedding array<float>").repartition(3)
+        assert [(r["rank"], r.vec_id) for r in topk.top_k(df, k=2).orderBy("rank").collect()] == [(1, -3), (2, -1)]
+
+
 def test_toxicity_learns_from_positive_and_unlabelled_rows(spark):
     rng = random.Random(6)
     words = [f"plain{i}" for i in range(200)]
