@@ -56,21 +56,36 @@ def _(v: Views) -> DataFrame:
     return v.pileup.groupBy("pos").agg(F.max(F.when(F.col("qual") < 50, F.col("qual"))).alias("quality"))
 
 
-SITE = """WITH smp AS (SELECT pos, sample, max(dp) AS dp, count(*) AS k, max(idx) AS top, sum(CASE WHEN idx > 0 THEN {vaf} ELSE 0 END) AS vaf FROM genotyped GROUP BY 1, 2),
-site AS (SELECT pos, CAST(sum(k) AS BIGINT) AS an, CAST(count(CASE WHEN k = 1 AND top = 0 THEN 1 END) AS BIGINT) AS ref_n, CAST(count(CASE WHEN k > 1 THEN 1 END) AS BIGINT) AS het_n, CAST(count(CASE WHEN k = 1 AND top > 0 THEN 1 END) AS BIGINT) AS hom_n, CAST({depth}(avg(dp)) AS BIGINT) AS dp_mean, CAST({depth}(median(dp)) AS BIGINT) AS dp_median, sum(vaf) / sum(k) AS vaf_mean, avg(CASE WHEN k > 1 THEN vaf END) AS vaf_mean_het FROM smp GROUP BY pos)
-SELECT pos, an, ref_n, het_n, hom_n, dp_mean, dp_median, round(vaf_mean, {places}) AS vaf_mean, round(vaf_mean_het, {places}) AS vaf_mean_het, CASE WHEN het_n > 0 AND hom_n > 0 THEN 'Mixed' WHEN het_n > 0 THEN 'Het' WHEN hom_n > 0 THEN 'Hom' WHEN ref_n > 0 THEN 'Ref' ELSE 'Unknown' END AS pt FROM site"""
+SITE = """
+WITH g AS (SELECT * FROM genotyped WHERE {chosen}),
+smp AS (SELECT pos, sample, max(dp) AS dp, {het} AS het, max(idx) AS top FROM g GROUP BY 1, 2),
+site AS (SELECT pos, CAST(count(*) AS BIGINT) AS an,
+  CAST(count(CASE WHEN NOT het AND top = 0 THEN 1 END) AS BIGINT) AS ref_n, CAST(count(CASE WHEN het THEN 1 END) AS BIGINT) AS het_n,
+  CAST(count(CASE WHEN NOT het AND top > 0 THEN 1 END) AS BIGINT) AS hom_n,
+  CAST({depth}(avg(dp){digits}) AS BIGINT) AS dp_mean, CAST({depth}(median(dp){digits}) AS BIGINT) AS dp_median FROM smp GROUP BY pos),
+alt AS (SELECT g.pos, g.idx, sum({vaf}) AS total, coalesce(avg(CASE WHEN smp.het THEN {vaf} END), 0.0) AS vaf_mean_het
+  FROM g JOIN smp ON smp.pos = g.pos AND smp.sample = g.sample WHERE g.idx > 0 GROUP BY 1, 2)
+SELECT site.pos, site.an, ref_n, het_n, hom_n, dp_mean, dp_median, alt.idx, round(alt.total / site.an, {places}) AS vaf_mean,
+  round(alt.vaf_mean_het, {places}) AS vaf_mean_het,
+  CASE WHEN het_n > 0 AND hom_n > 0 THEN 'Mixed' WHEN het_n > 0 THEN 'Het' WHEN hom_n > 0 THEN 'Hom' WHEN ref_n > 0 THEN 'Ref' ELSE 'Unknown' END AS pt
+FROM site LEFT JOIN alt ON alt.pos = site.pos"""
 
 
-@query("agg13_site_info", SITE.format(vaf="af", depth="round", places=9))
+def _site_rows(calls: DataFrame, mode: str, places: int) -> DataFrame:
+    rows = cohort.site_info(calls, mode).join(cohort.alt_shares(calls, mode), "pos", "left")
+    return rows.withColumns({c: F.round(c, places) for c in ("vaf_mean", "vaf_mean_het")})
+
+
+@query("agg13_site_info", SITE.format(chosen="true", het="count(*) > 1", vaf="g.af", depth="round_even", digits=", 0", places=9))
 def _(v: Views) -> DataFrame:
-    return cohort.site_info(v.genotyped).withColumns({c: F.round(c, 9) for c in ("vaf_mean", "vaf_mean_het")})
+    return _site_rows(v.genotyped, "call", 9)
 
 
-@query("agg17_subset_info", SITE.format(vaf="CAST(CAST(af AS FLOAT) AS DOUBLE)", depth="floor", places=5).replace("FROM genotyped", "FROM genotyped WHERE sample IN ('s1', 's3', 's5', 's7')"))
+@query("agg17_subset_info", SITE.format(chosen="sample IN ('s1', 's3', 's5', 's7')", het="min(idx) < max(idx)", vaf="CAST(CAST(g.af AS FLOAT) AS DOUBLE)", depth="floor", digits="", places=5))
 def _(v: Views) -> DataFrame:
     chosen = v.spark.createDataFrame([(f"s{i}",) for i in (1, 3, 5, 7)], "sample string")
     kept = cohort.subset(v.genotyped, chosen, keep_all=True)
-    return cohort.site_info(kept, "subset").withColumns({c: F.round(c, 5) for c in ("vaf_mean", "vaf_mean_het")})
+    return _site_rows(kept, "subset", 5)
 
 
 @query("agg18_used_alleles", "SELECT pos, array_to_string(list_sort(list_distinct(list(allele) FILTER (WHERE idx > 0))), ',') AS used FROM genotyped GROUP BY pos")

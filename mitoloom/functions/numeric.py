@@ -21,56 +21,106 @@ def normal_tail(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2))
 
 
-def em(likelihood: np.ndarray, share: np.ndarray, rounds: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
-    """(allele shares, log likelihood) by EM from starting shares; likelihood is reads by alleles.
+def em(likelihood: np.ndarray, times: np.ndarray, share: np.ndarray, rounds: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(allele shares, log likelihoods) of many problems at once by EM from starting shares.
 
-    The start is not brought to a sum of 1, as the stopping rule and the statistics built on it depend on that. One step is
-    taken before the counted rounds; they end when the reads' log likelihoods change by less than ``tolerance`` in sum.
+    likelihood is problems by observations by alleles, and times says how often each observation was made (0 where a problem has
+    fewer of them). The start is not brought to a sum of 1, as the stopping rule and the statistics built on it depend on that. One step
+    is taken before the counted rounds; a problem ends when its reads' log likelihoods change by less than ``tolerance`` in sum.
     """
-    before = None
+    share, level = share.astype(float).copy(), np.zeros(len(share))
+    total = times.sum(axis=1)
+    left, before = np.arange(len(share)), None
     for _ in range(rounds + 1):
-        joint = likelihood * share
-        marginal = joint.sum(axis=1)
-        with np.errstate(divide="ignore"):
-            log = np.log(marginal)
-        share = (joint / marginal[:, None]).mean(axis=0)
-        if before is not None and np.abs(log - before).sum() < tolerance:
-            return share, float(log.sum())
+        joint = likelihood[left] * share[left, None, :]
+        marginal = joint.sum(axis=2)
+        seen = times[left]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log = np.where(seen > 0, np.log(marginal), 0.0)
+            share[left] = (np.where(seen > 0, seen / marginal, 0.0)[:, :, None] * joint).sum(axis=1) / total[left, None]
+            level[left] = (seen * log).sum(axis=1)
+            if before is not None:
+                open_ = ~((seen * np.abs(log - before)).sum(axis=1) < tolerance)
+                left, log = left[open_], log[open_]
+        if not len(left):
+            break
         before = log
-    return share, float(before.sum())
+    return share, level
+
+
+class Site:
+    """Equal observations at one position of one sample: ``which`` numbers an allele, ``error`` is a base's, ``times`` their count.
 
+    ``names`` are all alleles that the error is shared among, in order of length, then code point.
+    """
 
-def allele_set(alleles: list[str], depth: np.ndarray, likelihood: np.ndarray, least_share: float) -> tuple[list[int], np.ndarray, float]:
-    """(places of the chosen alleles, their shares, quality) of one sample at one position.
+    def __init__(self, names: list[str], which: np.ndarray, error: np.ndarray, times: np.ndarray):
+        self.names, self.which, self.error, self.times = names, which, error, times
+        self.depth = np.bincount(which, times, len(names))
+        self.total = self.depth.sum()
+
+    def likelihood(self, chosen: tuple[int, ...]) -> np.ndarray:
+        """Observations by chosen alleles."""
+        return np.where(self.which[:, None] == np.array(chosen), 1 - self.error[:, None], self.error[:, None] / (len(self.names) - 1))
+
+
+def _fits(problems: list[tuple[Site, tuple[int, ...]]], cells: int = 1 << 21) -> list[float]:
+    """Log likelihood of each site under each set of alleles; problems of like size go through EM together."""
+    out = [0.0] * len(problems)
+    order = sorted(range(len(problems)), key=lambda i: (len(problems[i][1]), len(problems[i][0].which)))
+    at = 0
+    while at < len(order):
+        wide, end = len(problems[order[at]][1]), at
+        while end < len(order) and len(problems[order[end]][1]) == wide and (end - at + 1) * len(problems[order[end]][0].which) * wide <= max(cells, len(problems[order[at]][0].which) * wide):
+            end += 1
+        end = max(end, at + 1)
+        some = [problems[i] for i in order[at:end]]
+        deep = max(len(s.which) for s, _ in some)
+        likelihood, times, share = np.ones((len(some), deep, wide)), np.zeros((len(some), deep)), np.zeros((len(some), wide))
+        for i, (site, chosen) in enumerate(some):
+            n = len(site.which)
+            likelihood[i, :n], times[i, :n], share[i] = site.likelihood(chosen), site.times, site.depth[list(chosen)] / site.total
+        for i, level in zip(order[at:end], em(likelihood, times, share)[1], strict=True):
+            out[i] = float(level)
+        at = end
+    return out
+
+
+def allele_sets(sites: list[Site], least_share: float) -> list[tuple[list[int], float]]:
+    """(places of the chosen alleles, quality) of each site.
 
     From all alleles of sufficient share, sets get smaller by one as long as the best smaller set fits about as well (statistic
     below 24). The quality is -10 log10 of the last statistic's tail; 10000 for one allele of over half of more than ten reads.
     """
-    total = depth.sum()
-    active = [i for i in range(len(alleles)) if total and depth[i] / total >= least_share]
-    if not active:
-        return [], np.zeros(0), 0.0
-
-    def fit(chosen: tuple[int, ...]) -> tuple[np.ndarray, float]:
-        start = np.zeros(len(alleles))
-        start[list(chosen)] = depth[list(chosen)] / total
-        return em(likelihood, start)
-
-    share, level = fit(tuple(active))
-    statistic = 0.0
-    for n in range(len(active) - 1, 0, -1):
-        tried = [(chosen, *fit(chosen)) for chosen in combinations(active, n)]
-        best = max(range(len(tried)), key=lambda i: (tried[i][2], -i))
-        statistic, level = 2 * (level - tried[best][2]), tried[best][2]
-        if statistic >= LRT_THRESHOLD:
-            break
-        active, share = list(tried[best][0]), tried[best][1]
-    if len(active) == 1 and total > 10 and depth[active[0]] / total > 0.5:
-        quality = 10_000.0
-    else:
-        p = chi2_tail(statistic)
-        quality = -10 * math.log10(p) if p > 0 else 10_000.0
-    return active, share[active], quality + 0.0
+    active = [tuple(i for i in range(len(s.names)) if s.total and s.depth[i] / s.total >= least_share) for s in sites]
+    statistic = np.zeros(len(sites))
+    left = [i for i, chosen in enumerate(active) if len(chosen) > 1]
+    level = dict(zip(left, _fits([(sites[i], active[i]) for i in left]), strict=True))
+    while left:
+        tried = [(i, smaller) for i in left for smaller in combinations(active[i], len(active[i]) - 1)]
+        best: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for (i, smaller), fit in zip(tried, _fits([(sites[i], smaller) for i, smaller in tried]), strict=True):
+            if i not in best or fit > best[i][0]:
+                best[i] = (fit, smaller)
+        going = []
+        for i in left:
+            statistic[i] = 2 * (level[i] - best[i][0])
+            if statistic[i] < LRT_THRESHOLD:
+                level[i], active[i] = best[i]
+                if len(active[i]) > 1:
+                    going.append(i)
+        left = going
+    out = []
+    for site, chosen, x in zip(sites, active, statistic, strict=True):
+        if not chosen:
+            quality = 0.0
+        elif len(chosen) == 1 and site.total > 10 and site.depth[chosen[0]] / site.total > 0.5:
+            quality = 10_000.0
+        else:
+            p = chi2_tail(float(x))
+            quality = -10 * math.log10(p) + 0.0 if p > 0 else 10_000.0
+        out.append((list(chosen), quality))
+    return out
 
 
 def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.5, tolerance: float = 1e-8, rounds: int = 500) -> np.ndarray:

@@ -30,13 +30,13 @@ def placed(cigar: Column, pos: Column) -> Column:
 
 
 def aligned_pairs(reads: DataFrame) -> DataFrame:
-    """reads' columns plus op, ref_pos, query_pos, base: a row for each aligned base, one for each I, S, P, D or N; H gives none."""
+    """reads' columns plus op, op_len, ref_pos, query_pos, base: a row for each aligned base, one for each I, S, P, D or N; H none."""
     rows = reads.withColumn("__op", F.explode(placed(F.col("cigar"), F.col("pos")))).where("__op.op <> 'H' AND __op.len > 0")
     single = ~F.col("__op.op").isin(*MATCHES)
     rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), F.when(single, F.lit(0)).otherwise(F.col("__op.len") - 1))))
     at = F.col("__op.query_at") + F.col("__i")
     base = F.when(F.col("__op.op").isin("I", "S"), F.substring("seq", F.col("__op.query_at") + 1, F.col("__op.len"))).when(single, "").otherwise(F.substring("seq", at + 1, F.lit(1)))
-    return rows.withColumns({"op": F.col("__op.op"), "ref_pos": F.col("__op.ref_at") + F.col("__i"), "query_pos": at, "base": base}).drop("__op", "__i")
+    return rows.withColumns({"op": F.col("__op.op"), "op_len": F.col("__op.len"), "ref_pos": F.col("__op.ref_at") + F.col("__i"), "query_pos": at, "base": base}).drop("__op", "__i")
 
 
 def summary(reads: DataFrame) -> DataFrame:

@@ -5,25 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mitoloom.functions import alleles as al
+
+
+def _genotypes(calls: DataFrame, mode: str) -> DataFrame:
+    """A row for each site and sample: depth, and whether its genotype is ref, hom or het.
+
+    In a fresh call each allele stands once, so that two make a mixed genotype; a genotype of a file may repeat one, and is
+    mixed only if its alleles differ.
+    """
+    het = F.count("*") > 1 if mode == "call" else F.min("idx") < F.max("idx")
+    return calls.where("idx IS NOT NULL").groupBy("pos", "sample").agg(F.max("dp").alias("dp"), het.alias("het"), F.max("idx").alias("top"))
+
 
 def site_info(calls: DataFrame, mode: str = "call") -> DataFrame:
-    """AN, REF_N, HET_N, HOM_N, DP_MEAN, DP_MEDIAN, VAF_MEAN, VAF_MEAN_HET and PT of each site.
+    """AN, REF_N, HET_N, HOM_N, DP_MEAN, DP_MEDIAN and PT of each site.
+
+    calls has a row for each site, sample and allele of the sample's genotype: pos, sample, idx (0: reference, null: missing) and
+    dp. AN counts the samples with a genotype. ``call`` rounds depths half to even, ``subset`` truncates them, both over known
+    ones. A site is Ref, Hom, Het or Mixed by what its samples are; sites without a genotype give no row.
+    """
+    ref, hom = ~F.col("het") & (F.col("top") == 0), ~F.col("het") & (F.col("top") > 0)
+    depth = (lambda c: F.bround(c).cast("bigint")) if mode == "call" else (lambda c: F.floor(c).cast("bigint"))
+    counts = {"an": F.count("*"), "ref_n": F.count_if(ref), "het_n": F.count_if("het"), "hom_n": F.count_if(hom)}
+    depths = {"dp_mean": depth(F.avg("dp")), "dp_median": depth(F.percentile("dp", F.lit(0.5)))}
+    sites = _genotypes(calls, mode).groupBy("pos").agg(*[c.alias(name) for name, c in (counts | depths).items()])
+    varied = F.when((F.col("het_n") > 0) & (F.col("hom_n") > 0), "Mixed").when(F.col("het_n") > 0, "Het")
+    return sites.withColumn("pt", varied.when(F.col("hom_n") > 0, "Hom").when(F.col("ref_n") > 0, "Ref").otherwise("Unknown"))
+
+
+def alt_shares(calls: DataFrame, mode: str = "call") -> DataFrame:
+    """(pos, idx, vaf_mean, vaf_mean_het) of each site's alternative alleles.
+
+    The first mean counts every sample with a genotype, 0 where it lacks the allele; the second counts the mixed genotypes with
+    it, and is 0 without any. ``subset`` takes shares in single precision, as files hold them; unknown shares are left out.
+    """
+    share = F.col("af") if mode == "call" else F.col("af").cast("float").cast("double")
+    samples = _genotypes(calls, mode)
+    alts = calls.where("idx > 0").join(samples.select("pos", "sample", "het"), ["pos", "sample"])
+    means = alts.groupBy("pos", "idx").agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("total"), F.coalesce(F.avg(F.when(F.col("het"), share)), F.lit(0.0)).alias("vaf_mean_het"))
+    counted = samples.groupBy("pos").agg(F.count("*").alias("an"))
+    return means.join(counted, "pos").select("pos", "idx", (F.col("total") / F.col("an")).alias("vaf_mean"), "vaf_mean_het")
+
+
+def rebased(calls: DataFrame, by: list[str]) -> DataFrame:
+    """calls of several samples brought onto one reference a site: site_ref, alt and idx (0: reference, then by length and text).
 
-    calls has a row for each site, sample and allele of the sample's genotype: pos, sample, idx (0: reference), af, dp and
-    ploidy (alleles in the genotype). ``call`` rounds depths, ``subset`` truncates them and takes shares in single precision.
-    A sample with one allele is homozygous; a site is Ref, Hom, Het or Mixed by what its samples are, Unknown without any.
+    ref is an allele's own reference, and allele is a base, ``+`` with the inserted or ``-`` with the deleted bases. The site's
+    reference is the longest of them; every alternative is extended to its end.
     """
-    number = F.col("af") if mode == "call" else F.col("af").cast("float").cast("double")
-    samples = calls.groupBy("pos", "sample").agg(F.max("dp").alias("dp"), F.count("*").alias("k"), F.max("idx").alias("top"), F.sum(F.when(F.col("idx") > 0, number).otherwise(0.0)).alias("vaf"))
-    het, hom, ref = F.col("k") > 1, (F.col("k") == 1) & (F.col("top") > 0), (F.col("k") == 1) & (F.col("top") == 0)
-    depth = (lambda c: F.round(c).cast("bigint")) if mode == "call" else (lambda c: F.floor(c).cast("bigint"))
-    sites = samples.groupBy("pos").agg(
-        F.sum("k").alias("an"), F.count_if(ref).alias("ref_n"), F.count_if(het).alias("het_n"), F.count_if(hom).alias("hom_n"),
-        depth(F.avg("dp")).alias("dp_mean"), depth(F.percentile("dp", F.lit(0.5))).alias("dp_median"),
-        (F.sum("vaf") / F.sum("k")).alias("vaf_mean"), F.avg(F.when(het, F.col("vaf"))).alias("vaf_mean_het"),
-    )
-    kind = F.when((F.col("het_n") > 0) & (F.col("hom_n") > 0), "Mixed").when(F.col("het_n") > 0, "Het").when(F.col("hom_n") > 0, "Hom").when(F.col("ref_n") > 0, "Ref").otherwise("Unknown")
-    return sites.withColumn("pt", kind)
+    first = calls.groupBy(*by).agg(F.max_by("ref", F.struct(F.length("ref"), "ref")).alias("site_ref"))
+    ref, allele = F.col("ref"), F.col("allele")
+    own = F.when(allele.startswith("-"), F.substring(ref, F.lit(1), F.lit(1))).when(allele.startswith("+"), F.concat(ref, F.substring(allele, F.lit(2), F.length(allele)))).otherwise(allele)
+    whole = al.rebased(ref, own, F.col("site_ref"))
+    named = calls.join(first, by).withColumn("alt", whole)
+    alts = named.where("alt <> site_ref").groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(F.length("alt").alias("n"), "alt"))).alias("alts"))
+    with_alts = named.join(alts, by, "left").withColumn("alts", F.coalesce(F.col("alts.alt"), F.array().cast("array<string>")))
+    return with_alts.withColumn("idx", F.array_position("alts", F.col("alt")).cast("int"))
 
 
 def subset(calls: DataFrame, samples: DataFrame, keep_all: bool = False) -> DataFrame:

@@ -9,21 +9,50 @@ from mitoloom.functions import stats as st
 from mitoloom.operators import cigar
 
 
-def from_reads(reads: DataFrame, reference: DataFrame, min_quality: int = 20) -> DataFrame:
-    """(sample, contig, pos 1-based, ref, allele, qual, mapq, strand) from reads and reference (contig, pos, ref).
+def from_reads(reads: DataFrame, min_quality: int = 20) -> DataFrame:
+    """(sample, contig, pos 1-based, allele, qual, mapq, strand, indel, lost) of each aligned base and indel.
 
-    Bases below the quality are dropped. An insertion takes the base quality before it, a deletion the read's mean.
-    The reference of a mitochondrial genome is 16.6 kb, which Spark broadcasts; larger ones join by (contig, pos).
+    An insertion is ``+`` with its bases at the base after it and takes the quality of the base before it, or its own mean at a
+    read's start. A deletion is ``-`` at its first base, of ``lost`` bases, and takes the read's mean. Lower qualities go.
     """
     strand = F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")
     bases = cigar.aligned_pairs(reads.withColumn("strand", strand)).where("op IN ('M', '=', 'X', 'I', 'D')")
     quality = lambda at: F.ascii(F.substring("qual", at, F.lit(1))) - 33
-    q = F.when(F.col("op") == "D", F.floor(cigar.mean_quality(F.col("qual")))).when((F.col("op") == "I") & (F.col("query_pos") > 0), quality(F.col("query_pos"))).otherwise(quality(F.col("query_pos") + 1))
+    start = F.floor(cigar.mean_quality(F.substring("qual", F.lit(1), F.length("base"))))
+    inserted = F.when(F.col("query_pos") > 0, quality(F.col("query_pos"))).otherwise(start)
+    q = F.when(F.col("op") == "D", F.floor(cigar.mean_quality(F.col("qual")))).when(F.col("op") == "I", inserted).otherwise(quality(F.col("query_pos") + 1))
     rows = bases.withColumn("__q", q.cast("int")).where(F.col("__q") >= min_quality)
-    anchored = rows.withColumn("__pos", F.col("ref_pos") + F.when(F.col("op").isin("I", "D"), 0).otherwise(1))
-    joined = anchored.join(reference.select(F.col("contig").alias("rname"), F.col("pos").alias("__pos"), "ref"), ["rname", "__pos"])
-    allele = F.when(F.col("op") == "I", F.concat(F.lit("+"), F.col("base"))).when(F.col("op") == "D", F.lit("-")).otherwise(F.upper("base"))
-    return joined.select("sample", F.col("rname").alias("contig"), F.col("__pos").alias("pos"), "ref", allele.alias("allele"), F.col("__q").alias("qual"), "mapq", "strand", (F.col("op").isin("I", "D")).cast("int").alias("indel"))
+    allele = F.when(F.col("op") == "I", F.concat(F.lit("+"), F.upper("base"))).when(F.col("op") == "D", F.lit("-")).otherwise(F.upper("base"))
+    lost = F.when(F.col("op") == "D", F.col("op_len")).otherwise(0)
+    return rows.select("sample", F.col("rname").alias("contig"), (F.col("ref_pos") + 1).alias("pos"), allele.alias("allele"), F.col("__q").alias("qual"), "mapq", "strand", F.col("op").isin("I", "D").cast("int").alias("indel"), lost.alias("lost"))
+
+
+def with_deleted(counted: DataFrame, reference: DataFrame) -> DataFrame:
+    """counted with the deleted bases of the reference (contig, pos, ref) as ``gone`` and behind the ``-`` of deletions.
+
+    Only the different deletions are spelt out, a row for each of their bases. Bases beyond the reference are N.
+    """
+    gaps = counted.where("lost > 0").select("contig", "pos", "lost").distinct()
+    spelt = gaps.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("lost") - 1))).withColumn("__p", F.col("pos") + F.col("__i"))
+    known = reference.select("contig", F.col("pos").alias("__p"), F.upper("ref").alias("__b"))
+    letters = F.array_sort(F.collect_list(F.struct("__i", F.coalesce("__b", F.lit("N")).alias("b"))))
+    words = spelt.join(known, ["contig", "__p"], "left").groupBy("contig", "pos", "lost").agg(F.array_join(letters["b"], "").alias("gone"))
+    joined = counted.join(words, ["contig", "pos", "lost"], "left").withColumn("gone", F.coalesce("gone", F.lit("")))
+    return joined.withColumn("allele", F.when(F.col("lost") > 0, F.concat(F.lit("-"), "gone")).otherwise(F.col("allele")))
+
+
+def displaced(counted: DataFrame, least_share: float, by: list[str]) -> DataFrame:
+    """Indels moved to the base before them, where they displace what stood there; counted has pos, indel and n.
+
+    Where a position has indels, its indels and its bases each stay only with a share of ``least_share`` or more of all there. At the
+    first position of a contig there is no base before: there, bases displace indels.
+    """
+    here = Window.partitionBy(*by, "pos")
+    share = F.sum("n").over(Window.partitionBy(*by, "pos", "indel")) / F.sum("n").over(here)
+    kept = counted.withColumns({"__share": share, "__any": F.max("indel").over(here)}).where((F.col("__any") == 0) | (F.col("__share") >= least_share))
+    moved = kept.withColumn("__edge", F.when((F.col("pos") == 1) & (F.col("indel") == 1), -1).otherwise(F.col("indel"))).withColumn("pos", F.greatest(F.col("pos") - F.col("indel"), F.lit(1)))
+    wins = F.max("__edge").over(Window.partitionBy(*by, "pos"))
+    return moved.withColumn("__wins", wins).where("__edge = __wins").drop("__share", "__any", "__edge", "__wins")
 
 
 def allele_depths(pileup: DataFrame, by: list[str]) -> DataFrame:

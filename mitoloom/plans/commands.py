@@ -26,13 +26,15 @@ def long_calls(records: DataFrame) -> DataFrame:
 
 
 def subsam(spark: SparkSession, path: str, samples: list[str], keep_all: bool = False) -> DataFrame:
-    """Recomputed site INFO of a subset of a VCF's samples; a sample that the file lacks raises."""
+    """Recomputed site INFO of a subset of a VCF's samples, a row for each site and alternative that they have (idx null without
+    any); a sample that the file lacks raises."""
     calls = long_calls(records_of(spark, path))
     asked = spark.createDataFrame([(s,) for s in samples], "sample string")
     absent = [r["sample"] for r in cohort.absent_samples(records_of(spark, path), asked).collect()]
     if absent:
         raise ValueError(f"samples not in the file: {absent}")
-    return cohort.site_info(cohort.subset(calls, asked, keep_all), "subset")
+    kept = cohort.subset(calls, asked, keep_all)
+    return cohort.site_info(kept, "subset").join(cohort.alt_shares(kept, "subset"), "pos", "left")
 
 
 def copy_number_report(reads: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, min_mapq: int = 0) -> DataFrame:

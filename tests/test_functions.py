@@ -54,24 +54,45 @@ def test_small_helpers(spark):
     assert one(spark, st.phred(F.lit(0.0))) == 10000 and one(spark, st.logit(F.lit(1.0))) == 10000
 
 
-def test_em_recovers_shares():
+def plain_em(likelihood, share):
+    """EM read by read, for one problem."""
+    before = None
+    for _ in range(101):
+        joint = likelihood * share
+        marginal = joint.sum(axis=1)
+        share = (joint / marginal[:, None]).mean(axis=0)
+        if before is not None and np.abs(np.log(marginal) - before).sum() < 1e-3:
+            break
+        before = np.log(marginal)
+    return share, np.log(marginal).sum()
+
+
+def test_em_of_counted_observations_equals_em_over_reads():
     rng = np.random.default_rng(3)
-    truth = rng.random(400) < 0.3
-    likelihood = np.where(truth[:, None], [0.001, 0.999], [0.999, 0.001])
-    share, _ = numeric.em(likelihood, np.array([0.5, 0.5]))
-    assert abs(share[1] - truth.mean()) < 0.01
-
-
-def test_allele_set_drops_noise_and_keeps_a_minor_allele():
-    def call(depth):
-        which = np.repeat(np.arange(4), depth)
-        likelihood = np.full((len(which), 4), 0.001 / 3)
-        likelihood[np.arange(len(which)), which] = 0.999
-        return numeric.allele_set(list("ACGT"), np.array(depth), likelihood, 0.01)
-
-    assert call([100, 0, 0, 0])[0] == [0] and call([100, 0, 0, 0])[2] == 10000
-    chosen, share, quality = call([60, 40, 0, 0])
-    assert chosen == [0, 1] and abs(share[1] - 0.4) < 0.01 and quality > 100
+    problems = []
+    for _ in range(20):
+        seen, alleles = rng.integers(1, 9), rng.integers(1, 4)
+        problems.append((rng.uniform(0.001, 0.999, (seen, alleles)), rng.integers(1, 40, seen), rng.dirichlet(np.ones(alleles)) * rng.uniform(0.8, 1)))
+    for wide in (1, 2, 3):
+        some = [p for p in problems if p[0].shape[1] == wide]
+        deep = max(len(p[1]) for p in some)
+        likelihood, times = np.ones((len(some), deep, wide)), np.zeros((len(some), deep))
+        for i, (x, n, _) in enumerate(some):
+            likelihood[i, : len(n)], times[i, : len(n)] = x, n
+        shares, levels = numeric.em(likelihood, times, np.array([p[2] for p in some]))
+        for (x, n, start), share, level in zip(some, shares, levels):
+            expected, at = plain_em(np.repeat(x, n, axis=0), start)
+            assert np.allclose(share, expected, atol=1e-9) and abs(level - at) < 1e-6
+
+
+def test_allele_sets_drop_noise_and_keep_a_minor_allele():
+    def call(*depths):
+        sites = [numeric.Site(list("ACGT"), np.flatnonzero(d), np.full(np.count_nonzero(d), 0.001), np.array([x for x in d if x], float)) for d in depths]
+        return numeric.allele_sets(sites, 0.01)
+
+    alone, mixed, noisy, empty, tied = call([100, 0, 0, 0], [60, 40, 0, 0], [995, 0, 5, 0], [0, 0, 0, 0], [5, 5, 0, 0])
+    assert alone == ([0], 10000) and noisy == ([0], 10000) and empty == ([], 0.0)
+    assert mixed[0] == [0, 1] and mixed[1] > 100 and tied[0] == [0, 1]
 
 
 def test_fits_recover_their_parameters():

@@ -7,6 +7,8 @@ from mitoloom.operators import annotate, cigar, drift, intervals, pedigree, pile
 from mitoloom.plans import bottleneck, caller
 from mitoloom.sources import bam, sinks, text
 
+READ = "sample string, qname string, flag int, rname string, pos int, mapq int, rnext string, cigar string, seq string, qual string"
+
 
 def test_cigar_expansion_by_hand(spark):
     reads = spark.createDataFrame([("r", 10, "2S3M2I2M1D1M3H", "TTACGAAGTC")], "qname string, pos int, cigar string, seq string")
@@ -86,6 +88,37 @@ def test_pileup_from_reads_counts_strands(spark):
     assert got == {"A": (1, 1, True), "G": (1, 0, False)}
 
 
+def test_bases_below_the_quality_do_not_count(spark):
+    reads = spark.createDataFrame([("s", "q", 0, "c", 0, 60, "*", "4M", "ACGT", "IIII"), ("s", "r", 16, "c", 0, 60, "*", "4M", "ACGA", "III!")], READ)
+    got = pileup.strand_counts(pileup.from_reads(reads), ["pos"]).collect()
+    assert sorted((r.pos, r.allele, r.fwd, r.rev) for r in got) == [(1, "A", 1, 1), (2, "C", 1, 1), (3, "G", 1, 1), (4, "T", 1, 0)]
+
+
+def test_an_insertion_and_two_deletions_at_one_site(spark):
+    reference = spark.createDataFrame([("c", i + 1, b) for i, b in enumerate("ACGTACGTAC")], "contig string, pos int, ref string")
+    shapes = {"plain": ("10M", "ACGTACGTAC", 30), "insertion": ("4M2I6M", "ACGTTTACGTAC", 20), "one": ("4M1D5M", "ACGTCGTAC", 20), "three": ("4M3D3M", "ACGTTAC", 30)}
+    reads = [("s", f"{name}{i}", 16 * (i % 2), "c", 0, 60, "*", cigar, seq, "I" * len(seq)) for name, (cigar, seq, n) in shapes.items() for i in range(n)]
+    reads += [("t", f"q{i}", 0, "c", 0, 60, "*", "10M", "ACGTACGTAC", "I" * 10) for i in range(20)]
+    calls, sites = caller.call_variants(spark.createDataFrame(reads, READ), reference)
+    got = {r["sample"]: r for r in calls.where("pos = 4").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("allele", "alt", "idx", "ad", "dp", "type"))).alias("a"), F.first("site_ref").alias("ref")).collect()}
+    # the indels before position 5 stand at position 4 and displace its bases; depth there is that of the indels
+    assert got["s"].ref == "TACG" and [tuple(a) for a in got["s"].a] == [("+TT", "TTTACG", 3, 20, 70, "INS"), ("-A", "TCG", 2, 20, 70, "DEL"), ("-ACG", "T", 1, 30, 70, "DEL")]
+    assert [tuple(a) for a in got["t"].a] == [("T", "TACG", 0, 20, 20, "REF")]
+    site = sites.where("pos = 4").first()
+    assert (site.ref, site.alts, site.an, site.het_n, site.ref_n, site.pt) == ("TACG", ["T", "TCG", "TTTACG"], 2, 1, 1, "Het")
+    assert [round(x, 6) for x in site.vaf_mean] == [round(30 / 70 / 2, 6), round(20 / 70 / 2, 6), round(20 / 70 / 2, 6)]
+    filled = {(r.pos, r["sample"]): (r.gt, r.dp) for r in caller.genotypes(calls, sites, spark.createDataFrame([("s",), ("t",), ("u",)], "sample string")).collect()}
+    assert filled[4, "s"] == ("1/2/3", 70) and filled[4, "t"] == ("0", 20) and filled[4, "u"] == (".", 0)
+
+
+def test_rare_indels_do_not_displace_and_the_first_position_keeps_its_bases(spark):
+    rows = [("s", "c", p, a, i, n) for p, a, i, n in ((1, "A", 0, 90), (1, "+T", 1, 10), (5, "G", 0, 999), (5, "-G", 1, 1), (4, "C", 0, 50), (7, "T", 0, 1), (7, "+A", 1, 999), (6, "C", 0, 80))]
+    counted = spark.createDataFrame(rows, "sample string, contig string, pos int, allele string, indel int, n long")
+    got = sorted((r.pos, r.allele, r.n) for r in pileup.displaced(counted, 0.01, ["sample", "contig"]).collect())
+    assert got == [(1, "A", 90), (4, "C", 50), (5, "G", 999), (6, "+A", 999)]
+    assert pileup.displaced(counted.limit(0), 0.01, ["sample", "contig"]).count() == 0
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">c1 note\nACGT\nNN\n>c2\nGG\n")
     got = {r.contig: (r.length, r.sequence) for r in text.fasta(spark, str(tmp_path / "x.fa")).collect()}
