@@ -23,7 +23,7 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
     "regions": ("part", ["concat('chr', CAST(p_partkey % 5 AS STRING)) AS chrom", "CAST(p_partkey * 7 AS BIGINT) AS s", "CAST(p_partkey * 7 + p_size AS BIGINT) AS e", "p_partkey AS region_id"], "true"),
     "contigs": ("nation", ["concat('chr', CASE n_nationkey WHEN 24 THEN 'M' ELSE CAST(n_nationkey + 1 AS STRING) END) AS contig", "CAST(n_nationkey AS BIGINT) AS nation", "CAST(1000000 + 1000 * n_nationkey AS BIGINT) AS length"], "true"),
     "alts": ("part", ["CAST(p_partkey AS INT) AS pos", "substring('ACGTACGTTGCA', 1 + CAST(p_partkey % 5 AS INT), 1 + CAST(p_size % 4 AS INT)) AS ref", "substring('ACGTACGTTGCA', 1 + CAST(p_partkey % 5 AS INT) + CAST(p_partkey % 2 AS INT), 1 + CAST(floor(p_size / 4) % 4 AS INT)) AS alt", "p_size AS size", "p_retailprice AS score"], "true"),
-    "segments": ("documents", ["doc_id", "substring(text, 1, 60) AS seq", "source", "lang"], "text IS NOT NULL AND length(text) > 0"),
+    "segments": ("documents", ["doc_id", "text AS seq", "source", "lang"], "text IS NOT NULL AND length(text) > 0"),
     "strands": ("lineitem", ["CAST(l_partkey AS INT) AS pos", "l_returnflag AS allele", "CAST(count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS INT) AS fwd", "CAST(count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS INT) AS rev", "CAST(count(*) AS INT) AS depth"], "true GROUP BY l_partkey, l_returnflag"),
     "calls": ("pileup", ["pos", "sample", "allele", "CASE allele WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS idx", "CAST(count(*) AS INT) AS ad", "CAST(sum(count(*)) OVER (PARTITION BY pos, sample) AS INT) AS dp", "CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY pos, sample) AS DOUBLE) AS af", "CAST(avg(qual) AS DOUBLE) AS aq"], "true GROUP BY pos, sample, allele"),
     "genotyped": ("calls", ["pos", "sample", "allele", "idx", "ad", "dp", "af", "aq", "count(*) OVER (PARTITION BY pos, sample) AS ploidy", "min(idx) OVER (PARTITION BY pos, sample) AS low", "max(idx) OVER (PARTITION BY pos, sample) AS high"], "af >= 0.2"),

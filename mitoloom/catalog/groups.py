@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mitoloom.catalog.base import Views, query
-from mitoloom.catalog.rows import CONTINUOUS, MAJOR, USABLE, sql_ranges
+from mitoloom.catalog.rows import CONTINUOUS, MAJOR, USABLE, Z, sql_ranges
 from mitoloom.functions import alleles as al
 from mitoloom.functions import stats as st
 from mitoloom.operators import annotate, cohort, copynum, drift, filters, intervals, likelihood, pedigree, pileup
@@ -240,18 +240,20 @@ def _(v: Views) -> DataFrame:
     return v.calls.where("idx > 0").groupBy("sample").agg(F.count("*").alias("total"), F.count_if(F.col("ad") >= 2).alias("good"))
 
 
-@query("agg43_z_scores", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) - avg(CAST(embedding[1] AS DOUBLE)) OVER ()) / stddev_pop(CAST(embedding[1] AS DOUBLE)) OVER (), 5) AS z FROM embeddings")
+@query("agg43_z_scores", Z + "SELECT vec_id, CAST(d AS INT) AS d, round(z, 5) + 0.0 AS z FROM z")
 def _(v: Views) -> DataFrame:
     from mitoloom.operators.recalibrate import standardized
 
-    return standardized(v.embeddings.select("vec_id", F.slice("embedding", 1, 1).alias("features")), 1).select("vec_id", F.round(F.col("features")[0], 5).alias("z"))
+    rows = standardized(v.embeddings.select("vec_id", F.col("embedding").alias("features")))
+    each = rows.select("vec_id", F.posexplode("features").alias("at", "z"))
+    return each.select("vec_id", (F.col("at") + 1).alias("d"), (F.round("z", 5) + F.lit(0.0)).alias("z"))
 
 
 @query("agg44_gmm")
 def _(v: Views) -> DataFrame:
     from mitoloom.operators.recalibrate import mixture_model
 
-    rows = v.embeddings.select(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("features"))
+    rows = v.part.select(F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("features"))
     return v.spark.createDataFrame([(k, float(b)) for k, b in mixture_model(rows, 3)[1]], "k int, bic double")
 
 
@@ -262,11 +264,11 @@ def _(v: Views) -> DataFrame:
     return sensitivity_cutoff(v.lineitem.select(F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").alias("truth")))
 
 
-@query("agg45_worst_feature", "SELECT vec_id, CAST(list_position(embedding[1:8], list_min(embedding[1:8])) - 1 AS BIGINT) AS worst FROM embeddings")
+@query("agg45_worst_feature", "SELECT vec_id, CAST(list_position(embedding, list_min(embedding)) - 1 AS BIGINT) AS worst FROM embeddings")
 def _(v: Views) -> DataFrame:
     from mitoloom.operators.recalibrate import worst_feature
 
-    return v.embeddings.select("vec_id", worst_feature(F.slice("embedding", 1, 8)).alias("worst"))
+    return v.embeddings.select("vec_id", worst_feature(F.col("embedding")).alias("worst"))
 
 
 @query("agg46_tally", "SELECT threshold, CAST(count(CASE WHEN value >= threshold THEN 1 END) AS BIGINT) AS n FROM events, (SELECT unnest([10.0, 50.0, 90.0]) AS threshold) GROUP BY threshold")
@@ -408,10 +410,14 @@ def _(v: Views) -> DataFrame:
     return v.nation.join(v.part, F.col("n_nationkey") == F.col("p_size"), "right").select("p_partkey", "n_name")
 
 
-@query("jn21_alignment_columns", "SELECT doc_id, CAST((576 + rank() OVER (PARTITION BY doc_id ORDER BY i) - 1) % 16569 + 1 AS BIGINT) AS pos, a, b FROM (SELECT doc_id, i, substring(seq, i, 1) AS a, substring(reverse(seq), i, 1) AS b FROM (SELECT doc_id, replace(seq, 'E', '-') AS seq, unnest(range(1, length(seq) + 1)) AS i FROM segments WHERE doc_id < 100000 AND regexp_full_match(seq, '[ -~]+'))) WHERE a <> '-'")
+ALIGNED = "SELECT doc_id, unnest(string_split(replace(seq, 'e', '-'), '')) AS a, unnest(string_split(replace(seq, 'a', '-'), '')) AS b, unnest(range(1, length(seq) + 1)) AS i FROM segments"
+
+
+@query("jn21_alignment_columns", f"SELECT doc_id, CAST((576 + row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) % 16569 + 1 AS BIGINT) AS pos, a, b FROM ({ALIGNED}) WHERE a <> '-'")
 def _(v: Views) -> DataFrame:
-    rows = v.segments.where(F.col("seq").rlike(r"^[ -~]+\z")).select("doc_id", F.replace("seq", F.lit("E"), F.lit("-")).alias("seq")).where("doc_id < 100000")
-    return rows.select("doc_id", F.explode(annotate.alignment_columns(F.col("seq"), F.reverse("seq"), 577, 16569)).alias("x")).select("doc_id", F.col("x.pos").cast("bigint").alias("pos"), F.col("x.one").alias("a"), F.col("x.other").alias("b"))
+    one, other = F.replace("seq", F.lit("e"), F.lit("-")), F.replace("seq", F.lit("a"), F.lit("-"))
+    rows = v.segments.select("doc_id", F.explode(annotate.alignment_columns(one, other, 577, 16569)).alias("x"))
+    return rows.select("doc_id", F.col("x.pos").cast("bigint").alias("pos"), F.col("x.one").alias("a"), F.col("x.other").alias("b"))
 
 
 @query("jn22_duplicate_children", "SELECT child, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(c_custkey % 400 AS STRING) AS child FROM customer) GROUP BY child HAVING count(*) > 1")

@@ -32,7 +32,7 @@ def _(v: Views) -> DataFrame:
 
 @query("agg34_family_fits")
 def _(v: Views) -> DataFrame:
-    return bottleneck.families(filters.usable_pairs(v.pairs).where("row_a % 20 = 3"))
+    return bottleneck.families(filters.usable_pairs(v.pairs))
 
 
 @query("win07_refined_size")
@@ -87,10 +87,10 @@ def _(v: Views) -> DataFrame:
     return rows.join(v.regions.select("chrom", "s", "region_id"), ["chrom", "s"]).select("region_id", "chrom", "s", "e")
 
 
-@query("src14_strict_regions", "SELECT chrom, greatest(s, 1) AS s, e FROM regions WHERE region_id % 2 = 0")
+@query("src14_strict_regions", "SELECT chrom, greatest(s, 1) AS s, e FROM regions")
 def _(v: Views) -> DataFrame:
     token = F.concat("chrom", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
-    return text.regions(v.regions.where("region_id % 2 = 0").select(token.alias("value")), strict=True)
+    return text.regions(v.regions.select(token.alias("value")), strict=True)
 
 
 @query("src05_sample_of_path", "SELECT o_orderkey, 's' || (o_custkey % 9) AS sample FROM orders")

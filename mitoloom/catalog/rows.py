@@ -140,12 +140,16 @@ def _(v: Views) -> DataFrame:
     return v.genotyped.where("ploidy > 1 AND idx <> 0").select("pos", "sample", "allele", "ad")
 
 
-@query("flt26_outlier_features", "SELECT vec_id FROM (SELECT vec_id, (embedding[1] - avg(embedding[1]) OVER ()) / stddev_pop(embedding[1]) OVER () AS z1, (embedding[2] - avg(embedding[2]) OVER ()) / stddev_pop(embedding[2]) OVER () AS z2 FROM embeddings) WHERE abs(z1) > 2.5 OR abs(z2) > 2.5")
+Z = """WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+z AS (SELECT vec_id, d, (CAST(x AS DOUBLE) - avg(CAST(x AS DOUBLE)) OVER (PARTITION BY d)) / stddev_pop(CAST(x AS DOUBLE)) OVER (PARTITION BY d) AS z FROM x) """
+
+
+@query("flt26_outlier_features", Z + "SELECT DISTINCT vec_id FROM z WHERE abs(z) > 2.5")
 def _(v: Views) -> DataFrame:
     from mitoloom.operators.recalibrate import standardized
 
-    rows = v.embeddings.select("vec_id", F.slice("embedding", 1, 2).alias("features"))
-    return standardized(rows, 2).where(F.exists("features", lambda z: F.abs(z) > 2.5)).select("vec_id")
+    rows = v.embeddings.select("vec_id", F.col("embedding").alias("features"))
+    return standardized(rows).where(F.exists("features", lambda z: F.abs(z) > 2.5)).select("vec_id")
 
 
 @query("flt27_agg50_validator_rules", "SELECT rule, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([CASE WHEN NOT regexp_full_match(ref, '[ACGTNacgtn]+') THEN 'REF' END, CASE WHEN ref = alt THEN 'ALT' END, CASE WHEN pos < 100 THEN 'POS' END, CASE WHEN score < 1000 THEN 'QUAL' END]) AS rule FROM alts) WHERE rule IS NOT NULL GROUP BY 1")
@@ -228,11 +232,11 @@ def _(v: Views) -> DataFrame:
     return block_positions(v.regions.select(F.col("region_id").alias("id"), "s", F.array(F.lit(0), F.lit(10)).alias("offsets"), F.array(F.lit(3), F.lit(2)).alias("sizes"))).select("id", "pos")
 
 
-@query("prj12_joined_segments", "SELECT source, string_agg(substring(seq, 1, 8), 'NNNN' ORDER BY doc_id) AS joined FROM segments GROUP BY source")
+@query("prj12_joined_segments", "SELECT source, string_agg(seq, 'NNNN' ORDER BY doc_id) AS joined FROM segments GROUP BY source")
 def _(v: Views) -> DataFrame:
     from mitoloom.operators.intervals import joined_sequence
 
-    return joined_sequence(v.segments.withColumn("piece", F.substring("seq", 1, 8)), "source", "doc_id", "piece", 4).select("source", "joined")
+    return joined_sequence(v.segments, "source", "doc_id", "seq", 4).select("source", "joined")
 
 
 @query("prj13_circular_shift", "SELECT doc_id, concat(substring(seq, CAST(doc_id % length(seq) AS BIGINT) + 1), substring(seq, 1, CAST(doc_id % length(seq) AS BIGINT))) AS turned FROM segments")
@@ -329,9 +333,9 @@ def _(v: Views) -> DataFrame:
     return filters.usable_pairs(v.pairs).select("row_a", "row_b", F.round(st.trio_likelihood(F.lit(0.3), F.col("m_alt"), F.col("m_dp"), F.col("c_alt"), F.col("c_dp"), F.lit(12.0)), 3).alias("ll"))
 
 
-@query("scl15_discrete_ll", USABLE + ", small AS (SELECT * FROM usable WHERE row_a % 50 = 7), t AS (SELECT row_a, row_b, CASE WHEN k = 0 THEN CASE WHEN c_alt = 0 THEN 0.0 END WHEN k = 6 THEN CASE WHEN c_alt = c_dp THEN 0.0 END ELSE " + LCHOOSE.format(n="c_dp", k="c_alt") + " + c_alt * ln(k / 6.0) + (c_dp - c_alt) * ln(1 - k / 6.0) END + " + LCHOOSE.format(n="6", k="k") + " + lgamma(k + m_alt + 1.0) + lgamma(6 - k + m_dp - m_alt + 1.0) - lgamma(8.0 + m_dp) - (lgamma(m_alt + 1.0) + lgamma(m_dp - m_alt + 1.0) - lgamma(m_dp + 2.0)) AS ll FROM small, (SELECT unnest(range(0, 7)) AS k)), x AS (SELECT row_a, row_b, ll, max(ll) OVER (PARTITION BY row_a, row_b) AS top FROM t WHERE ll IS NOT NULL) SELECT row_a, row_b, round(max(top) + ln(sum(exp(ll - top))), 4) AS ll FROM x GROUP BY 1, 2")
+@query("scl15_discrete_ll", USABLE + ", t AS (SELECT row_a, row_b, CASE WHEN k = 0 THEN CASE WHEN c_alt = 0 THEN 0.0 END WHEN k = 6 THEN CASE WHEN c_alt = c_dp THEN 0.0 END ELSE " + LCHOOSE.format(n="c_dp", k="c_alt") + " + c_alt * ln(k / 6.0) + (c_dp - c_alt) * ln(1 - k / 6.0) END + " + LCHOOSE.format(n="6", k="k") + " + lgamma(k + m_alt + 1.0) + lgamma(6 - k + m_dp - m_alt + 1.0) - lgamma(8.0 + m_dp) - (lgamma(m_alt + 1.0) + lgamma(m_dp - m_alt + 1.0) - lgamma(m_dp + 2.0)) AS ll FROM usable, (SELECT unnest(range(0, 7)) AS k)), x AS (SELECT row_a, row_b, ll, max(ll) OVER (PARTITION BY row_a, row_b) AS top FROM t WHERE ll IS NOT NULL) SELECT row_a, row_b, round(max(top) + ln(sum(exp(ll - top))), 4) AS ll FROM x GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
-    rows = filters.usable_pairs(v.pairs).where("row_a % 50 = 7")
+    rows = filters.usable_pairs(v.pairs)
     return rows.select("row_a", "row_b", F.round(st.discrete_pair_likelihood(F.col("m_alt"), F.col("m_dp") - F.col("m_alt"), F.col("c_alt"), F.col("c_dp"), F.lit(6)), 4).alias("ll"))
 
 
@@ -412,11 +416,18 @@ def _(v: Views) -> DataFrame:
     return v.alts.groupBy("pos").agg(F.sum(F.length("alt")).alias("bases"))
 
 
-@query("scl38_mixture_density", "SELECT vec_id, round((m + ln(0.4 * exp(a - m) + 0.6 * exp(b - m))) / ln(10), 5) AS lod FROM (SELECT *, greatest(a, b) AS m FROM (SELECT vec_id, -0.5 * ln(2 * pi() * 0.04) - pow(CAST(embedding[1] AS DOUBLE) - 0.1, 2) / 0.08 AS a, -0.5 * ln(2 * pi() * 0.09) - pow(CAST(embedding[1] AS DOUBLE) + 0.1, 2) / 0.18 AS b FROM embeddings))")
+@query("scl38_mixture_density", """
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+s AS (SELECT vec_id, ln(0.4) + sum(-0.5 * ln(2 * pi() * 0.04) - pow(x - 0.1, 2) / 0.08) AS a,
+  ln(0.6) + sum(-0.5 * ln(2 * pi() * 0.09) - pow(x + 0.1, 2) / 0.18) AS b FROM x GROUP BY vec_id)
+SELECT vec_id, round((greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b)))) / ln(10), 5) AS lod FROM s""")
 def _(v: Views) -> DataFrame:
     from mitoloom.operators.recalibrate import mixture_lod
 
-    return v.embeddings.select("vec_id", F.round(mixture_lod(F.slice("embedding", 1, 1), [0.4, 0.6], [[0.1], [-0.1]], [[0.04], [0.09]]), 5).alias("lod"))
+    rows = v.embeddings.select("vec_id", F.col("embedding").alias("features"))
+    wide = len(rows.first().features)
+    model = [[[0.1] * wide, [-0.1] * wide], [[0.04] * wide, [0.09] * wide]]
+    return rows.select("vec_id", F.round(mixture_lod(F.col("features"), [0.4, 0.6], *model), 5).alias("lod"))
 
 
 @query("scl39_slice", "SELECT vec_id, round(list_sum(list_transform(embedding[3:6], lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")

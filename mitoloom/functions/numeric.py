@@ -180,6 +180,38 @@ def fit_beta_binomial(k: np.ndarray, n: np.ndarray, times: np.ndarray, default:
     return float(min(max(a, 0.01), 100.0)), float(min(max(b, 0.01), 1000.0))
 
 
+def discrete_pairs(m_alt: np.ndarray, m_ref: np.ndarray, c_alt: np.ndarray, c_dp: np.ndarray, size: np.ndarray, rows: int = 1 << 12) -> np.ndarray:
+    """ln sum over k = 0..size of BetaBinomial(k; size, m_alt + 1, m_ref + 1) * Binomial(c_alt; c_dp, k / size) of whole numbers.
+
+    NaN where a number is missing or a count exceeds its total. Places are taken ``rows`` at a time, so that the terms of large sizes fit.
+    """
+    out = np.full(len(size), np.nan)
+    columns = np.array([m_alt, m_ref, c_alt, c_dp, size])
+    sound = np.isfinite(columns).all(axis=0) & (columns >= 0).all(axis=0) & (c_alt <= c_dp) & (size >= 1)
+    if not sound.any():
+        return out
+    a, b, x, n, sizes = columns[:, sound].astype(np.int64)
+    most = int(max((a + b + sizes).max() + 2, n.max() + 1))
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
+    choose = lambda n, k: factorial[n] - factorial[k] - factorial[n - k]
+    found = np.empty(len(sizes))
+    for s in np.unique(sizes):
+        k = np.arange(s + 1)
+        with np.errstate(divide="ignore"):
+            hit, miss = np.log(k / s), np.log1p(-k / s)
+        which = np.flatnonzero(sizes == s)
+        for at in range(0, len(which), rows):
+            i = which[at : at + rows, None]
+            drawn = choose(s, k) + factorial[k + a[i]] + factorial[s - k + b[i]] - factorial[s + a[i] + b[i] + 1] - (factorial[a[i]] + factorial[b[i]] - factorial[a[i] + b[i] + 1])
+            with np.errstate(invalid="ignore"):
+                seen = choose(n[i], x[i]) + np.where(x[i] > 0, x[i] * hit, 0.0) + np.where(n[i] > x[i], (n[i] - x[i]) * miss, 0.0)
+            terms = drawn + seen
+            top = terms.max(axis=1)
+            found[i[:, 0]] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+    out[sound] = found
+    return out
+
+
 def binomial_quantile(q: float, n: int, p: float) -> int:
     """The smallest k with Binomial(n, p) CDF of q or more; 0 for p <= 0 or n <= 0, n for p >= 1."""
     if n <= 0 or p <= 0:

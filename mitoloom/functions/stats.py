@@ -1,13 +1,16 @@
-"""Statistics as Column expressions, so that they stay inside code generation; each has a plain SQL twin in the catalog."""
+"""Statistics as Column expressions, so that they stay inside code generation (but for one sum, in Arrow batches); each has a plain SQL twin in the catalog."""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mitoloom.functions import numeric
+
 #: Stands for an infinite Phred value or odds ratio.
 INFINITE = 10_000.0
 # Normal quantiles for 95, 99 and 90 percent.
@@ -84,30 +87,51 @@ def proportion_interval(k: Column, n: Column, level: float = 0.95) -> tuple[Colu
     return F.greatest(F.lit(0.0), center - half), F.least(F.lit(1.0), center + half)
 
 
-def _table_terms(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:
-    """(smallest first cell, largest, function of the log probability) for the margins of [[a, b], [c, d]]."""
-    row, column, total = a + b, a + c, a + b + c + d
-    low, high = F.greatest(F.lit(0), column - (c + d)), F.least(row, column)
-    term = lambda k: log_choose(row, k) + log_choose(total - row, column - k) - log_choose(total, column)
-    return low, high, term
+def _table(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column, Column]:
+    """(smallest first cell, largest, start of a walk, probability) of [[a, b], [c, d]] among the tables with its margins.
+
+    A walk holds q, the probability of the table it stands at over that of the observed one, the sum so far, and the margins.
+    """
+    row, column, total = (x.cast("double") for x in (a + b, a + c, a + b + c + d))
+    low, high = F.greatest(F.lit(0), a - d), F.least(a + b, a + c)
+    first = a.cast("double")
+    log = log_choose(row, first) + log_choose(total - row, column - first) - log_choose(total, column)
+    start = F.struct(F.lit(1.0).alias("q"), F.lit(0.0).alias("s"), row.alias("row"), column.alias("column"), (total - row - column).alias("rest"))
+    return low, high, start, F.exp(log)
+
+
+def _walk(cells: Column, start: Column, up: bool, most: float | None) -> Column:
+    """Sum of q over the tables next to the given cells, one step on; with ``most``, only of those that are no larger.
+
+    Each step multiplies q by the ratio of two neighbouring tables' probabilities, which is 0 beyond the last one.
+    """
+
+    def step(acc: Column, k: Column) -> Column:
+        k, kept = k.cast("double"), [acc[x].alias(x) for x in ("row", "column", "rest")]
+        up_ratio = (acc["row"] - k) * (acc["column"] - k) / ((k + 1) * (acc["rest"] + k + 1))
+        q = acc["q"] * (up_ratio if up else k * (acc["rest"] + k) / ((acc["row"] - k + 1) * (acc["column"] - k + 1)))
+        more = q if most is None else F.when(q <= most, q).otherwise(F.lit(0.0))
+        return F.struct(q.alias("q"), (acc["s"] + more).alias("s"), *kept)
+
+    return F.aggregate(cells, start, step, lambda acc: acc["s"])
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Sum over tables with these margins that are no more probable than the observed one (slack 1e-8)."""
-    low, high, term = _table_terms(a, b, c, d)
-    observed = term(a)
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, k: acc + F.when(term(k) <= observed + F.lit(1e-8), F.exp(term(k))).otherwise(F.lit(0.0))))
+    low, high, start, observed = _table(a, b, c, d)
+    most = 1 + 1e-8
+    return F.least(F.lit(1.0), observed * (F.lit(1.0) + _walk(F.sequence(a, high), start, True, most) + _walk(F.sequence(a, low), start, False, most)))
 
 
 def fisher_less(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Probability of a first cell of ``a`` or less."""
-    low, _, term = _table_terms(a, b, c, d)
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(low, a), F.lit(0.0), lambda acc, k: acc + F.exp(term(k))))
+    low, _, start, observed = _table(a, b, c, d)
+    return F.least(F.lit(1.0), observed * (F.lit(1.0) + _walk(F.sequence(a, low), start, False, None)))
 
 
 def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
-    _, high, term = _table_terms(a, b, c, d)
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(a, high), F.lit(0.0), lambda acc, k: acc + F.exp(term(k))))
+    _, high, start, observed = _table(a, b, c, d)
+    return F.least(F.lit(1.0), observed * (F.lit(1.0) + _walk(F.sequence(a, high), start, True, None)))
 
 
 def phred(p: Column) -> Column:
@@ -130,13 +154,17 @@ def logit(x: Column) -> Column:
     return F.when(x <= 0, F.lit(-INFINITE)).when(x >= 1, F.lit(INFINITE)).otherwise(F.ln(x / (F.lit(1.0) - x)))
 
 
+@F.pandas_udf("double")
+def _discrete(m_alt: pd.Series, m_ref: pd.Series, c_alt: pd.Series, c_dp: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series(numeric.discrete_pairs(*(x.to_numpy(float) for x in (m_alt, m_ref, c_alt, c_dp, size))))
+
+
 def discrete_pair_likelihood(m_alt: Column, m_ref: Column, c_alt: Column, c_dp: Column, size: Column) -> Column:
-    """ln sum over k of BetaBinomial(k; size, m_alt + 1, m_ref + 1) * Binomial(c_alt; c_dp, k / size)."""
-    a, b = m_alt.cast("double") + 1, m_ref.cast("double") + 1
-    term = lambda k: log_beta_binomial(k, size, a, b) + log_binomial(c_alt, c_dp, k.cast("double") / size.cast("double"))
-    terms = F.filter(F.transform(F.sequence(F.lit(0), size.cast("int")), term), lambda t: t.isNotNull())
-    top = F.array_max(terms)
-    return top + F.ln(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.exp(t - top)))
+    """ln sum over k of BetaBinomial(k; size, m_alt + 1, m_ref + 1) * Binomial(c_alt; c_dp, k / size); null where a count is.
+
+    The sum has size + 1 terms of ten gamma functions each, all of whole numbers: in Arrow batches those are looked up.
+    """
+    return _discrete(*(x.cast("double") for x in (m_alt, m_ref, c_alt, c_dp, size)))
 
 
 def continuous_pair_likelihood(p: Column, c_alt: Column, c_dp: Column, size: Column) -> Column:

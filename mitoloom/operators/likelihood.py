@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mitoloom.functions import stats as st
@@ -11,24 +11,49 @@ from mitoloom.functions import stats as st
 DROP = 1.92
 
 
+def _summed_lgamma(rows: DataFrame, keys: list[str], terms: list[tuple[int, Column]]) -> DataFrame:
+    """(keys, ll): the sum of times * sign * lgamma(argument) over rows and terms.
+
+    Terms become rows, so that the generated code holds one lgamma, small enough to be compiled, rather than one a term.
+    """
+    pairs = F.array(*[F.struct((F.col("times") * sign).cast("double").alias("by"), x.cast("double").alias("x")) for sign, x in terms])
+    each = rows.select(*keys, F.explode(pairs).alias("t")).select(*keys, "t.by", "t.x")
+    return each.groupBy(*keys).agg(F.sum(F.col("by") * st.lgamma(F.col("x"))).alias("ll"))
+
+
+def _choose(n: str, k: str) -> list[tuple[int, Column]]:
+    """ln C(n, k) as terms."""
+    return [(1, F.col(n) + 1), (-1, F.col(k) + 1), (-1, F.col(n) - F.col(k) + 1)]
+
+
 def surface(pairs: DataFrame, sizes: list[float], model: str = "continuous", by: list[str] | None = None) -> DataFrame:
     """(ne, ll): the composite log likelihood at each size. Equal observations are counted once and weighed.
 
-    The grid is an array that each distinct observation is exploded over, so the sum is one partial aggregate and one shuffle of
-    a row for each size and partition.
+    The grid is an array that each distinct observation is exploded over, and what does not depend on the size is summed apart, so
+    each sum is one partial aggregate and one shuffle of a row for each size and partition. Pairs whose mother (for trios:
+    grandmother) has one allele only add nothing. No pairs give no rows.
     """
-    keys = by or []
-    trio = model == "trio"
-    columns = ["p", "m_alt", "m_dp", "c_alt", "c_dp", *(["g"] if trio else [])]
-    distinct = pairs.groupBy(*keys, *columns).agg(F.count("*").alias("times"))
-    rows = distinct.withColumn("ne", F.explode(F.array(*[F.lit(float(x)) for x in sizes])))
+    keys, grid = by or [], F.array(*[F.lit(float(x)) for x in sizes])
     if model == "discrete":
+        columns = ["m_alt", "m_dp", "c_alt", "c_dp"]
+        distinct = pairs.groupBy(*keys, *columns).agg(F.count("*").alias("times")).withColumn("ne", F.explode(grid))
         ll = st.discrete_pair_likelihood(F.col("m_alt"), F.col("m_dp") - F.col("m_alt"), F.col("c_alt"), F.col("c_dp"), F.col("ne"))
-    elif trio:
-        ll = st.trio_likelihood(F.col("g"), F.col("m_alt"), F.col("m_dp"), F.col("c_alt"), F.col("c_dp"), F.col("ne"))
+        return distinct.groupBy(*keys, "ne").agg(F.sum(F.col("times") * ll).alias("ll"))
+    if model == "trio":
+        share, alt, total, counts = F.col("g"), F.col("m_alt") + F.col("c_alt"), F.col("m_dp") + F.col("c_dp"), [("m_dp", "m_alt"), ("c_dp", "c_alt")]
     else:
-        ll = st.continuous_pair_likelihood(F.col("p"), F.col("c_alt"), F.col("c_dp"), F.col("ne"))
-    return rows.groupBy(*keys, "ne").agg(F.sum(F.col("times") * ll).alias("ll"))
+        share, alt, total, counts = F.col("p"), F.col("c_alt"), F.col("c_dp"), [("c_dp", "c_alt")]
+    mixed = pairs.where((share > 0) & (share < 1))
+    whole = [c for pair in counts for c in pair]
+    apart = mixed.groupBy(*keys, *whole).agg(F.count("*").alias("times"))
+    constant = _summed_lgamma(apart, keys, [t for n, k in counts for t in _choose(n, k)]).withColumnRenamed("ll", "constant")
+    drawn = mixed.groupBy(*keys, share.alias("share"), alt.alias("alt"), total.alias("total")).agg(F.count("*").alias("times"))
+    rows = drawn.withColumn("ne", F.explode(grid))
+    a, b, n = F.col("share") * (F.col("ne") - 1), (F.lit(1.0) - F.col("share")) * (F.col("ne") - 1), F.col("ne") - 1
+    terms = [(1, F.col("alt") + a), (1, F.col("total") - F.col("alt") + b), (-1, F.col("total") + n), (-1, a), (-1, b), (1, n)]
+    sums = _summed_lgamma(rows, [*keys, "ne"], terms)
+    every = sums.join(constant, keys) if keys else sums.crossJoin(F.broadcast(constant))  # one row
+    return every.select(*keys, "ne", (F.col("ll") + F.col("constant")).alias("ll"))
 
 
 def best_size(grid: DataFrame, by: list[str] | None = None) -> DataFrame:

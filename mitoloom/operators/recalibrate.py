@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def standardized(rows: DataFrame, dimensions: int) -> DataFrame:
-    """features as z-scores by the population's deviation; a feature without variance becomes null. One aggregate row is joined."""
-    stats = rows.agg(*[f(F.col("features")[d].cast("double")).alias(f"{n}{d}") for d in range(dimensions) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = [F.try_divide(F.col("features")[d].cast("double") - F.col(f"m{d}"), F.col(f"s{d}")) for d in range(dimensions)]
-    return rows.crossJoin(F.broadcast(stats)).withColumn("features", F.array(*z)).drop(*stats.columns)  # one row
+def standardized(rows: DataFrame) -> DataFrame:
+    """features (arrays) as z-scores by the population's deviation; a feature without variance becomes null.
+
+    Each place's mean and deviation come from one partial aggregate and are joined as one row. No rows give none.
+    """
+    each = rows.select(F.posexplode("features").alias("__d", "__x")).groupBy("__d").agg(F.avg(F.col("__x").cast("double")).alias("m"), F.stddev_pop(F.col("__x").cast("double")).alias("s"))
+    stats = each.agg(F.array_sort(F.collect_list(F.struct("__d", "m", "s"))).alias("__stats"))
+    z = F.zip_with("features", "__stats", lambda x, t: F.try_divide(x.cast("double") - t["m"], t["s"]))
+    return rows.crossJoin(F.broadcast(stats)).withColumn("features", z).drop("__stats")  # one row, as long as a vector
 
 
 def mixture_lod(features: Column, weights: list[float], means: list[list[float]], variances: list[list[float]]) -> Column:

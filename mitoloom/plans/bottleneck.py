@@ -100,7 +100,11 @@ FAMILY = "fam string, mother string, sites long, informative long, ne double, ci
 
 
 def families(pairs: DataFrame, low: int = 2, high: int = 100, least: int = 3) -> DataFrame:
-    """A continuous fit for each (fam, mother); families under ``least`` informative sites are skipped, with a warning."""
+    """A continuous fit for each (fam, mother); families under ``least`` informative sites are skipped, with a warning.
+
+    Equal observations of a family are counted before they travel, so that its group is bounded by distinct (p, c_alt, c_dp).
+    Pairs without a family share the family ALL. No pairs give no rows.
+    """
 
     def fit(key, frame):
         import numpy as np
@@ -108,16 +112,17 @@ def families(pairs: DataFrame, low: int = 2, high: int = 100, least: int = 3) ->
 
         gamma = np.vectorize(math.lgamma, otypes=[float])
         rows = frame[(frame["p"] > 0) & (frame["p"] < 1)]
-        head = [*key, len(frame), len(rows)]
+        times = rows["times"].to_numpy(float)
+        head = [*key, int(frame["times"].sum()), int(times.sum())]
         names = [c.split()[0] for c in FAMILY.split(", ")]
-        if len(rows) < least:
+        if times.sum() < least:
             return pd.DataFrame([[*head, None, None, None, None, False, False, True, f"fewer than {least} informative sites"]], columns=names)
         p, k, n = (rows[c].to_numpy(float) for c in ("p", "c_alt", "c_dp"))
         constant = gamma(n + 1) - gamma(k + 1) - gamma(n - k + 1)
 
         def ll(size: float) -> float:
             a, b = p * (size - 1), (1 - p) * (size - 1)
-            return float((constant + gamma(k + a) + gamma(n - k + b) - gamma(n + a + b) - gamma(a) - gamma(b) + gamma(a + b)).sum())
+            return float((times * (constant + gamma(k + a) + gamma(n - k + b) - gamma(n + a + b) - gamma(a) - gamma(b) + math.lgamma(size - 1))).sum())
 
         whole = np.array([ll(x) for x in range(low, high + 1)])
         peak = float(low + whole.argmax())
@@ -126,19 +131,21 @@ def families(pairs: DataFrame, low: int = 2, high: int = 100, least: int = 3) ->
         top = ll(best)
 
         def end(direction: int) -> tuple[float, bool]:
+            """The last hundredth before the likelihood falls by DROP: by whole sizes, tenths, then hundredths."""
             edge = low if direction < 0 else high
-            step = 0
-            while (edge - (best + direction * 0.01 * (step + 1))) * direction >= 0:
-                if ll(best + direction * 0.01 * (step + 1)) < top - likelihood.DROP:
-                    return best + direction * 0.01 * step, False
-                step += 1
-            return float(edge), True
+            at = 0
+            for step in (100, 10, 1):  # in hundredths
+                while (edge - (best + direction * 0.01 * (at + step))) * direction >= 0 and ll(best + direction * 0.01 * (at + step)) >= top - likelihood.DROP:
+                    at += step
+            beyond = best + direction * 0.01 * (at + 1)
+            return (float(edge), True) if (edge - beyond) * direction < 0 else (best + direction * 0.01 * at, False)
 
         (a, ca), (b, cb) = end(-1), end(1)
         return pd.DataFrame([[*head, best, a, b, top, ca, cb, False, "at a bound" if ca or cb else ""]], columns=names)
 
     fam = F.when(F.coalesce("fam", F.lit("")) == "", "ALL").otherwise(F.col("fam"))
-    return pairs.select(fam.alias("fam"), "mother", "p", "c_alt", "c_dp").groupBy("fam", "mother").applyInPandas(fit, FAMILY)
+    counted = pairs.groupBy(fam.alias("fam"), "mother", "p", "c_alt", "c_dp").agg(F.count("*").alias("times"))
+    return counted.groupBy("fam", "mother").applyInPandas(fit, FAMILY)
 
 
 def result(pairs: DataFrame, **options: Any) -> dict[str, Any]:
