@@ -235,6 +235,12 @@ def _(v: Views) -> DataFrame:
     return annotate.spearman(rows, ["k", "g"], "l_quantity", "l_discount", 15).withColumn("rho", F.round("rho", 6))
 
 
+@query("scl06_rank_sum", f"WITH r AS (SELECT l_returnflag AS k, l_linestatus = 'O' AS one, {RANKS.format(p='PARTITION BY l_returnflag', x='l_quantity DESC', k='l_returnflag, ').replace('l_returnflag, l_quantity DESC', 'l_returnflag, l_quantity')} AS x FROM lineitem), s AS (SELECT k, count(CASE WHEN one THEN 1 END)::DOUBLE AS n1, count(CASE WHEN NOT one THEN 1 END)::DOUBLE AS n2, sum(CASE WHEN one THEN x END) AS s FROM r GROUP BY k) SELECT k, n1::BIGINT AS n1, n2::BIGINT AS n2, CASE WHEN n1 > 0 AND n2 > 0 THEN round((s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6) END AS z FROM s")
+def _(v: Views) -> DataFrame:
+    rows = v.lineitem.select(F.col("l_returnflag").alias("k"), (F.col("l_linestatus") == "O").alias("one"), "l_quantity")
+    return annotate.rank_sums(rows, ["k"], "l_quantity", "one").select("k", "n1", "n2", F.round("z", 6).alias("z"))
+
+
 @query("agg42_sample_counts", "SELECT sample, CAST(count(*) AS BIGINT) AS total, CAST(count(CASE WHEN ad >= 2 THEN 1 END) AS BIGINT) AS good FROM calls WHERE idx > 0 GROUP BY sample")
 def _(v: Views) -> DataFrame:
     return v.calls.where("idx > 0").groupBy("sample").agg(F.count("*").alias("total"), F.count_if(F.col("ad") >= 2).alias("good"))

@@ -44,14 +44,15 @@ def _(v: Views) -> DataFrame:
 
 @query("agg35_beta_mle")
 def _(v: Views) -> DataFrame:
-    return variant_qc.background(v.genotyped.withColumn("af", F.col("af") * 0.99), 1, 0.0)
+    calls = v.genotyped.withColumns({"af": F.col("af") * 0.99, "fs": F.lit(0.0), "sor": F.lit(1.0)})
+    return variant_qc.background(calls, 1, 0.0)
 
 
 @query("agg39_qc_loop")
 def _(v: Views) -> DataFrame:
-    calls = v.genotyped.withColumns({"srf": F.lit(0.8), "ad": F.col("ad") * 60, "dp": F.col("dp") * 60})
+    calls = v.genotyped.withColumns({"srf": F.lit(0.8), "ad": F.col("ad") * 60, "dp": F.col("dp") * 60, "fs": F.lit(0.0), "sor": F.lit(1.0)})
     scored, sites = variant_qc.quality_control(calls, least_depth=50, least_quality=10.0)
-    return scored.join(sites, "pos").select("pos", "sample", "idx", F.round("pp", 6).alias("pp"), "good", "pass")
+    return scored.join(sites, "pos").select("pos", "sample", "idx", F.round("pp", 6).alias("pp"), "good", "kept", "mutation", "pass")
 
 
 @query("sim01_sim02_cohort")

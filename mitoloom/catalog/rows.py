@@ -114,9 +114,27 @@ def _(v: Views) -> DataFrame:
     return v.events.select("event_id", F.when(F.get_json_object("props", "$.k").isNull(), "missing").otherwise("ready").alias("state"))
 
 
-@query("flt20_background_samples", "SELECT pos, sample, dp FROM genotyped WHERE ploidy = 1 AND dp >= 2 AND aq >= 20")
+@query("flt20_background_samples", "SELECT pos, sample, dp FROM genotyped WHERE ploidy = 1 AND dp >= 2 AND aq >= 20 AND aq * 4 <= 100 AND (CASE WHEN pos % 4 = 0 THEN NULL ELSE ad * 2.0 END IS NULL OR ad * 2.0 <= 5)")
 def _(v: Views) -> DataFrame:
-    return filters.background_ready(v.genotyped, 2, 20.0).select("pos", "sample", "dp")
+    odds = F.when(F.col("pos") % 4 != 0, F.col("ad") * 2.0)
+    rows = v.genotyped.withColumns({"fs": F.col("aq") * 4, "sor": odds})
+    return filters.background_ready(rows, 2, 20.0).select("pos", "sample", "dp")
+
+
+@query("flt21_mutation_evidence", """
+WITH c AS (SELECT pos, sample, idx, ad * 3 AS ad, dp * 3 AS dp, aq, 0.01 + (pos % 5) / 100.0 AS error FROM genotyped),
+s AS (SELECT *, min(aq) OVER (PARTITION BY pos, sample) AS q, max(idx) OVER (PARTITION BY pos, sample) AS top FROM c),
+k AS (SELECT dp, error, unnest(range(0, dp + 1)) AS k FROM (SELECT DISTINCT dp, error FROM c)),
+p AS (SELECT dp, error, k, sum(exp(lgamma(dp + 1.0) - lgamma(k + 1.0) - lgamma(dp - k + 1.0) + k * ln(error) + (dp - k) * ln(1 - error))) OVER (PARTITION BY dp, error ORDER BY k) AS cdf FROM k),
+b AS (SELECT dp, error, min(k) AS most FROM p WHERE cdf >= 0.99 GROUP BY 1, 2)
+SELECT s.pos, s.sample, s.idx, s.ad FROM s JOIN b ON s.dp = b.dp AND s.error = b.error
+WHERE q >= 15 AND top > 0 AND s.dp >= 6 AND idx > 0 AND ad > most""")
+def _(v: Views) -> DataFrame:
+    from mitoloom.plans.variant_qc import evidence
+
+    calls = v.genotyped.withColumns({"ad": F.col("ad") * 3, "dp": F.col("dp") * 3})
+    sites = calls.select("pos").distinct().withColumn("error", F.lit(0.01) + (F.col("pos") % 5) / 100)
+    return evidence(calls, sites, 6, 15.0).select("pos", "sample", "idx", "ad")
 
 
 @query("flt22_merged_filter", f"SELECT pos, CAST(count(DISTINCT idx) AS BIGINT) AS alts FROM calls WHERE idx > 0 AND ad >= 1 AND af >= 0.25 AND aq >= 15 AND NOT {sql_ranges('pos', MERGED_BLOCKLIST)} GROUP BY 1 HAVING count(DISTINCT idx) BETWEEN 1 AND 2")

@@ -165,18 +165,33 @@ def fit_beta(n: float, sum_log: float, sum_log1m: float, default: tuple[float, f
     return float(min(max(a, 0.01), 1e6)), float(min(max(b, 0.01), 1e6))
 
 
-def fit_beta_binomial(k: np.ndarray, n: np.ndarray, times: np.ndarray, default: tuple[float, float] = (0.5, 0.2)) -> tuple[float, float]:
-    """Beta-Binomial parameters of greatest likelihood from distinct (k, n) and how often each occurs; alpha <= 100, beta <= 1000."""
-    if times.sum() < 3:
-        return default
+Counts = tuple[list[float], list[int]]
+
+
+def fit_beta_binomial(k: Counts, m: Counts, n: Counts, mean: float | None, variance: float | None) -> tuple[float, float]:
+    """Beta-Binomial parameters of greatest likelihood; alpha within [0.01, 100], beta within [0.01, 1000].
+
+    k, m and n say which numbers of hits, misses and trials there are and how often each: the likelihood is a sum over each
+    of the three alone, so how they go together does not matter. The search starts from the mean and variance of the shares within
+    (0, 1); without any, it gives (0.5, 0.2).
+    """
+    if mean is None or not 0 < mean < 1:
+        return 0.5, 0.2
+    widest = mean * (1 - mean)
+    variance = 1e-10 if variance is None or variance <= 0 else min(variance, widest * 0.99)
+    common = widest / variance - 1
+    start = np.log([max(mean * common, 0.01), max((1 - mean) * common, 0.01)])
     gamma = np.vectorize(math.lgamma, otypes=[float])
+    total = float(sum(n[1]))
+
+    def part(counts: Counts, shift: float) -> float:
+        return float((gamma(np.asarray(counts[0], float) + shift) * np.asarray(counts[1], float)).sum())
 
     def loss(t: np.ndarray) -> float:
-        a, b = np.exp(np.clip(t, -10, 10))
-        terms = gamma(k + a) + gamma(n - k + b) - gamma(n + a + b)
-        return -float((times * terms).sum() / times.sum()) + math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+        a, b = np.exp(np.clip(t, -20, 20))
+        return -(part(k, a) + part(m, b) - part(n, a + b)) / total + math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
 
-    a, b = np.exp(np.clip(simplex(loss, np.log(np.array(default))), -10, 10))
+    a, b = np.exp(np.clip(simplex(loss, start), -20, 20))
     return float(min(max(a, 0.01), 100.0)), float(min(max(b, 0.01), 1000.0))
 
 
@@ -218,14 +233,23 @@ def binomial_quantile(q: float, n: int, p: float) -> int:
         return 0
     if p >= 1:
         return n
-    below = 0.0
-    for k in range(n + 1):
-        below += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+    log, odds, below = n * math.log1p(-p), math.log(p) - math.log1p(-p), 0.0
+    for k in range(n):
+        below += math.exp(log)
         if below >= q:
             return k
+        log += math.log((n - k) / (k + 1)) + odds
     return n
 
 
+def rank_sum_p(ranks_of_first: float, first: int, second: int) -> float:
+    """Two-sided p of the rank sum of the first of two samples, by the normal approximation without a correction for ties."""
+    if not first or not second:
+        return math.nan
+    expected = first * (first + second + 1) / 2
+    return 2 * normal_tail(abs(ranks_of_first - expected) / math.sqrt(first * second * (first + second + 1) / 12))
+
+
 def golden_section(f: Callable[[float], float], low: float, high: float, tolerance: float = 0.01) -> float:
     """The place of a maximum between low and high."""
     ratio = (math.sqrt(5) - 1) / 2

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from mitoloom.functions import numeric
 
@@ -154,7 +155,7 @@ def logit(x: Column) -> Column:
     return F.when(x <= 0, F.lit(-INFINITE)).when(x >= 1, F.lit(INFINITE)).otherwise(F.ln(x / (F.lit(1.0) - x)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _discrete(m_alt: pd.Series, m_ref: pd.Series, c_alt: pd.Series, c_dp: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series(numeric.discrete_pairs(*(x.to_numpy(float) for x in (m_alt, m_ref, c_alt, c_dp, size))))
 

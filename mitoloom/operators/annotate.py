@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from mitoloom.functions import numeric
 from mitoloom.operators.drift import ranked
 
 # Base pairs of Watson and Crick.
@@ -59,6 +62,26 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, least: int) -> Data
     return both.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least)
 
 
+def rank_sums(rows: DataFrame, by: list[str], value: str, first: str) -> DataFrame:
+    """by, n1, n2, z, p: the rank-sum test of the rows where ``first`` is true against the others, without a correction for ties.
+
+    Ranks are averages over ties, the largest value first. Rows whose value is null take no part; a key with one side only has
+    null z and p.
+    """
+    ranks = ranked(rows.where(F.col(value).isNotNull()).withColumn("__down", -F.col(value)), "__down", by)
+    one = F.col(first)
+    sums = ranks.groupBy(*by).agg(F.count_if(one).alias("n1"), F.count_if(~one).alias("n2"), F.sum(F.when(one, F.col("avg_rank"))).alias("__s"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    z = F.try_divide(F.col("__s") - n1 * (n1 + n2 + 1) / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
+    return sums.withColumn("z", z).withColumn("p", two_sided("z")).drop("__s")
+
+
+@F.pandas_udf(DoubleType())
+def two_sided(z: pd.Series) -> pd.Series:
+    """Probability that a standard normal number lies further from 0 than z; null for null."""
+    return z.map(lambda x: 2 * numeric.normal_tail(abs(x)), na_action="ignore").astype(float)
+
+
 def inbreeding(counts: DataFrame) -> DataFrame:
     """counts (hom_ref, het, hom_alt) plus f = 1 - het / (2 p q n); null for sites with one allele."""
     n = F.col("hom_ref") + F.col("het") + F.col("hom_alt")

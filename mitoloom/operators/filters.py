@@ -70,6 +70,10 @@ def in_ranges(position: Column, ranges: Iterable[tuple[int, int]], width: Column
     return out
 
 
-def background_ready(calls: DataFrame, least_depth: int, least_quality: float) -> DataFrame:
-    """One-allele samples deep and sure enough to measure a site's background error on."""
-    return calls.where((F.col("ploidy") == 1) & (F.col("dp") >= least_depth) & (F.col("aq") >= least_quality))
+def background_ready(calls: DataFrame, least_depth: int, least_quality: float, most_strand: float = 100.0, most_odds: float = 5.0) -> DataFrame:
+    """One-allele samples deep, sure and even enough over strands to measure a site's background error on.
+
+    calls: ploidy, dp, aq, fs, sor. A missing fs or sor does not hold a sample back; a missing depth or quality does.
+    """
+    even = (F.coalesce("fs", F.lit(0.0)) <= most_strand) & (F.coalesce("sor", F.lit(0.0)) <= most_odds)
+    return calls.where((F.col("ploidy") == 1) & (F.col("dp") >= least_depth) & (F.col("aq") >= least_quality) & even)

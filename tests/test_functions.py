@@ -101,13 +101,39 @@ def test_fits_recover_their_parameters():
     a, b = numeric.fit_beta(len(x), np.log(x).sum(), np.log1p(-x).sum())
     assert abs(a - 2) < 0.1 and abs(b - 5) < 0.25
     k = rng.binomial(200, rng.beta(2, 6, 4000))
-    pairs, times = np.unique(k, return_counts=True)
-    a, b = numeric.fit_beta_binomial(pairs.astype(float), np.full(len(pairs), 200.0), times.astype(float))
+    counts = lambda x: tuple(map(list, np.unique(x, return_counts=True)))
+    a, b = numeric.fit_beta_binomial(counts(k), counts(200 - k), ([200], [len(k)]), (k / 200).mean(), (k / 200).var())
     assert abs(a - 2) < 0.25 and abs(b - 6) < 0.8
     assert numeric.fit_beta(2, 0, 0) == (2.5, 1680.0)
     assert numeric.binomial_quantile(0.99, 100, 0.01) == 4 and numeric.binomial_quantile(0.9, 0, 0.5) == 0
 
 
+def test_fisher_by_ratios_equals_sums_over_all_tables(spark):
+    from math import comb
+
+    rng = np.random.default_rng(1)
+    tables = [tuple(int(x) for x in rng.integers(0, 30, 4)) for _ in range(60)] + [(0, 0, 0, 0), (0, 5, 5, 0), (400, 3, 380, 90), (7, 0, 0, 0)]
+    df = spark.createDataFrame(tables, "a int, b int, c int, d int")
+    cols = [F.col(x) for x in "abcd"]
+    got = df.select("a", "b", "c", "d", st.fisher_two_sided(*cols).alias("two"), st.fisher_less(*cols).alias("less"), st.fisher_greater(*cols).alias("more")).collect()
+    for a, b, c, d, two, less, more in got:
+        n, row, column = a + b + c + d, a + b, a + c
+        p = {k: comb(row, k) * comb(n - row, column - k) / comb(n, column) for k in range(max(0, column - (c + d)), min(row, column) + 1)}
+        expected = (sum(x for x in p.values() if x <= p[a] * (1 + 1e-7)), sum(x for k, x in p.items() if k <= a), sum(x for k, x in p.items() if k >= a))
+        assert np.allclose((two, less, more), np.minimum(expected, 1), rtol=1e-8, atol=1e-12)
+
+
+def test_discrete_pairs_equal_the_sum():
+    from math import comb, exp, lgamma, log
+
+    beta = lambda a, b: lgamma(a) + lgamma(b) - lgamma(a + b)
+    rows = [(3, 17, 4, 30, 5), (0, 9, 0, 8, 1), (5, 0, 7, 7, 3), (2, 2, 1, 9, 2)]
+    for (a, b, x, n, s), ll in zip(rows, numeric.discrete_pairs(*np.array(rows, float).T)):
+        total = sum(comb(s, k) * exp(beta(k + a + 1, s - k + b + 1) - beta(a + 1, b + 1)) * comb(n, x) * (k / s) ** x * (1 - k / s) ** (n - x) for k in range(s + 1))
+        assert abs(ll - log(total)) < 1e-9
+    assert np.isnan(numeric.discrete_pairs(*np.array([[1.0], [1.0], [3.0], [2.0], [4.0]]))).all()
+
+
 def test_closed_and_exact_trio_likelihoods_differ_as_known():
     closed = lambda s: one_value(0.3, 15, 50, 20, 80, s)
     exact = lambda s: numeric.trio_likelihood_exact(0.3, 15, 50, 20, 80, s)
