@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mitoloom.operators.ordered import numbered, running
+
 CLIP = 1e-9
 
 
@@ -31,18 +33,12 @@ def kimura(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def trimmed(rows: DataFrame, share: float, order: list[str]) -> DataFrame:
     """rows without the floor(share * n) of highest F; ties by ``order``, and among rows that tie there too, any of them.
 
-    Only the cut itself (one row) reaches the driver: rows beyond it go, and of those equal to it as many as are still due.
+    Rows are numbered over ranges of F, so no task sees more than its range. No rows give none.
     """
-    key = F.struct((-F.col("f")).alias("f"), *order)
     drop = int(share * rows.count())
     if not drop:
         return rows
-    keyed = rows.withColumn("__k", key)
-    cut = keyed.select("__k").orderBy("__k").limit(drop).agg(F.max("__k").alias("k")).first().k
-    limit = F.struct(*[F.lit(v).alias(n) for n, v in zip(["f", *order], cut, strict=True)])
-    due = drop - keyed.where(F.col("__k") < limit).count()
-    equal = keyed.where(F.col("__k") == limit).withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy("w", "r"))).where(F.col("__r") > due).drop("__r")
-    return keyed.where(F.col("__k") > limit).unionByName(equal).drop("__k")
+    return numbered(rows, [F.col("f").desc(), *map(F.col, order)], "__n").where(F.col("__n") >= drop).drop("__n")
 
 
 def outliers(rows: DataFrame, k: int, order: list[str]) -> DataFrame:
@@ -95,7 +91,9 @@ def bootstrap(rows: DataFrame, times: int, seed: int, order: list[str]) -> DataF
 def ranked(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """rows plus avg_rank: average ranks with ties, from counts of each value rather than a sort of all rows."""
     counts = rows.groupBy(*(by or []), value).agg(F.count("*").alias("__n"))
-    order = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(value)
-    placed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.select(*(by or []), value, (F.col("__before") + (F.col("__n") + 1) / 2).alias("avg_rank"))
+    if by:
+        upto = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*by).orderBy(value)))
+    else:
+        upto = running(counts, F.col("__n"), [F.col(value)], "__upto")
+    placed = upto.select(*(by or []), value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias("avg_rank"))
     return rows.join(placed, [*(by or []), value])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mitoloom.operators.ordered import durable, running
+
 
 def standardized(rows: DataFrame) -> DataFrame:
     """features (arrays) as z-scores by the population's deviation; a feature without variance becomes null.
@@ -48,7 +50,8 @@ def mixture_model(rows: DataFrame, most: int = 10, seed: int = 1):
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
 
-    data = rows.select(array_to_vector(F.col("features")).alias("features")).cache()
+    data = rows.select(array_to_vector(F.col("features")).alias("features"))
+    data = durable(data)
     n = data.count()
     d = len(data.first().features) if n else 0
     best, table = None, []
@@ -59,16 +62,15 @@ def mixture_model(rows: DataFrame, most: int = 10, seed: int = 1):
         table.append((k, bic))
         if best is None or bic < best[1]:
             best = (model, bic)
-    data.unpersist()
     return best[0], table
 
 
 def sensitivity_cutoff(scored: DataFrame, share: float = 0.95) -> DataFrame:
     """(cutoff): the highest score at which more than ``share`` of the true rows lie at or above it. Columns: score, truth."""
     down = scored.where("truth").groupBy("score").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col("score").desc())
-    cumulative = down.withColumns({"got": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy())})
-    return cumulative.where(F.col("got") > share * F.col("all")).agg(F.max("score").alias("cutoff"))
+    cumulative = running(down, F.col("n"), [F.col("score").desc()], "got")
+    every = cumulative.agg(F.sum("n").alias("all"))
+    return cumulative.crossJoin(F.broadcast(every)).where(F.col("got") > share * F.col("all")).agg(F.max("score").alias("cutoff"))  # one row
 
 
 def worst_feature(features: Column) -> Column:

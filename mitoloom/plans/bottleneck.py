@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mitoloom.functions.numeric import golden_section
 from mitoloom.operators import drift, filters, likelihood
+from mitoloom.operators.ordered import durable
 
 
 def load_pairs(raw: DataFrame, low: float = 0.10, high: float = 0.90) -> DataFrame:
@@ -41,7 +42,7 @@ def estimate(pairs: DataFrame, low: int = 1, high: int = 100, model: str = "cont
     The surface is scanned at whole sizes, then, for the continuous model, at hundredths around the peak and around each end
     of the interval. Each scan is one distributed aggregate whose result has as many rows as sizes.
     """
-    informative = pairs.where("p > 0 AND p < 1").cache()
+    informative = durable(pairs.where("p > 0 AND p < 1"))
     n = informative.count()
     if not n:
         return {"ne": None, "ci_low": None, "ci_high": None, "low_clipped": False, "high_clipped": False, "max_ll": None, "n": 0}
@@ -84,7 +85,6 @@ def estimate(pairs: DataFrame, low: int = 1, high: int = 100, model: str = "cont
         return inside, False
 
     (ci_low, low_clipped), (ci_high, high_clipped) = end(-1), end(1)
-    informative.unpersist()
     return {"ne": peak, "ci_low": ci_low, "ci_high": ci_high, "low_clipped": low_clipped, "high_clipped": high_clipped, "max_ll": values[peak], "n": n}
 
 

@@ -106,7 +106,7 @@ def _shape(seen: DataFrame) -> tuple[float, float] | None:
 
 
 def quality_control(calls: DataFrame, *, least_depth: int = 100, least_quality: float = 20.0, prior: float = 5e-8 * 16569, least_posterior: float = 0.9, rounds: int = 20, tolerance: float = 1e-3, bins: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(calls with pp, good, kept and mutation; sites with pass and kl).
+    """(calls with error, alpha, beta, pp, good, kept and mutation; sites with pass and kl).
 
     calls: pos, sample, idx (0: reference), ploidy, ad, dp, af, aq, srf, fs, sor; a sample with a missing number takes no part, but
     stays, with pp 0. Sites without background samples are left out. A site's error model comes from its background; the model
@@ -146,4 +146,4 @@ def quality_control(calls: DataFrame, *, least_depth: int = 100, least_quality:
     out = rows.withColumns({"good": F.col("pp") > least_posterior, "kept": (F.col("idx") > 0) & (F.col("lowest") > least_posterior)})
     divergence = histogram_divergence(rows.where("NOT pre_filtered"), ["pos"], bins, F.col("alpha"), F.col("beta"))
     passes = out.groupBy("pos").agg(F.bool_or("mutation").alias("pass")).join(divergence, "pos", "left").withColumn("kl", F.greatest(F.coalesce("kl", F.lit(0.0)), F.lit(0.0)))
-    return out.drop("alpha", "beta", "error", "log_error", "lowest", "before"), passes
+    return out.drop("log_error", "lowest", "before"), passes

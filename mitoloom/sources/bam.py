@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import io
 import struct
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "sample string, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string"
+SCHEMA = "sample string, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>"
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 
 
@@ -40,6 +42,10 @@ class Stream:
     def __init__(self, raw):
         self.blocks, self.have = bgzf(raw), bytearray()
 
+    def rest(self) -> bytes:
+        """All that is left."""
+        return bytes(self.have) + b"".join(self.blocks)
+
     def take(self, n: int) -> bytes:
         while len(self.have) < n:
             block = next(self.blocks, None)
@@ -63,63 +69,194 @@ def header(stream: Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, contigs
 
 
-def sample_name(text: str, path: str) -> str:
-    """SM of the first @RG line; without one the file's name up to its first point."""
+def sample_name(text: str) -> str:
+    """SM of the first @RG line; without one it raises, as calls must have a sample (see text.sample_of_path for names of files)."""
     for line in text.split("\n"):
         if line.startswith("@RG"):
             for field in line.split("\t"):
                 if field.startswith("SM:"):
                     return field[3:]
-    return path.rsplit("/", 1)[-1].split(".")[0]
+    raise ValueError("no @RG line with a sample (SM) in the header")
+
+
+def tags_of(data: bytes, at: int) -> dict[str, str]:
+    """The tags of a record from ``at``, as text: numbers plainly, arrays with commas."""
+    kinds, out = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}, {}
+    while at + 3 <= len(data):
+        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
+        at += 3
+        if kind in "ZH":
+            end = data.index(0, at)
+            out[name], at = data[at:end].decode(), end + 1
+        elif kind == "A":
+            out[name], at = chr(data[at]), at + 1
+        elif kind == "B":
+            of, n = kinds[chr(data[at])], struct.unpack_from("<i", data, at + 1)[0]
+            out[name] = ",".join(map(str, struct.unpack_from(f"<{n}{of}", data, at + 5)))
+            at += 5 + n * struct.calcsize(of)
+        else:
+            out[name] = str(struct.unpack_from(f"<{kinds[kind]}", data, at)[0])
+            at += struct.calcsize(kinds[kind])
+    return out
+
+
+def span(cigar: list[int]) -> int:
+    """Reference bases that packed CIGAR operations cover; 1 where they cover none."""
+    return sum(c >> 4 for c in cigar if OPS[c & 15] in "MDN=X") or 1
+
 
+def records(stream: Stream, contigs: list[tuple[str, int]], region: tuple[int, int, int] | None = None, starting: bool = False, ordered: bool = False) -> Iterator[tuple]:
+    """Decoded records; with a region (contig number, start, end; 0-based, half-open) those that meet it, or that start in it.
 
-def records(stream: Stream, contigs: list[tuple[str, int]]) -> Iterator[tuple]:
+    Others are passed by undecoded, and in a file that is sorted by place reading ends behind the region.
+    """
     name = lambda i: contigs[i][0] if 0 <= i < len(contigs) else "*"
     while size := stream.take(4):
         data = stream.take(struct.unpack("<i", size)[0])
         ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
         at = 32 + l_name
+        ops = struct.unpack_from(f"<{n_cigar}I", data, at)
+        if region:
+            contig, start, end = region
+            if ordered and (ref < 0 or ref > contig or (ref == contig and pos >= end)):
+                return
+            if ref != contig or pos >= end or (pos < start if starting else pos + span(ops) <= start):
+                continue
         qname = data[32 : at - 1].decode()
-        cigar = "".join(f"{c >> 4}{OPS[c & 15]}" for c in struct.unpack_from(f"<{n_cigar}I", data, at)) or "*"
+        cigar = "".join(f"{c >> 4}{OPS[c & 15]}" for c in ops) or "*"
         at += 4 * n_cigar
         packed = data[at : at + (l_seq + 1) // 2]
         seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] or "*"
         at += (l_seq + 1) // 2
         qual = data[at : at + l_seq]
-        yield qname, flag, name(ref), pos, mapq, cigar, name(next_ref), next_pos, tlen, seq, "*" if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual)
+        yield qname, flag, name(ref), pos, mapq, cigar, name(next_ref), next_pos, tlen, seq, "*" if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual), tags_of(data, at + l_seq)
+
+
+#: Positions that one entry of an index stands for.
+WINDOW = 1 << 14
+
+
+def linear_index(raw: bytes) -> list[list[int]]:
+    """For each contig of a .bai file, the virtual offset at which the records that meet each window begin; 0 for none."""
+    if raw[:4] != b"BAI\x01":
+        raise ValueError("not a BAI index")
+    (n,), at, out = struct.unpack_from("<i", raw, 4), 8, []
+    for _ in range(n):
+        (bins,) = struct.unpack_from("<i", raw, at)
+        at += 4
+        for _ in range(bins):
+            at += 8 + 16 * struct.unpack_from("<i", raw, at + 4)[0]
+        (windows,) = struct.unpack_from("<i", raw, at)
+        out.append(list(struct.unpack_from(f"<{windows}Q", raw, at + 4)))
+        at += 4 + 8 * windows
+    return out
+
+
+def index_of(raw) -> bytes:
+    """The linear part of an index, in its file's format, of a BAM stream that is sorted by place."""
+    blocks, at = [], 0
+    data = raw.read()
+    while at < len(data):
+        size = struct.unpack_from("<H", data, at + 16)[0] + 1
+        blocks.append((at, zlib.decompress(data[at + 18 : at + size - 8], -15)))
+        at += size
+    whole = b"".join(b for _, b in blocks)
+    ends = [0]
+    for _, b in blocks:
+        ends.append(ends[-1] + len(b))
+    stream = Stream(io.BytesIO(data))
+    _, contigs = header(stream)
+    at = len(whole) - len(stream.rest())
+    windows: list[dict[int, int]] = [{} for _ in contigs]
+    while at < len(whole):
+        (size,) = struct.unpack_from("<i", whole, at)
+        ref, pos, l_name, _, _, n_cigar = struct.unpack_from("<iiBBHH", whole, at + 4)
+        k = bisect.bisect_right(ends, at) - 1
+        if ref >= 0:
+            last = pos + span(struct.unpack_from(f"<{n_cigar}I", whole, at + 36 + l_name)) - 1
+            for w in range(pos // WINDOW, last // WINDOW + 1):
+                windows[ref].setdefault(w, blocks[k][0] << 16 | at - ends[k])
+        at += 4 + size
+    out = [b"BAI\x01", struct.pack("<i", len(contigs))]
+    for found in windows:
+        n = max(found, default=-1) + 1
+        out.append(struct.pack(f"<ii{n}Q", 0, n, *(found.get(w, 0) for w in range(n))))
+    return b"".join(out)
 
 
 class Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, region: tuple[int, int, int] | None = None, starting: bool = False, offset: int = 0):
+        self.path, self.region, self.starting, self.offset = path, region, starting, offset
 
 
 class BamReader(DataSourceReader):
-    """A task a file: files are the unit of parallelism, as one sample has one file."""
+    """A task a file; with an index beside it (.bam.bai or .bai), a task for each ``split`` positions of each contig.
+
+    ``region`` (contig, contig:start or contig:start-end; 1-based, closed) keeps the records that meet it, and reads from the index's
+    place on where there is one.
+    """
 
     def __init__(self, options):
-        self.uri = options["path"]
+        self.uri, self.region, self.split = options["path"], options.get("region"), int(options.get("split", 10_000_000))
+
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.uri if ":" in self.uri else f"file://{self.uri}")
 
     def partitions(self) -> list[Part]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.uri if ":" in self.uri else f"file://{self.uri}")
+        store, root = self._store()
         info = store.get_file_info(root)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root))
-        return [Part(f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".bam")]
+        parts = []
+        for file in sorted(found, key=lambda f: f.path):
+            if file.path.endswith(".bam"):
+                parts += self._parts(store, file.path)
+        return parts
 
-    def read(self, part: Part) -> Iterator[tuple]:
-        from pyarrow import fs
+    def _parts(self, store, path: str) -> list[Part]:
+        with store.open_input_stream(path, compression=None) as raw:
+            text, contigs = header(Stream(raw))
+        beside = [f for f in store.get_file_info([path + ".bai", path[:-4] + ".bai"]) if f.is_file]
+        index = None
+        if beside and "SO:unsorted" not in text:
+            with store.open_input_stream(beside[0].path, compression=None) as raw:
+                index = linear_index(raw.read())
+        if self.region:
+            contig, _, span_ = self.region.partition(":")
+            names = [c for c, _ in contigs]
+            if contig not in names:
+                raise ValueError(f"no contig {contig} in {path}")
+            first, _, last = span_.replace(",", "").partition("-")
+            k = names.index(contig)
+            region = (k, max(int(first or 1), 1) - 1, int(last) if last else contigs[k][1])
+            return [Part(path, region, offset=_offset(index[k], region[1]) if index else 0)]
+        if index is None:
+            return [Part(path)]
+        parts = [Part(path, (k, a, min(a + self.split, length)), True, _offset(index[k], a)) for k, (_, length) in enumerate(contigs) for a in range(0, length, self.split) if index[k]]
+        return [*parts, Part(path, (-1, -1, 0), True)]  # and the records without a place
 
-        store, _ = fs.FileSystem.from_uri(self.uri if ":" in self.uri else f"file://{self.uri}")
-        with store.open_input_stream(part.path, compression=None) as raw:
+    def read(self, part: Part) -> Iterator[tuple]:
+        store, _ = self._store()
+        with store.open_input_file(part.path) as raw:
             stream = Stream(raw)
             text, contigs = header(stream)
-            sample = sample_name(text, part.path)
-            for row in records(stream, contigs):
+            sample = sample_name(text)
+            if part.offset:
+                raw.seek(part.offset >> 16)
+                stream = Stream(raw)
+                stream.take(part.offset & 0xFFFF)
+            for row in records(stream, contigs, part.region, part.starting, part.offset > 0 or "SO:coordinate" in text and part.region is not None and part.region[0] >= 0):
                 yield (sample, *row)
 
 
+def _offset(windows: list[int], start: int) -> int:
+    """Where the records from a position on may begin: the first window at or behind it that has any."""
+    return next((o for o in windows[start // WINDOW :] if o), 0)
+
+
 class BamDataSource(DataSource):
     """``spark.dataSource.register(BamDataSource)``, then ``spark.read.format("bam").load(path)``."""
 

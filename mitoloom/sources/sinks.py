@@ -7,7 +7,7 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mitoloom.functions.alleles import trimmed_number
@@ -37,19 +37,38 @@ def vcf_header(contigs: Sequence[tuple[str, int]], samples: Sequence[str], forma
 
 
 def write_lines(body: DataFrame, order: Sequence[str], line: Column, head: Sequence[str], path: str, gzip: bool = False) -> None:
-    """Header, then body lines in order, in one file of the folder ``path``."""
-    spark = body.sparkSession
-    first = spark.createDataFrame([(i, h) for i, h in enumerate(head)], "__i int, value string") if head else None
-    rows = body.select(F.row_number().over(_order(order)).alias("__i"), line.alias("value"))
-    rows = rows.withColumn("__i", F.col("__i") + len(head))
-    every = rows if first is None else first.unionByName(rows)
-    every.coalesce(1).sortWithinPartitions("__i").select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
-
+    """Header, then body lines in order, as parts of the folder ``path`` whose names stand in that order; see merge_parts.
 
-def _order(order: Sequence[str]):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)
+    The body is sorted by ranges, each written by a task of its own; the header is the first part. No rows leave the header alone.
+    """
+    spark = body.sparkSession
+    rows = body.orderBy(*order).select(line.alias("value"))
+    if head:
+        rows = spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).unionByName(rows)
+    rows.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+
+
+def _store(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """(file system, path) of any store that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def merge_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """The parts of a folder as one file, in the order of their names, copied as streams; gzip parts give one gzip file."""
+    store, place = _store(spark, folder)
+    target, at = _store(spark, path)
+    parts = sorted(f.getPath().toString() for f in store.listStatus(place) if f.getPath().getName().startswith("part-"))
+    out = target.create(at, True)
+    try:
+        for part in parts:
+            source = store.open(_store(spark, part)[1])
+            try:
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
 
 
 def write_table(rows: DataFrame, path: str, comments: Sequence[str] = (), order: Sequence[str] = ()) -> None:
@@ -70,15 +89,34 @@ def pair_rows(pairs: DataFrame) -> DataFrame:
     return g_seen.select(*[c.alias(n) for c, n in zip(columns, PAIR_COLUMNS, strict=True)])
 
 
-def write_json(result: dict[str, Any], path: str) -> None:
-    """One JSON document; numbers that are not finite become strings."""
+def write_json(spark: SparkSession, result: dict[str, Any], path: str) -> None:
+    """One JSON document in any store that Spark reaches; numbers that are not finite become strings."""
     clean = lambda x: {k: clean(v) for k, v in x.items()} if isinstance(x, dict) else [clean(v) for v in x] if isinstance(x, list) else str(x) if isinstance(x, float) and not math.isfinite(x) else x
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(clean(result), file, indent=2)
+    store, place = _store(spark, path)
+    out = store.create(place, True)
+    try:
+        out.write(bytearray(json.dumps(clean(result), indent=2).encode()))
+    finally:
+        out.close()
 
 
 def qc_rows(scored: DataFrame) -> DataFrame:
-    """Called mutations with an alternative allele, under the columns of the QC table."""
-    kept = scored.where("good AND idx > 0")
-    have = [c for c in QC_COLUMNS if c in kept.columns]
-    return kept.select(*have)
+    """Called mutations with an alternative allele, under the columns of the QC table.
+
+    scored: sample, chrom, pos, ref, alt, ploidy, alpha, beta, error, pp, mutation, idx; a column that is absent raises.
+    """
+    columns = ["sample", "chrom", "pos", "ref", "alt", "ploidy", "alpha", "beta", "error", "pp", "mutation"]
+    kept = scored.where("mutation AND idx > 0")
+    return kept.select(*[F.col(c).alias(n) for c, n in zip(columns, QC_COLUMNS, strict=True)])
+
+
+def copynum_rows(report: DataFrame) -> DataFrame:
+    """A copy-number report under its table's columns.
+
+    report: contig, fragments, length, gc, ratio, cn, cn_low, cn_high, effective_length, regions; numbers have six places, and null
+    ones are NA.
+    """
+    places = {"gc", "ratio", "cn", "cn_low", "cn_high"}
+    columns = ["contig", "fragments", "length", "gc", "ratio", "cn", "cn_low", "cn_high", "effective_length", "regions"]
+    text = lambda c: F.coalesce(trimmed_number(F.col(c)) if c in places else F.col(c).cast("string"), F.lit("NA"))
+    return report.select(*[text(c).alias(n) for c, n in zip(columns, COPYNUM_COLUMNS, strict=True)])

@@ -1,4 +1,4 @@
-"""Readers of the domain's text formats, by Spark's own splittable text and CSV readers."""
+"""Readers of the domain's text formats, by Spark's own text and CSV readers, which split large files."""
 
 from __future__ import annotations
 
@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 
 VCF_COLUMNS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 SAM_COLUMNS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
-#: Whole files are the unit where lines need their place; Spark reads them as single rows.
-LINE = "line"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the files' lines with their numbers from 0; gzip and BGZF are read as well."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("rows"))
-    return whole.select("file", F.posexplode("rows").alias("line", "value"))
+    """(file, line, value): the files' lines, read by splits; gzip and BGZF are read as well, a file a task.
+
+    ``line`` orders a file's lines and tells them apart: the split's place in the file, and the line's number in the task.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("line"), "value")
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, length, sequence): names end at the first white space; lines of a contig are joined in order."""
+    """(contig, length, sequence): names end at the first white space; lines of a contig are joined in order.
+
+    A line belongs to the last name before it: in its split or, where there is none, in the splits before, of which one row each is
+    put in order. Lines before any name are left out.
+    """
     rows = lines(spark, path).where("value <> ''")
     heads = F.startswith("value", F.lit(">"))
-    order = Window.partitionBy("file").orderBy("line")
-    named = rows.withColumn("contig", F.last(F.when(heads, F.regexp_extract("value", r"^>(\S*)", 1)), ignorenulls=True).over(order)).where(~heads & F.col("contig").isNotNull())
+    name = F.when(heads, F.struct("line", F.regexp_extract("value", r"^>(\S*)", 1).alias("contig")))
+    here = Window.partitionBy("file", "line.split").orderBy("line.row")
+    marked = rows.withColumns({"split": F.col("line.split"), "own": F.last(name, ignorenulls=True).over(here)})
+    ends = rows.groupBy("file", F.col("line.split").alias("split")).agg(F.max(name).alias("end"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "split", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    named = marked.where(~heads).join(carried, ["file", "split"]).withColumn("name", F.coalesce("own", "carried")).where("name IS NOT NULL")
     sequence = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("value").alias("value")))), lambda x: x["value"]), "")
-    return named.groupBy("file", "contig").agg(sequence.alias("sequence")).select("contig", F.length("sequence").alias("length"), "sequence")
+    return named.groupBy("file", "name").agg(sequence.alias("sequence")).select("name.contig", F.length("sequence").alias("length"), "sequence")
 
 
 def reference_bases(contigs: DataFrame) -> DataFrame:
@@ -44,7 +54,8 @@ def sample_of_path(path: Column) -> Column:
 
 
 def sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(reads, headers) of text SAM files. Reads carry sample (@RG SM, else the file's name), 0-based pos and a map of tags."""
+    """(reads, headers) of text SAM files. Reads carry sample (SM of the first @RG line; without one
+    they raise), 0-based pos and a map of tags."""
     rows = lines(spark, path).where("value <> ''")
     headers = rows.where(F.startswith("value", F.lit("@")))
     groups = headers.where(F.startswith("value", F.lit("@RG"))).groupBy("file").agg(F.min_by(F.regexp_extract("value", r"\tSM:([^\t]+)", 1), "line").alias("sm"))
@@ -54,11 +65,19 @@ def sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     split = body.select("file", *fields, F.map_from_arrays(F.transform(tags, lambda t: F.substring(t, F.lit(1), F.lit(2))), F.transform(tags, lambda t: F.substring(t, F.lit(6), F.length(t)))).alias("tags"))
     numbers = {c: F.col(c).try_cast("int") for c in ("flag", "pos", "mapq", "pnext", "tlen")}
     reads = split.withColumns(numbers).withColumn("pos", F.col("pos") - 1).join(groups, "file", "left")
-    named = reads.withColumn("sample", F.coalesce(F.nullif("sm", F.lit("")), sample_of_path(F.col("file"))))
+    named = reads.withColumn("sample", F.coalesce(F.nullif("sm", F.lit("")), F.raise_error(F.concat(F.lit("no @RG line with a sample (SM) in "), "file"))))
     rnext = F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))
     return named.withColumn("rnext", rnext).select("sample", *SAM_COLUMNS, "tags"), headers.select("file", "line", "value")
 
 
+def in_region(records: DataFrame, contig: str, start: int, end: int) -> DataFrame:
+    """Records (chrom, pos, ref) that meet a closed 1-based region with any of their reference's bases.
+
+    The reader splits the file and the filter is applied in each split; without an index nothing is skipped.
+    """
+    return records.where((F.col("chrom") == contig) & (F.col("pos") <= end) & (F.col("pos") + F.greatest(F.length("ref"), F.lit(1)) - 1 >= start))
+
+
 def contigs_of(headers: DataFrame) -> DataFrame:
     """(contig, length) of @SQ lines."""
     rows = headers.where(F.startswith("value", F.lit("@SQ")))

@@ -150,9 +150,62 @@ def test_bam_round_trip(spark, tmp_path):
     assert (row["sample"], row.qname, row.rname, row.pos, row.cigar, row.seq, row.qual) == ("smp", "q1", "chrM", 99, "4M", "ACGT", "?@AB")
 
 
+def bam_bytes(reads, sample=True):
+    """A BAM file of reads (contig number, 0-based pos, name), each 4M and with tags, over two contigs."""
+    head = b"@HD\tVN:1.6\tSO:coordinate\n" + (b"@RG\tID:1\tSM:smp\n" if sample else b"")
+    body = b"BAM\x01" + struct.pack("<i", len(head)) + head + struct.pack("<i", 2)
+    for name, length in ((b"c1\0", 100_000), (b"c2\0", 60_000)):
+        body += struct.pack("<i", len(name)) + name + struct.pack("<i", length)
+    for ref, pos, name in reads:
+        rec = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, 1, 16, 4, -1, -1, 0) + name.encode() + b"\0" + struct.pack("<I", 4 << 4) + bytes([0x12, 0x48, 30, 31, 32, 33]) + b"NMC\x02RGZone\0ZBBc\x02\0\0\0\x01\xff"
+        body += struct.pack("<i", len(rec)) + rec
+    return bam.compress(body, 5_000)
+
+
+def test_bam_regions_and_splits(spark, tmp_path):
+    import io
+    import random
+
+    rng = random.Random(1)
+    reads = sorted((rng.randrange(2), rng.randrange(0, 59_000), f"q{i}") for i in range(900)) + [(-1, -1, "lost")]
+    plain, indexed = tmp_path / "plain", tmp_path / "indexed"
+    for folder in (plain, indexed):
+        folder.mkdir()
+        (folder / "a.bam").write_bytes(bam_bytes(reads))
+    (indexed / "a.bam.bai").write_bytes(bam.index_of(io.BytesIO(bam_bytes(reads))))
+    spark.dataSource.register(bam.BamDataSource)
+    names = lambda df: sorted(r.qname for r in df.collect())
+    for folder in (plain, indexed):
+        read = spark.read.format("bam")
+        assert names(read.option("split", "7000").load(str(folder))) == sorted(n for *_, n in reads)
+        for contig, start, end in ((0, 1, 59_000), (0, 20_000, 20_400), (1, 16_385, 40_000), (1, 58_000, 60_000)):
+            got = names(read.option("region", f"c{contig + 1}:{start}-{end}").load(str(folder)))
+            assert got == sorted(n for r, p, n in reads if r == contig and p < end and p + 4 > start - 1)
+    assert spark.read.format("bam").option("split", "7000").load(str(indexed)).rdd.getNumPartitions() > 10
+    row = spark.read.format("bam").load(str(plain)).first()
+    assert row.tags == {"NM": "2", "RG": "one", "ZB": "1,-1"}
+    (tmp_path / "b.bam").write_bytes(bam_bytes(reads, sample=False))
+    with pytest.raises(Exception, match="no @RG"):
+        spark.read.format("bam").load(str(tmp_path / "b.bam")).collect()
+
+
+def test_lines_of_split_files_keep_their_order(spark, tmp_path):
+    contigs = {f"c{i}": "".join("ACGT"[(i * k) % 4] for k in range(1, 700 + i)) for i in range(1, 6)}
+    (tmp_path / "x.fa").write_text("ignored\n" + "".join(f">{n} note\n" + "\n".join(s[a : a + 60] for a in range(0, len(s), 60)) + "\n" for n, s in contigs.items()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+        assert text.lines(spark, str(tmp_path / "x.fa")).rdd.getNumPartitions() > 3
+        assert {r.contig: r.sequence for r in text.fasta(spark, str(tmp_path / "x.fa")).collect()} == contigs
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a")], "pos int, x string")
     sinks.write_table(rows, str(tmp_path / "t"), ["made=here"], ["pos"])
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["#made=here", "pos\tx", "1\ta", "2\tb"]
-    sinks.write_json({"a": float("inf"), "b": [1.5]}, str(tmp_path / "j"))
+    sinks.merge_parts(spark, str(tmp_path / "t"), str(tmp_path / "one.tsv"))
+    assert (tmp_path / "one.tsv").read_text() == "#made=here\npos\tx\n1\ta\n2\tb\n"
+    sinks.write_json(spark, {"a": float("inf"), "b": [1.5]}, str(tmp_path / "j"))
     assert (tmp_path / "j").read_text() == '{\n  "a": "inf",\n  "b": [\n    1.5\n  ]\n}'
