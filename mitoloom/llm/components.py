@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mitoloom.llm.shared import cut
+from mitoloom.llm.shared import cut, free_finished
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
-    for _ in range(rounds if before[0] else 0):
+    for turn in range(rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         # large star: every larger neighbour of u moves to the smallest of u and its neighbours
@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.where("u <> v").distinct())
         after = _state(edges)
+        if turn % 3 == 2:
+            free_finished(edges.sparkSession)
         if after == before:
             break
         before = after

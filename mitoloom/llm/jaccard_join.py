@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from mitoloom.llm.bitfilter import bit_filter, may_hold
 from mitoloom.llm.components import connected_components
+from mitoloom.llm.lean import lean
 from mitoloom.llm.shared import cut, pick
 from mitoloom.llm.signature_tree import Sets, Sketches, linked_groups, sketch
 from mitoloom.llm.words import M1, M2, mix, pieces, ranges, set_hashes, shingle_sets, sums
 
-#: Shingles that a tree task holds at a time (8 bytes each, and about as much again for bitmaps and ids).
-BLOCK_WEIGHT = 4_000_000
+#: Shingles that a tree task holds at a time: 8 bytes each as read, and some 50 more while their ids and bitmaps are made.
+BLOCK_WEIGHT = 1_000_000
 SEEN = 200_000
 #: Members of a bucket that a task holds; larger buckets become chains.
 BUCKET = 4096
@@ -100,7 +101,7 @@ def documents_and_classes(rows: DataFrame, width: int) -> DataFrame:
             sketches = [sketch(values[x:y]) if y > x else None for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes.view(np.int64), mask=sizes == 0), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "class", "sketch"])
 
-    return rows.mapInArrow(classes, "doc_id long, n_shingles long, class long, sketch binary")
+    return rows.mapInArrow(lean(classes), "doc_id long, n_shingles long, class long, sketch binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +197,15 @@ def clumps(rows: DataFrame, documents: DataFrame, width: int, num: int, den: int
         if len(ids) > 1 and (out := found()) is not None:
             yield out
 
-    keys = rows.mapInArrow(keyed, "key long, class long")
-    found = cut(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(runs, "bucket long, class long, leader long"))
+    keys = rows.mapInArrow(lean(keyed), "key long, class long")
+    found = cut(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(lean(runs), "bucket long, class long, leader long"))
     buckets = found.where("bucket IS NOT NULL").select("bucket", "class").distinct()
     wanted = buckets.select("class").distinct()
-    sketches = documents.join(wanted, "class", "left_semi").select("class", "sketch").dropDuplicates(["class"])
+    # one sketch a class before the shuffle, so that a class of very many copies is no hot key
+    sketches = documents.where("class IS NOT NULL").groupBy("class").agg(F.first("sketch").alias("sketch")).join(wanted, "class", "left_semi")
     members = buckets.join(sketches, "class").select("bucket", "class", "sketch").repartition("bucket").sortWithinPartitions("bucket", "class")
     chained = found.where("leader IS NOT NULL").select(F.col("leader").alias("u"), F.col("class").alias("v"))
-    return connected_components(members.mapInArrow(chances, "u long, v long").unionByName(chained))
+    return connected_components(members.mapInArrow(lean(chances), "u long, v long").unionByName(chained))
 
 
 SETS = "clump long, block long, class long, side boolean, label long, values binary"
@@ -241,7 +243,7 @@ def _joined(sets: DataFrame, num: int, den: int) -> DataFrame:
         if len(held) > 1 and (out := done()) is not None:
             yield out
 
-    return sets.select("clump", "block", "class", "side", "label", "values").repartition("clump", "block").sortWithinPartitions("clump", "block", "class").mapInArrow(links, "u long, v long")
+    return sets.select("clump", "block", "class", "side", "label", "values").repartition("clump", "block").sortWithinPartitions("clump", "block", "class").mapInArrow(lean(links), "u long, v long")
 
 
 def fetched_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -262,7 +264,7 @@ def fetched_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     near = rows.where(may_hold(bits, F.col("doc_id")))
     joined = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "wanted", "clump", "block")
-    return joined.mapInArrow(fetch, "clump long, block long, class long, values binary")
+    return joined.mapInArrow(lean(fetch), "clump long, block long, class long, values binary")
 
 
 def class_links(rows: DataFrame, first: DataFrame, members: DataFrame, width: int, num: int, den: int, weight: int) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mitoloom.llm.lean import lean
 from mitoloom.llm.shared import bucket, pick
 from mitoloom.llm.words import M1, WordTable, mix, pieces
 
@@ -146,7 +147,7 @@ def train(df: DataFrame, *, most: int = 700, id_col: str = "doc_id", text_col: s
     # one pass: a share of each language by the id's hash that gives twice the bound at most, of which the lowest hashes stay
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, 1.5 * most / n) * (1 << 20)) + 1)) for k, n in sorted(found.items())]) if found else F.lit(0)
-    sample = rows.where(lot < share).select("lang", lot.alias("lot"), "text").mapInArrow(profile, "lang string, lot long, profile binary")
+    sample = rows.where(lot < share).select("lang", lot.alias("lot"), "text").mapInArrow(lean(profile), "lang string, lot long, profile binary")
     by_language: dict[str, list[tuple[int, bytes]]] = {}
     for row in sample.toLocalIterator():
         held = by_language.setdefault(row.lang, [])
@@ -211,4 +212,4 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(family, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "family"])
 
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.withColumn("held_out", bucket(F.col("doc_id"), holdout) == held).mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, family string")
+    return rows.withColumn("held_out", bucket(F.col("doc_id"), holdout) == held).mapInArrow(lean(predict), "doc_id long, held_out boolean, lang_pred string, score double, family string")

@@ -17,7 +17,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mitoloom.llm.shared import new_folder, pick
+from mitoloom.llm.lean import lean
+from mitoloom.llm.shared import new_folder, open_folder, pick
 from mitoloom.llm.words import WordTable, pieces, ranges
 
 #: Entries in each of the two generations of a task's caches: of words, and of the runs of letters and the like in them.
@@ -32,11 +33,6 @@ PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(0x100) if b not in PRINTABLE)}
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    """Any store that pyarrow knows (file, hdfs, s3, gs); the folder must be one that all executors see."""
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class Cache(dict):
     """A dictionary of bounded size: when it is full, it starts anew, but keeps what is used of its previous generation."""
 
@@ -179,7 +175,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, *, id_col: str
 
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    parts = sorted((r.asDict() for r in ordered.mapInArrow(write, "part long, name string, docs long, ids long").collect()), key=lambda r: r["part"])
+    parts = sorted((r.asDict() for r in ordered.mapInArrow(lean(write), "part long, name string, docs long, ids long").collect()), key=lambda r: r["part"])
     base = doc_base = 0
     for row in parts:
         row |= {"base": base, "doc_base": doc_base}
@@ -229,7 +225,7 @@ def read_token_files(spark: SparkSession, folder: str, *, with_ids: bool = False
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     frame = spark.createDataFrame([(r["name"], r["docs"], r["base"]) for r in parts], "name string, docs long, base long")
-    return frame.repartition(max(1, min(len(parts), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(read, schema)
+    return frame.repartition(max(1, min(len(parts), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(lean(read), schema)
 
 
 def token_output(df: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mitoloom.llm.lean import lean
 from mitoloom.llm.shared import bucket, pick
 from mitoloom.llm.words import WordTable, pieces, ranges
 
@@ -125,7 +126,7 @@ def train(df: DataFrame, labels: DataFrame, *, most_positive: int = 3000, most_u
             yield pa.RecordBatch.from_arrays([batch.column("sure"), pa.array([feature[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["sure", "features"])
 
     # both id lists are bounded by the two parameters
-    sample = rows.join(F.broadcast(confirmed.unionByName(others)), "doc_id").select("text", "sure").mapInArrow(featurise, "sure boolean, features binary")
+    sample = rows.join(F.broadcast(confirmed.unionByName(others)), "doc_id").select("text", "sure").mapInArrow(lean(featurise), "sure boolean, features binary")
     sets: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for row in sample.toLocalIterator():
         sets[row.sure].append(np.frombuffer(row.features, "<u4"))
@@ -164,7 +165,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.withColumn("held_out", bucket(F.col("doc_id"), holdout) == 0).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.withColumn("held_out", bucket(F.col("doc_id"), holdout) == 0).mapInArrow(lean(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **options) -> DataFrame:
@@ -177,4 +178,4 @@ def drop_toxic(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         for batch in pieces(batches, text=names[text_at], limit=2 << 20):
             yield batch.filter(pa.array(model.scores(*maker.pairs(batch.column(text_at)), batch.num_rows) < least))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(lean(keep), df.schema)

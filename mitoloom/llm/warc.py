@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mitoloom.llm.shared import new_folder, pick
-from mitoloom.llm.token_files import open_folder
+from mitoloom.llm.lean import lean
+from mitoloom.llm.shared import new_folder, open_folder, pick
 from mitoloom.llm.words import pieces
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -127,7 +127,7 @@ def write_warc(df: DataFrame, folder: str, *, id_col: str = "page_id", url_col:
         if names:
             yield pa.RecordBatch.from_pydict({"name": pa.array(names)})
 
-    return sorted(r.name for r in marked.mapInArrow(write, "name string").collect())
+    return sorted(r.name for r in marked.mapInArrow(lean(write), "name string").collect())
 
 
 def records(raw, gzipped: bool) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -241,9 +241,9 @@ def read_warc(spark: SparkSession, folder: str, names: list[str], *, with_payloa
             yield pa.RecordBatch.from_pylist([whole(held)], PARSED)
 
     listed = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
-    parsed = listed.mapInArrow(parse, SCHEMA)
+    parsed = listed.mapInArrow(lean(parse), SCHEMA)
     ordered = parsed.repartition("origin").sortWithinPartitions("origin", "segment")
-    return ordered.mapInArrow(join, SCHEMA).select("page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "status")
+    return ordered.mapInArrow(lean(join), SCHEMA).select("page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "status")
 
 
 def warc_round_trip(df: DataFrame, folder: str | None = None, **options) -> DataFrame:
