@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mitoloom.llm.lean import lean
 from mitoloom.llm.shared import pick
 from mitoloom.llm.words import pieces
 
@@ -106,10 +108,12 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     if HINT.search(text):
         spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 12]
-        taken = [(a, b) for _, a, b in spans]
+        taken = sorted((a, b) for _, a, b in spans)
+        furthest = list(accumulate((b for _, b in taken), max))
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b])[0] >= STRONG:
+            before = bisect_right(taken, (a, len(text) + 1))
+            if not (before and furthest[before - 1] >= b) and guess_cost(text[a:b])[0] >= STRONG:
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -137,4 +141,27 @@ def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_assign", "n_access", "n_hex")), pa.array(out["base_sha256"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["n_guess"], pa.int64()), pa.array(out["found"], found)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "found"])
 
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, found array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(lean(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, found array<struct<kind:string,start:long,end:long>>")
+
+
+def _any_case(pattern: str) -> str:
+    """The pattern with a class of both cases for each letter outside of a class: RE2's own flag folds letters beyond ASCII too."""
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in pattern)
+
+
+_NAMES = _any_case("(password|passwd|secret|token|api_?key)")
+#: kind, pattern, least characters of the whole match, least characters of its value.
+_BASE = [("assign", _NAMES + "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 0, 12), ("access", "(AKIA)([A-Z0-9]+)", 18, 0), ("hex", "()([0-9a-f]+)", 16, 0)]
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS k, '{kind}' AS kind, {whole} AS whole, {value} AS value, '{pattern}' AS p, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS ps FROM d" for i, (kind, pattern, whole, value) in enumerate(_BASE))
+#: A match starts behind all pieces between matches, and all matches, before it.
+BASE_ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND.replace("SELECT doc_id", "SELECT row, doc_id")}),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f),
+s AS (SELECT row, k, kind, ms[i] AS m, whole, value, p,
+  list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a FROM e),
+g AS (SELECT row, k, kind, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b FROM s WHERE length(m) >= whole AND (value = 0 OR length(regexp_extract(m, p, 2)) >= value)),
+j AS (SELECT row, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans, count(CASE k WHEN 0 THEN 1 END) AS n0, count(CASE k WHEN 1 THEN 1 END) AS n1, count(CASE k WHEN 2 THEN 1 END) AS n2 FROM g GROUP BY row)
+SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN j ON j.row = d.row
+"""

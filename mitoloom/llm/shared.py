@@ -68,6 +68,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([df[source].alias(name) for name, source in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket(column, modulus: int):
     """crc32 of an id's decimal text, modulo ``modulus``; null ids count as 1, so they are never held out."""
     return F.coalesce(F.crc32(F.encode(column.cast("string"), "UTF-8")) % modulus, F.lit(1))
