@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mitoloom.llm.shared import cut, pick
+from mitoloom.llm.lean import lean
+from mitoloom.llm.shared import cut, new_folder, open_folder, pick
 
-BLOCK, SUPER, QUERIES = 256, 16_384, 512
+#: Rows of a block; queries searched at a time; components of the vectors that a range, one task's forward index, holds.
+BLOCK, QUERIES, RANGE = 256, 512, 4 << 20
 
 
 def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -21,107 +26,193 @@ def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) ->
     return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad).select("vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("long")).alias("vector"))
 
 
-def _packed(rows: DataFrame, per_group: int, name: str, seed: int) -> DataFrame:
-    """Groups of about ``per_group`` rows as (name, n, width, ids, matrix), in the fewest bytes that hold them."""
-    groups = int(max(1, -(-rows.count() // per_group)))
+def dense(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Vectors as rows of a matrix, shorter ones padded with zeros."""
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = values[offsets[0] : offsets[-1]]
+    return out
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for g, i, v in zip(*(batch.column(c).to_pylist() for c in ("g", "vec_id", "vector")), strict=True):
-                if held and g not in held:
-                    yield emit(*held.popitem())
-                held.setdefault(g, []).append((i, v))
-        if held:
-            yield emit(*held.popitem())
 
-    def emit(g: int, rows: list[tuple]) -> pa.RecordBatch:
-        width = max(len(v) for _, v in rows)
-        most = max((abs(x) for _, v in rows for x in v), default=0)
-        kind = next((b for b in (1, 2, 4) if most < 1 << (8 * b - 1)), 8)  # bytes a component
-        matrix = np.zeros((len(rows), width), dtype=f"<i{kind}")
-        for i, (_, v) in enumerate(rows):
-            matrix[i, : len(v)] = v
-        return pa.RecordBatch.from_arrays([pa.array([g]), pa.array([width]), pa.array([kind]), pa.array([np.array([i for i, _ in rows], "<i8").tobytes()]), pa.array([matrix.tobytes()])], names=[name, f"{name}_width", f"{name}_kind", f"{name}_ids", f"{name}_matrix"])
+def smallest(matrix: np.ndarray) -> np.ndarray:
+    """The matrix in the fewest bytes that hold it."""
+    most = int(np.abs(matrix).max(initial=0))
+    return matrix.astype(next((f"<i{b}" for b in (1, 2, 4) if most < 1 << (8 * b - 1)), "<i8"))
 
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(groups))).repartition("g").sortWithinPartitions("g", "vec_id")
-    return dealt.select("g", "vec_id", "vector").mapInArrow(pack, f"{name} long, {name}_width long, {name}_kind long, {name}_ids binary, {name}_matrix binary")
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(ids, matrix, other columns' arrays) of each run of rows (g, vec_id, vector, ...) with one g."""
+    group, held = None, []
 
-def _matrix(row: dict, name: str) -> np.ndarray:
-    return np.frombuffer(row[f"{name}_matrix"], f"<i{row[f'{name}_kind']}").reshape(len(row[f"{name}_ids"]) // 8, row[f"{name}_width"]).astype(np.int64)
+    def whole() -> tuple[np.ndarray, np.ndarray, list]:
+        columns = [pa.concat_arrays([b.column(i) for b in held]) for i in range(1, held[0].num_columns)]
+        vectors = columns[1]
+        return columns[0].to_numpy(), dense(vectors.offsets.to_numpy(), vectors.values.to_numpy()), columns[2:]
+
+    for batch in batches:
+        g = batch.column("g").to_numpy()
+        edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else []
+        for a, b in zip(edges, [*edges[1:], len(g)], strict=True) if len(g) else ():
+            if held and g[a] != group:
+                yield whole()
+                held = []
+            group = g[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _dealt(rows: DataFrame, per_group: int, count: int) -> DataFrame:
+    """rows with g, in groups of about ``per_group`` of the ``count`` rows, whatever ids they share; a group comes in one run.
+
+    rows must be read from storage, so that the numbers given here are the same when a lost part is made again.
+    """
+    groups = int(max(1, -(-count // per_group)))
+    numbered = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    return numbered.select("g", *rows.columns).repartition("g").sortWithinPartitions("g", "vec_id")
+
+
+def _write_queries(queries: DataFrame, count: int, folder: str) -> None:
+    """One file a group of queries, in ``folder``: vec_id, vector as bytes of the smallest integers, floor (a score to reach)."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, matrix, (floor,) in gathered(batches):
+            kind = smallest(matrix)
+            yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()]), pa.array([kind.tobytes()]), pa.array([kind.dtype.itemsize], pa.int64()), pa.array([matrix.shape[1]], pa.int64()), pa.array([floor.to_numpy(zero_copy_only=False).astype("<f8").tobytes()])], names=["ids", "matrix", "kind", "width", "floor"])
+
+    _dealt(queries, QUERIES, count).mapInArrow(lean(write), "ids binary, matrix binary, kind long, width long, floor binary").write.parquet(folder)
+
+
+def _read_queries(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, matrix, floor) of one group after another, from the shared folder."""
+    store, root = open_folder(folder)
+    for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with store.open_input_stream(info.path) as file:
+            table = pq.ParquetFile(io.BytesIO(file.read()))
+        for batch in table.iter_batches(batch_size=1):
+            row = batch.to_pylist()[0]
+            ids = np.frombuffer(row["ids"], "<i8")
+            yield ids, np.frombuffer(row["matrix"], f"<i{row['kind']}").reshape(len(ids), row["width"]).astype(np.int64), np.frombuffer(row["floor"], "<f8")
+
+
+def _place_in_run(*columns: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of rows that are equal in all columns."""
+    fresh = np.zeros(len(columns[0]), dtype=bool)
+    fresh[:1] = True
+    for column in columns:
+        fresh[1:] |= column[1:] != column[:-1]
+    first = np.flatnonzero(fresh)
+    return np.arange(len(fresh)) - np.repeat(first, np.diff(np.r_[first, len(fresh)]))
 
 
 class Blocks:
-    """A range of candidates in blocks of like vectors, with the largest and smallest value of each dimension in each block."""
+    """A range of candidates in blocks of like vectors, with the largest and smallest value of each dimension in each block.
+
+    Of rows with one id and vector, k stay, and of equal vectors the 2k with the smallest ids: as a query leaves out its own id
+    alone, which k of them have at most, no other row can be among its k best.
+    """
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        lead = np.argsort(-np.abs(matrix), axis=1, kind="stable")[:, :2] if matrix.shape[1] else np.zeros((len(ids), 1), int)
-        signs = np.take_along_axis(matrix, lead, axis=1) > 0 if matrix.shape[1] else lead > 0
-        order = np.lexsort((ids, *(x for k in range(lead.shape[1] - 1, -1, -1) for x in (signs[:, k], lead[:, k]))))
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+        wide = matrix.shape[1]
+        lead = np.argsort(-np.abs(matrix), axis=1, kind="stable")[:, :2] if wide else np.zeros((len(ids), 1), int)
+        signs = np.take_along_axis(matrix, lead, axis=1) > 0 if wide else lead > 0
+        alike = np.ascontiguousarray(matrix).view(np.dtype((np.void, max(1, 8 * wide)))).ravel() if wide else np.zeros(len(ids), "V1")
+        _, alike = np.unique(alike, return_inverse=True)
+        order = np.lexsort((ids, alike, *(x for c in range(lead.shape[1] - 1, -1, -1) for x in (signs[:, c], lead[:, c]))))
+        order = order[_place_in_run(alike[order], ids[order]) < k]
+        order = order[_place_in_run(alike[order]) < 2 * k]
         self.ids, self.matrix = ids[order], matrix[order]
-        starts = np.arange(0, len(ids), BLOCK)
-        self.starts, self.ends = starts, np.minimum(starts + BLOCK, len(ids))
-        self.high, self.low = np.maximum.reduceat(self.matrix, starts, axis=0), np.minimum.reduceat(self.matrix, starts, axis=0)
-        # products of doubles are exact while sums stay below 2**53; beyond that, integers are multiplied
+        self.starts = np.arange(0, len(order), BLOCK)
+        self.ends = np.minimum(self.starts + BLOCK, len(order))
+        self.high, self.low = np.maximum.reduceat(self.matrix, self.starts, axis=0), np.minimum.reduceat(self.matrix, self.starts, axis=0)
+        self.first = np.minimum.reduceat(self.ids, self.starts)
         self.largest = int(np.abs(self.matrix).max(initial=0))
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vec_id, score) of each query's k best here, but none below its floor.
+
+        All queries take their blocks in the order of their own bounds, one block each a round, and a query is done when its next
+        bound is below its kth score. A block whose bound equals that score is opened only if it holds a smaller id.
+        """
         width = min(queries.shape[1], self.matrix.shape[1])
+        # products of doubles are exact while sums stay below 2**53; beyond that, integers are multiplied
         exact = width * self.largest * int(np.abs(queries).max(initial=0)) < 1 << 53
-        kind = np.float64 if exact else np.int64
+        kind, none = (np.float64, -np.inf) if exact else (np.int64, np.iinfo(np.int64).min)
         queries, index = queries[:, :width].astype(kind), self.matrix[:, :width].astype(kind)
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        bounds = plus @ self.high[:, :width].T.astype(kind) + minus @ self.low[:, :width].T.astype(kind)
-        out = []
-        for own, query, bound in zip(ids, queries, bounds, strict=True):
-            best, names = np.zeros(0, kind), np.zeros(0, np.int64)
-            for b in np.argsort(-bound, kind="stable"):
-                if len(best) >= k and bound[b] < best[-1]:
-                    break
+        bounds = np.maximum(queries, 0) @ self.high[:, :width].T.astype(kind) + np.minimum(queries, 0) @ self.low[:, :width].T.astype(kind)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        start = np.where(np.isfinite(floor), floor, none).astype(kind)
+        best, names = np.full((len(ids), k), none, kind), np.full((len(ids), k), np.iinfo(np.int64).max)
+        open_ = np.arange(len(ids))
+        for place in range(len(self.starts)):
+            block = order[open_, place]
+            bound, kth = bounds[open_, block], np.maximum(best[open_, -1], start[open_])
+            more = bound >= kth
+            open_, block, bound, kth = open_[more], block[more], bound[more], kth[more]
+            if not len(open_):
+                break
+            wanted = (bound > best[open_, -1]) | (self.first[block] < names[open_, -1])
+            for b in np.unique(block[wanted]):
+                at = open_[wanted & (block == b)]
                 part = slice(self.starts[b], self.ends[b])
-                scores, candidates = index[part] @ query, self.ids[part]
-                use = candidates != own
-                if len(best) >= k:
-                    use &= scores >= best[-1]
-                if use.any():
-                    best, names = np.concatenate([best, scores[use]]), np.concatenate([names, candidates[use]])
-                    order = np.lexsort((names, -best))[:k]
-                    best, names = best[order], names[order]
-            out.append((int(own), names, best.astype(np.int64)))
-        return out
-
-
-def top_k(df: DataFrame, *, k: int = 20, query_modulus: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                scores = queries[at] @ index[part].T
+                scores[self.ids[part][None, :] == ids[at][:, None]] = none
+                scores[scores < np.maximum(best[at, -1], start[at])[:, None]] = none
+                hit = (scores > none).any(axis=1)
+                at, scores = at[hit], scores[hit]
+                if not len(at):
+                    continue
+                found, named = np.hstack([best[at], scores]), np.hstack([names[at], np.broadcast_to(self.ids[part], scores.shape)])
+                named[found == none] = np.iinfo(np.int64).max
+                top = np.lexsort((named, -found), axis=1)[:, :k] if exact else np.lexsort((named, ~found), axis=1)[:, :k]
+                best[at], names[at] = np.take_along_axis(found, top, axis=1), np.take_along_axis(named, top, axis=1)
+        query, column = np.nonzero(best > none)
+        return ids[query], names[query, column], best[query, column].astype(np.int64)
+
+
+def top_k(df: DataFrame, *, k: int = 20, query_modulus: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", range_size: int = RANGE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k candidates of highest integer inner product, ties to the smaller vec_id.
 
-    Queries are the rows whose id is divisible by ``query_modulus``; candidates are all rows but those with the query's id.
-    Both are packed into groups of bounded size, and each group of queries meets each range of candidates in one task: that is
-    the stated query set against all rows, in blocks. There each query takes the blocks in order of the sum of its terms'
-    maxima and stops when no bound reaches its kth score; the ranges' lists are merged by rank. Vectors of other lengths
-    count as padded with zeros, empty ones score 0; nulls take no part. Rows that repeat an id are candidates each; as a query
-    such an id stands for its smallest integer vector, compared from the first component on.
+    Queries are the rows whose id is divisible by ``query_modulus``; candidates are all rows but those with the query's id. That is
+    the stated query set against all rows, in blocks: queries are written in groups to the shared folder, candidates are dealt
+    once into ranges of ``range_size`` vector components, and each range's task reads one group of queries after another. There
+    each query takes the blocks in order of the sum of its terms' maxima and stops when no bound reaches its kth score; the
+    ranges' lists are merged by rank. Where there are several ranges, one of them is searched first, and its kth scores are the
+    floors from which all ranges start. Vectors of other lengths count as padded with zeros, empty ones score 0; nulls take no
+    part. Rows that repeat an id are candidates each; as a query such an id stands for its smallest integer vector, compared
+    from the first component on. Few rows give short lists, none gives none.
     """
     rows = cut(integer_vectors(df, scale, id_col, vector_col))
-    queries = _packed(rows.where(F.col("vec_id") % query_modulus == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), QUERIES, "q", 1)
-    candidates = _packed(rows, SUPER, "c", 2)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, blocks = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["c"] != last:
-                    ids = np.frombuffer(row["c_ids"], "<i8")
-                    last, blocks = row["c"], Blocks(ids, _matrix(row, "c"))
-                ids = np.frombuffer(row["q_ids"], "<i8")
-                found = blocks.search(ids, _matrix(row, "q"), k)
-                sizes = [len(n) for _, n, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], sizes).astype(np.int64)), pa.array(np.concatenate([n for _, n, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
-
-    met = queries.crossJoin(candidates).repartition("c", "q")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    n = rows.agg(F.count("*").alias("rows"), F.count(F.when(F.col("vec_id") % query_modulus == 0, 1)).alias("asking"), F.max(F.size("vector")).alias("width")).first()
+    per_range = max(BLOCK, range_size // max(1, n.width or 1))
+    queries = cut(rows.where(F.col("vec_id") % query_modulus == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    dealt = _dealt(rows, per_range, n.rows)
+
+    def searched(candidates: DataFrame, floors: DataFrame | None) -> DataFrame:
+        folder = new_folder(df.sparkSession, "queries")
+        asked = queries.withColumn("floor", F.lit(None).cast("double")) if floors is None else queries.join(floors, "vec_id", "left")
+        _write_queries(cut(asked.select("vec_id", "vector", "floor")), n.asking, folder)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, matrix, _ in gathered(batches):
+                blocks = Blocks(ids, matrix, k)
+                for asking, vectors, floor in _read_queries(folder):
+                    found = blocks.search(asking, vectors, floor, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+        return candidates.mapInArrow(lean(search), "query_id long, vec_id long, score long")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k)
+    floors = None
+    if n.rows > per_range:
+        # a floor is a double; scores beyond its whole numbers get none, and are searched without
+        kth = ranked(searched(dealt.where("g = 0"), None)).where((F.col("rank") == k) & (F.abs("score") < F.lit(1 << 53)))
+        floors = kth.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    return ranked(searched(dealt, floors)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
