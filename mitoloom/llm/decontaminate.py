@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -12,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mitoloom.llm.bitfilter import bit_filter, passes
-from mitoloom.llm.shared import cut, pick
-from mitoloom.llm.words import WordTable, ngram_starts, pieces, rolling
+from mitoloom.llm.lean import lean
+from mitoloom.llm.shared import cut, pick, unused
+from mitoloom.llm.words import M1, WordTable, mix, ngram_starts, pieces, rolling
 
 PUNCTUATION = re.compile(r"[\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -42,40 +42,60 @@ class PlainWords(WordTable):
         return " ".join(self.vocabulary[c] for c in self.codes[a + low : a + high])
 
 
-def item_grams(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, words, n, gram, pos); an item of fewer than ``width`` words gives its whole sequence as one gram."""
+def reach_class(words: np.ndarray, least: float) -> np.ndarray:
+    """For items of so many words, the power of two above the words that an alignment that scores ``least`` can lie around a seed.
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n matches less the gaps between them score least * 2n or more: at most 2n * (1 - least) words of the text lie in gaps.
+    """
+    reach = words + np.ceil(2 * words * max(0.0, 1 - least))
+    return np.ceil(np.log2(reach + 1)).astype(np.int64)
+
+
+def marked(grams: np.ndarray, classes: np.ndarray | int) -> np.ndarray:
+    """Hashes of grams together with a class of reach."""
+    return mix(grams ^ (np.asarray(classes).astype(np.uint64) * M1))
+
+
+def item_grams(items: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(item, item_id, words) of each different item, and (item, n, gram, mark, class) of each of its grams.
+
+    An item of fewer than ``width`` words gives its whole sequence as one gram. ``item`` tells items apart, also of one id.
+    """
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             table = PlainWords(batch.column("text"))
-            text, pos, wide, hashes = table.grams(list(range(1, width + 1)))
-            use = wide == np.minimum(width, table.counts[text])
-            text, pos, hashes = text[use], pos[use], hashes[use]
             words = pa.array([table.words(i, 0, int(n)) for i, n in enumerate(table.counts)], pa.string())
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(at), words.take(at), pa.array(table.counts[text]), pa.array(hashes.view(np.int64)), pa.array(pos.astype(np.int64))], names=["item_id", "words", "n", "gram", "pos"])
-
-    return items.mapInArrow(grams, "item_id long, words string, n long, gram long, pos long")
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), words], names=["item_id", "words"])
 
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "words"):
+            table = PlainWords(batch.column("words"))
+            text, _, wide, hashes = table.grams(list(range(1, width + 1)))
+            use = wide == np.minimum(width, table.counts[text])
+            text, hashes, n = text[use], hashes[use], table.counts[text[use]]
+            classes = reach_class(n, least)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(text)), pa.array(n), *(pa.array(x.view(np.int64)) for x in (hashes, marked(hashes, classes))), pa.array(classes)], names=["item", "n", "gram", "mark", "class"])
 
-def gram_widths(grams: DataFrame, width: int) -> tuple[list[int], int]:
-    """The widths in use, and the longest item in words."""
-    row = grams.agg(F.collect_set(F.least("n", F.lit(width))).alias("w"), F.max("n").alias("n")).first()
-    return sorted(int(w) for w in row.w), int(row.n or 0)
+    texts = items.mapInArrow(lean(plain), "item_id long, words string").where("words <> ''").distinct()
+    texts = cut(texts.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words"))
+    return texts, cut(texts.select("item", "words").mapInArrow(lean(grams), "item long, n long, gram long, mark long, class long").distinct())
 
 
-def passages(rows: DataFrame, seeds: DataFrame, widths: list[int], reach: int) -> DataFrame:
-    """(doc_id, start, words, grams): stretches of the documents within ``reach`` words of a seed, overlaps merged."""
-    bits = bit_filter(seeds, "gram")
+def passages(rows: DataFrame, bits, widths: list[int], classes: list[int]) -> DataFrame:
+    """(doc_id, start, words, grams): stretches of the documents as far around a seed as its items reach, overlaps merged."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             table = PlainWords(batch.column("text"))
             text, pos, wide, hashes = table.grams(widths)
-            hit = passes(bits.value, hashes)
-            text, pos, wide, hashes = (x[hit] for x in (text, pos, wide, hashes))
-            by = np.lexsort((pos, text))
-            text, pos, wide, hashes = (x[by] for x in (text, pos, wide, hashes))
+            reach = np.zeros(len(hashes), dtype=np.int64)
+            for c in classes:
+                reach[passes(bits.value, marked(hashes, c))] = 1 << c
+            hit = reach > 0
+            text, pos, wide, hashes, reach = (x[hit] for x in (text, pos, wide, hashes, reach))
+            by = np.lexsort((pos - reach, text))
+            text, pos, wide, hashes, reach = (x[by] for x in (text, pos, wide, hashes, reach))
             if not len(text):
                 continue
             low, high = np.maximum(pos - reach, 0), np.minimum(pos + wide + reach, table.counts[text])
@@ -88,7 +108,7 @@ def passages(rows: DataFrame, seeds: DataFrame, widths: list[int], reach: int) -
                 names=["doc_id", "start", "words", "grams"],
             )
 
-    return rows.mapInArrow(cut_out, "doc_id long, start long, words string, grams array<long>")
+    return rows.mapInArrow(lean(cut_out), "doc_id long, start long, words string, grams array<long>")
 
 
 def smith_waterman(items: list[list[str]], texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,25 +141,24 @@ def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: floa
     """One row for each document and test item that a passage of the document copies: doc_id, item_id, score, start, end.
 
     Words are compared in lower case without punctuation. Every n-gram of an item is a seed, however frequent: which of them an
-    edited copy keeps does not depend on what else the corpus holds. Each passage around a seed, wide enough for the longest
-    alignment that can score ``least``, is aligned to each item it shares a seed with, unless too few of the item's words occur
+    edited copy keeps does not depend on what else the corpus holds. Each passage around a seed, wide enough for any
+    alignment of the seed's items that can score ``least``, is aligned to each item it shares a seed with, unless too few of the item's words occur
     in it to reach ``least``; a copy that keeps no ``width`` words of the item in a row has no seed and is not found. Score is the local alignment's score over that of a full match (1: the whole item, word for word),
     and pairs of ``least`` or more are returned, the best place each, as word positions with an exclusive end.
     Null or empty texts and items match nothing; an item of fewer than ``width`` words must occur whole. Rows that repeat an
-    id give one row together. Nothing but the fixed-size filter and two numbers is sent to the driver or broadcast by hand.
+    id give one row together. Nothing but the fixed-size filter, the gram widths and the classes of reach, of which there are some
+    dozens at most, is sent to the driver or broadcast by hand.
     """
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    grams = cut(item_grams(pick(items, item_id=item_col, text=item_text_col).withColumn("item_id", F.col("item_id").cast("long")), width))
-    widths, longest = gram_widths(grams, width)
+    texts, grams = item_grams(pick(items, item_id=item_col, text=item_text_col).withColumn("item_id", F.col("item_id").cast("long")), width, least)
+    found = grams.agg(F.collect_set(F.least("n", F.lit(width))).alias("widths"), F.collect_set("class").alias("classes")).first()
     schema = "doc_id long, item_id long, score double, start long, end long"
-    if not longest:
+    if not found.widths:
         return rows.sparkSession.createDataFrame([], schema)
-    seeds = grams.select("gram", "item_id", "words").distinct()
-    # n matches less the gaps between them score least * 2n or more: at most 2n * (1 - least) words of the text lie in gaps
-    reach = longest + math.ceil(2 * longest * max(0.0, 1 - least))
-    found = cut(passages(rows, seeds, widths, reach).withColumn("passage", F.xxhash64("doc_id", "start", "words")))
-    pairs = found.select("passage", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_id", F.col("words").alias("item_words")), "gram").select("passage", "item_id", "item_words").distinct()
-    pairs = pairs.join(found.drop("grams").dropDuplicates(["passage"]), "passage")
+    bits = bit_filter(grams.select("mark").distinct(), "mark")
+    found = cut(passages(rows, bits, sorted(map(int, found.widths)), sorted(map(int, found.classes))).withColumn("passage", F.xxhash64("doc_id", "start", "words")))
+    pairs = found.select("passage", F.explode("grams").alias("gram")).distinct().join(grams.select("gram", "item"), "gram").select("passage", "item").distinct()
+    pairs = pairs.join(texts.select("item", "item_id", F.col("words").alias("item_words")), "item").join(found.drop("grams").dropDuplicates(["passage"]), "passage")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +180,12 @@ def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: floa
                 take = pa.array([some[k] for k in good])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("item_id").take(take), pa.array(share[good]), pa.array(shift + end[good] - back), pa.array(shift + end[good])], names=["doc_id", "item_id", "score", "start", "end"])
 
-    scored = pairs.select("doc_id", "item_id", "item_words", "words", "start").repartition("doc_id", "item_id").mapInArrow(align, schema)
+    scored = pairs.select("doc_id", "item_id", "item_words", "words", "start").repartition("doc_id", "item_id").mapInArrow(lean(align), schema)
     return scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end"))).alias("best")).select("doc_id", "item_id", "best.score", "best.start", "best.end")
 
 
 def decontaminate(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """df without the documents that contaminated() finds; rows with a null id stay."""
-    found = contaminated(df, items, id_col=id_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return df.join(found, df[id_col].cast("long") == F.col("__found"), "left_anti")
+    held = unused(df, "__found")
+    found = contaminated(df, items, id_col=id_col, **options).select(F.col("doc_id").alias(held)).distinct()
+    return df.join(found, F.col(id_col).cast("long") == F.col(held), "left_anti")

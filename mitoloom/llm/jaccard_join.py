@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from mitoloom.llm.bitfilter import bit_filter, may_hold
 from mitoloom.llm.components import connected_components
 from mitoloom.llm.lean import lean
-from mitoloom.llm.shared import cut, pick
+from mitoloom.llm.shared import cut, pick, stored, unused
 from mitoloom.llm.signature_tree import Sets, Sketches, linked_groups, sketch
 from mitoloom.llm.words import M1, M2, mix, pieces, ranges, set_hashes, shingle_sets, sums
 
@@ -326,7 +326,8 @@ def jaccard_groups(df: DataFrame, *, width: int = 5, num: int = 80, den: int = 1
     tied = first.join(groups, F.col("class") == F.col("node")).select("class", "min_id", "root")
     lowest = tied.groupBy("root").agg(F.min("min_id").alias("lowest"))
     tied = tied.join(lowest, "root").select("class", "lowest")
-    ids = first.join(tied, "class", "left").select(F.col("class").alias("__class"), F.coalesce("lowest", "min_id").alias("component_id"))
+    # a table of its own, so that both sides of the join are plain shuffles, of which Spark splits a hot class
+    ids = stored(first.join(tied, "class", "left").select(F.col("class").alias("__class"), F.coalesce("lowest", "min_id").alias("component_id")), "components")
     joined = documents.join(ids, F.col("class") == F.col("__class"), "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), "class").withColumn("representative", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -335,16 +336,17 @@ def jaccard_groups(df: DataFrame, *, width: int = 5, num: int = 80, den: int = 1
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df without the rows that are linked to a row with a smaller id; of rows that repeat an id and a set, one stays."""
     groups = cut(jaccard_groups(df, id_col=id_col, text_col=text_col, **options))
-    gone = groups.where("NOT representative").select(F.col("doc_id").alias("__gone")).distinct()
-    ident = df[id_col].cast("long")
-    bits = bit_filter(gone.select(F.xxhash64("__gone").alias("h")), "h")  # most rows need no shuffle to be known as kept
-    marked = df.withColumn("__may", may_hold(bits, ident))
-    kept = marked.where("NOT __may").unionByName(marked.where("__may").join(gone, ident.eqNullSafe(F.col("__gone")), "left_anti")).drop("__may")
-    twice = groups.groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    away, may, again = (unused(df, name) for name in ("__gone", "__may", "__twice"))
+    gone = groups.where("NOT representative").select(F.col("doc_id").alias(away)).distinct()
+    ident = F.col(id_col).cast("long")
+    bits = bit_filter(gone.select(F.xxhash64(away).alias("h")), "h")  # most rows need no shuffle to be known as kept
+    marked = df.withColumn(may, may_hold(bits, ident))
+    kept = marked.where(~F.col(may)).unionByName(marked.where(F.col(may)).join(gone, ident.eqNullSafe(F.col(away)), "left_anti")).drop(may)
+    twice = groups.groupBy(F.col("doc_id").alias(again)).count().where("count > 1").select(again)
     if twice.isEmpty():
         return kept
-    again = kept[id_col].cast("long").eqNullSafe(F.col("__twice"))
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))
+    same = ident.eqNullSafe(F.col(again))
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 ORACLE = """

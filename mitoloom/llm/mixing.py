@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mitoloom.llm.shared import unused
+
+#: Columns that the mix adds.
+OWN = ("size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,9 +50,8 @@ def mix_sources(df: DataFrame, *, weights: Sequence[int] = (5, 2, 1), cap: int =
     Existing columns of those five names are replaced. The join is on the source, null-safe; the table of sources is one row a
     source, so Spark broadcasts it when it is small and splits hot sources when it is not.
     """
-    own = ("size", "source_size", "target", "copies", "taken")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = df.drop(*[c for c in own if c not in (id_col, text_col, source_col)])
+    base = df.drop(*[c for c in OWN if c not in (id_col, text_col, source_col)])
     targets = source_targets(base.select(F.col(source_col).cast("string").alias("source"), size.alias("size")), weights, cap)
     targets = targets.select(F.col("source").alias("__source"), "source_size", "target")
     joined = base.withColumn("size", size).join(targets, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left").drop("__source")
@@ -59,7 +62,15 @@ def mix_sources(df: DataFrame, *, weights: Sequence[int] = (5, 2, 1), cap: int =
 
 def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The mix itself: each row as often as ``copies`` says."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    copy = unused(mixed, "__copy")
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy)).drop(copy)
+
+
+def taken_mix(df: DataFrame, **options) -> DataFrame:
+    """df's rows as often as the mix takes them, with df's own columns, also those that mix_sources would replace."""
+    held = {c: unused(df, f"__{c}") for c in df.columns if c in OWN}
+    taken = repeated(mix_sources(df.withColumnsRenamed(held), **options), [held.get(c, c) for c in df.columns])
+    return taken.withColumnsRenamed({name: c for c, name in held.items()})
 
 
 ORACLE = """

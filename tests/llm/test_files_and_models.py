@@ -176,7 +176,9 @@ def test_long_values_are_weighed_and_spanned_whole():
     assert cost > secrets.STRONG and segments[0] == ("repeat", 0, 128) and segments[-1][2] == 147
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("size", [topk.RANGE, 64])
+def test_exact_top_k(spark, size, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16 if size == 64 else topk.BLOCK)
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(300)] + [(300, None), (301, [None, 1.0]), (302, [float("nan")] * 8), (303, []), (304, [1.0]), (None, [1.0] * 8), (20, [9.0] * 8)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
@@ -186,7 +188,7 @@ def test_exact_top_k(spark):
         if i % 20 == 0:
             queries.setdefault(i, []).append(v)
     got = {}
-    for r in topk.top_k(df, k=5).collect():
+    for r in topk.top_k(df, k=5, range_size=size).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert set(got) == set(queries)
     for q, vs in queries.items():
@@ -198,6 +200,18 @@ def test_exact_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_among_very_many_equal_vectors(spark):
+    rows = [(i, [1.0, 0.5]) for i in range(400)] + [(40, [1.0, 0.5])] * 60 + [(i, [1.0, 0.25 + i % 2]) for i in range(400, 500)] + [(1000, [3.0, 3.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in topk.top_k(df, k=7).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    whole = [(i, [int(64 * x) for x in v]) for i, v in rows]
+    for q, v in whole:
+        if q % 20 == 0:
+            assert sorted(got[q]) == sorted((-(v[0] * w[0] + v[1] * w[1]), i) for i, w in whole if i != q)[:7]
+
+
 def test_a_repeated_query_id_stands_for_its_smallest_vector(spark):
     vectors = [[float(b), 1.0] for b in range(9, -10, -1)]
     others = [(i, [float(i), 0.0]) for i in (-3, -1, 1, 3)]
@@ -253,3 +267,68 @@ def test_pipeline_stages(spark):
         docs = spark.read.parquet(f"{folder}/{k}")
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() and last.agg(F.sum("n_tokens")).first()[0] == last.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept, over documents with null, empty and repeated rows and clashing columns."""
+    from itertools import combinations
+
+    import corpus_pipeline
+    from tests.llm.test_pairs import groups_of, shingles
+
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120)
+    rows = [tuple(r) for r in plain.collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows += [(9001, None, None, "s", 0), (9002, "", "en", None, 0), (None, "no id but some words here", "en", "s", 1), rows[3], (9003, "before " + items[0][1] + " after", "en", "s", 1)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    clash = ["__may", "__copy", "__gone", "__found", "class", "copies", "words"]
+    docs = spark.createDataFrame([(*r, *("x",) * len(clash)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash))
+    stages, kept = dict(corpus_pipeline.STAGES), {}
+    for name in list(stages)[:-1]:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        stages[name](spark, docs, sf).write.parquet(str(tmp_path / name.replace(" ", "-")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
+        assert docs.columns == names + clash
+        kept[name] = (before, [(r.doc_id, r.text) for r in docs.collect()])
+    ident = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+
+    before, after = kept["toxicity"]
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    gone = {i for i, _ in before} - {i for i, _ in after}
+    assert gone <= toxic and {9001, 9002, None} <= {i for i, _ in after}
+
+    before, after = kept["near duplicates"]
+    before.sort(key=ident)
+    sets = [shingles(t, 5) for _, t in before]
+    links = [(i, j) for i, j in combinations(range(len(before)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    label = groups_of(len(before), links)
+    assert sorted(after, key=ident) == [r for i, r in enumerate(before) if label[i] == i]
+
+    before, after = kept["decontamination"]
+    words = lambda t: [w for w in (re.sub(r"[\W_]+", "", w) for w in re.split("[\x20\x09-\x0d]+", (t or "").lower())) if w]
+    threes = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    found = set()
+    tests = [(w, threes(w)) for _, t in items if len(w := words(t)) >= 3]
+    for i, text in before:
+        own = words(text)
+        grams = threes(own)
+        near = [w for w, g in tests if g & grams]
+        if near and i is not None:
+            score, _ = decontaminate.smith_waterman(near, [own] * len(near))
+            if (score / np.array([2 * len(w) for w in near]) >= 0.5).any():
+                found.add(i)
+    assert 9003 in found and {i for i, _ in before} - {i for i, _ in after} == found
+
+    before, after = kept["mix"]
+    assert set(after) <= set(before) and max(after.count(r) for r in set(after)) <= 3 * max(before.count(r) for r in set(before))
+    tokens = sorted(((r.doc_id or -1), r.n_tokens, r.ids_crc32) for r in stages["token files"](spark, docs, sf).collect())
+    assert tokens == sorted(((i or -1), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in after for ids in [encode(t)])
+
+
+def test_pipeline_of_no_rows(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
