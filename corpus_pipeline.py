@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mitoloom.llm import decontaminate, jaccard_join, mixing, token_files, toxicity
 from mitoloom.llm.registry import vocabulary
-from mitoloom.llm.shared import new_folder, table
+from mitoloom.llm.shared import free_finished, new_folder, table
 
-#: The last stage's files and the mix's draws are not SQL; tests hold the stages against brute force.
+#: The last stage's files and the mix's draws are not SQL; tests hold each stage, on its own input, against brute force.
 ORACLE_SQL = None
 
 
@@ -29,7 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is repeated as often as its source's target asks."""
-    return mixing.repeated(mixing.mix_sources(docs), docs.columns)
+    return mixing.taken_mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,4 +47,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = new_folder(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        free_finished(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

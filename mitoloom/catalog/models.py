@@ -114,21 +114,22 @@ def _(v: Views) -> DataFrame:
 
 @query("stream_windowed_depth", "SELECT event_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    from mitoloom.streaming.depth import run_once, windowed_depth
+    from mitoloom.streaming.depth import run_latest, windowed_depth
 
-    folder = _shared(v.spark)
-    schema = v.events.schema
-    stream = v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    run_once(windowed_depth(stream, "ts", ["event_type"], "1 hour", "0 seconds"), folder, "depth")
-    closed = v.spark.read.parquet(f"{folder}/depth")
-    last = v.events.agg(F.max("ts").alias("t")).first().t
-    still_open = v.events.where(F.col("ts") >= F.date_trunc("hour", F.lit(last))).groupBy("event_type").agg(F.count("*").alias("n"))
-    return closed.select("event_type", "n").unionByName(still_open).groupBy("event_type").agg(F.sum("n").alias("n"))
+    stream = v.spark.readStream.schema(v.events.schema).parquet(f"{v.sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    latest = run_latest(windowed_depth(stream, "ts", ["event_type"], "1 hour", "3650 days"), ["event_type"], _shared(v.spark), "depth")
+    return latest.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 def _shared(spark) -> str:
+    """A new folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp()
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
