@@ -97,13 +97,15 @@ def test_keep_one_and_empty_tables(spark):
     assert jj.keep_one(none).count() == 0 and ld.line_groups(none).count() == 0
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, left = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
-    return row[-1]
+def near_pairs(lines):
+    """(i, j) of all different lines whose edit distance is a tenth of the longer one's length or less."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l (i INT, x VARCHAR)")
+    con.executemany("INSERT INTO l VALUES (?, ?)", list(enumerate(lines)))
+    like = "length(a.x) * 10 >= length(b.x) * 9 AND length(b.x) * 10 >= length(a.x) * 9"
+    return con.execute(f"SELECT a.i, b.i FROM l a JOIN l b ON a.i < b.i AND {like} WHERE a.x <> b.x AND levenshtein(a.x, b.x) * 10 <= greatest(length(a.x), length(b.x))").fetchall()
 
 
 def test_line_groups(spark):
@@ -124,7 +126,7 @@ def test_line_groups(spark):
     norm = {(d, n): " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split()) for d, t in enumerate([*texts, ""]) for n, line in enumerate(t.split("\n"))}
     norm = {(k[0] if k[0] < 30 else 31, k[1]): v for k, v in norm.items()}
     unique = sorted({v for v in norm.values() if v})
-    links = [(i, j) for (i, a), (j, b) in combinations(enumerate(unique), 2) if distance(a, b) * 100 <= max(len(a), len(b)) * 10]
+    links = near_pairs(unique)
     assert links
     label = dict(zip(unique, groups_of(len(unique), links)))
     first = {}
@@ -154,8 +156,6 @@ def edited(rng, line, words):
 
 
 def test_recall_against_edit_similarity_alone(spark):
-    import duckdb
-
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10))) for _ in range(3000)]
     lines = []
@@ -164,10 +164,7 @@ def test_recall_against_edit_similarity_alone(spark):
         lines += [line, *(edited(rng, line, words) for _ in range(rng.randint(0, 2)))]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.group_doc_id for r in ld.line_groups(df).collect()}
-    con = duckdb.connect()
-    con.execute("CREATE TABLE l (i INT, x VARCHAR)")
-    con.executemany("INSERT INTO l VALUES (?, ?)", list(enumerate(lines)))
-    near = con.execute("SELECT a.i, b.i FROM l a JOIN l b ON a.i < b.i AND length(a.x) * 10 >= length(b.x) * 9 AND length(b.x) * 10 >= length(a.x) * 9 WHERE a.x <> b.x AND levenshtein(a.x, b.x) * 10 <= greatest(length(a.x), length(b.x))").fetchall()
+    near = near_pairs(lines)
     assert len(near) > 100 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
     label = groups_of(len(lines), near)
     assert all(label[i] == label[g] or lines[i] == lines[g] for i, g in got.items())  # nothing is linked that is not near
