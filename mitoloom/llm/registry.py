@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mitoloom.llm import decontaminate, jaccard_join, language, line_dedup, mixing, secrets, token_files, topk, toxicity, warc
+from mitoloom.llm import decontaminate, divergence, filter_audit, jaccard_join, language, line_dedup, mixing, quality, secrets, token_files, topk, toxicity, warc
 from mitoloom.llm.shared import table
 
 
@@ -72,9 +72,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's distance from the others of its language, and the terms that it uses more than the language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of the five filters removes, by language."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_token_output, op4_warc, op5_decontamination, op6_source_mix, op7_secrets, secrets_base, op8_toxicity, op9_topk, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_token_output, op4_warc, op5_decontamination, op6_source_mix, op7_secrets, secrets_base, op8_toxicity, op9_topk, op10_language, op11_quality, op12_source_divergence, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard_join.ORACLE, "op4_warc": warc.ORACLE, "op6_source_mix": mixing.ORACLE, "secrets_base": secrets.BASE_ORACLE, "op9_topk": topk.ORACLE}
+    return {"op2_jaccard_join": jaccard_join.ORACLE, "op4_warc": warc.ORACLE, "op6_source_mix": mixing.ORACLE, "secrets_base": secrets.BASE_ORACLE, "op9_topk": topk.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
