@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,11 +38,21 @@ def _numbered(column: pa.Array) -> tuple[np.ndarray, list[str]]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
-def _document_terms(table: WordTable, langs: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(language * words + word, documents that hold it) of a piece."""
-    size = max(1, len(table.vocabulary))
-    once = np.unique(np.repeat(np.arange(len(table.counts)), table.counts) * np.int64(size) + table.codes)
-    return np.unique(langs[once // size] * size + once % size, return_counts=True)
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, how often each): by hashing, which takes less than to sort them."""
+    found = pc.value_counts(pa.array(keys))
+    return found.field(0).to_numpy(), found.field(1).to_numpy()
+
+
+def _numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, the number of each key among them)."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def _document_terms(table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """(text * words + word, how often the text has it) of a piece."""
+    return _counted(np.repeat(np.arange(len(table.counts)) * np.int64(max(1, len(table.vocabulary))), table.counts) + table.codes)
 
 
 class Sketch:
@@ -73,16 +84,18 @@ def document_sketch(rows: DataFrame, least: int, depth: int = DEPTH, width_bits:
     page = min(PAGE, counters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(counters, kind)
-        for batch in pieces(batches):
+        seen, added = np.zeros(counters, kind), np.zeros(1 << width_bits, np.uint32)
+        for batch in pieces(batches, limit=PIECE):
             table = _terms(batch.column("text"))
             langs, names = _numbered(batch.column("lang"))
-            keys, docs = _document_terms(table, langs, len(names))
+            size = max(1, len(table.vocabulary))
+            once, _ = _document_terms(table)
+            keys, docs = _counted(langs[once // size] * size + once % size)
             for row in sketch.places(table, names, keys):
-                # two terms of a piece may meet in a place
-                at, back = np.unique(row, return_inverse=True)
-                added = np.bincount(back, docs, len(at))
-                seen[at] = np.minimum(seen[at] + added, least).astype(kind)
+                within = row & ((1 << width_bits) - 1)
+                np.add.at(added, within, docs)  # two terms of a piece may meet in a place
+                seen[row] = np.minimum(seen[row] + added[within], least).astype(kind)
+                added[within] = 0
         by_page = seen.reshape(-1, page)
         touched = np.flatnonzero(by_page.any(axis=1))
         for some in np.array_split(touched, max(1, len(touched) // 256)):
@@ -121,19 +134,16 @@ def term_counts(rows: DataFrame, least: int, depth: int = DEPTH, width_bits: int
             langs, names = _numbered(batch.column("lang"))
             sources, source_names = _numbered(batch.column("source"))
             size, groups = max(1, len(table.vocabulary)), langs * len(source_names) + sources
-            keys, _ = _document_terms(table, langs, len(names))
-            estimate = counters.value[sketch.places(table, names, keys)].min(axis=0) if len(keys) else np.zeros(0)
-            possible = np.zeros((len(names), size), dtype=bool)
-            possible.reshape(-1)[keys[estimate >= least]] = True
-            text = np.repeat(np.arange(len(table.counts)), table.counts)
-            use = possible[langs[text], table.codes]
-            text, codes = text[use], table.codes[use].astype(np.int64)
-            pairs, times = np.unique(groups[text] * size + codes, return_counts=True)
-            once = np.unique(text * size + codes)
-            _, docs = np.unique(groups[once // size] * size + once % size, return_counts=True)
+            once, times = _document_terms(table)
+            text, word = once // size, once % size
+            keys, back = _numbers(langs[text] * size + word)
+            possible = counters.value[sketch.places(table, names, keys)].min(axis=0) >= least if len(keys) else np.zeros(0, dtype=bool)
+            use = possible[back]
+            pairs, back = _numbers(groups[text[use]] * size + word[use])
+            n, docs = np.bincount(back, times[use], len(pairs)).astype(np.int64), np.bincount(back, minlength=len(pairs))
             group, word = pairs // size, pairs % size
             take = lambda values, at: pa.array(values, pa.string()).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([take(names, group // len(source_names)), take(source_names, group % len(source_names)), take(table.vocabulary, word), pa.array(times), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+            yield pa.RecordBatch.from_arrays([take(names, group // len(source_names)), take(source_names, group % len(source_names)), take(table.vocabulary, word), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
 
     counted = rows.mapInArrow(lean(count), "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
