@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Four features of an embedding: sums of its quarters.
+_FOUR_SUMS = ", ".join(" + ".join(f"CAST(element_at(embedding, {16 * i + j}) AS DOUBLE)" for j in range(1, 17)) for i in range(4))
 #: view: (source, expressions, condition)
 VIEWS: dict[str, tuple[str, list[str], str]] = {
+    "vectors": ("embeddings", ["vec_id", "label % 3 = 0 AS truth", f"array({_FOUR_SUMS}) AS features"], "true"),
     "pileup": ("lineitem", ["'1' AS contig", "CAST(l_partkey AS INT) AS pos", "concat('s', CAST(l_suppkey % 10 AS STRING)) AS sample", "l_returnflag AS allele", "CASE l_linestatus WHEN 'F' THEN '+' ELSE '-' END AS strand", "CAST(floor(l_quantity) AS INT) AS qual", "CAST(floor(l_discount * 600 + 0.5) AS INT) AS mapq", "l_orderkey AS read_id", "l_linenumber AS rank_in_read"], "true"),
     "reads": ("orders", ["concat('s', CAST(o_custkey % 5 AS STRING)) AS sample", "concat('q', CAST(floor(o_orderkey / 2) AS STRING)) AS qname", "CAST((o_orderkey * 37) % 4096 AS INT) AS flag", "concat('chr', CAST(o_custkey % 7 AS STRING)) AS rname", "CAST(o_orderkey % 16000 AS INT) AS pos", "CAST(o_custkey % 61 AS INT) AS mapq", "concat('chr', CAST((o_custkey + (o_orderkey % 3)) % 7 AS STRING)) AS rnext", "CASE o_orderkey % 6 WHEN 0 THEN '10M' WHEN 1 THEN '5M2I5M' WHEN 2 THEN '4S8M' WHEN 3 THEN '6M3D6M' WHEN 4 THEN '3M1I2M1D4M' ELSE '2H6M2S' END AS cigar", "substring('ACGTTGCAACGTNACGTAGC', 1 + CAST(o_orderkey % 6 AS INT), CASE o_orderkey % 6 WHEN 0 THEN 10 WHEN 1 THEN 12 WHEN 2 THEN 12 WHEN 3 THEN 12 WHEN 4 THEN 10 ELSE 8 END) AS seq", "substring('ABCDEFGHIJKLMNOPQRST', 1 + CAST(o_orderkey % 6 AS INT), CASE o_orderkey % 6 WHEN 0 THEN 10 WHEN 1 THEN 12 WHEN 2 THEN 12 WHEN 3 THEN 12 WHEN 4 THEN 10 ELSE 8 END) AS qual", "o_orderkey AS read_id"], "true"),
     "pedigree": ("customer", ["concat('F', CAST(c_nationkey AS STRING)) AS fam", "CAST(c_custkey AS STRING) AS child", "CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS STRING) AS father", "CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS STRING) AS mother", "c_custkey AS line"], "true"),

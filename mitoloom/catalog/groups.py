@@ -257,10 +257,17 @@ def _(v: Views) -> DataFrame:
 
 @query("agg44_gmm")
 def _(v: Views) -> DataFrame:
-    from mitoloom.operators.recalibrate import mixture_model
+    from mitoloom.operators.recalibrate import fit_mixtures
 
     rows = v.part.select(F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("features"))
-    return v.spark.createDataFrame([(k, float(b)) for k, b in mixture_model(rows, 3)[1]], "k int, bic double")
+    return v.spark.createDataFrame([(k, round(float(b), 4)) for k, b in fit_mixtures(rows, 10)[1]], "k int, bic double")
+
+
+@query("agg44_agg45_recalibrated")
+def _(v: Views) -> DataFrame:
+    from mitoloom.operators.recalibrate import recalibrated
+
+    return recalibrated(v.vectors).select("vec_id", "truth", "failing", "negative", F.round("score", 4).alias("score"), F.round("quality", 1).alias("quality"), "culprit")
 
 
 @query("agg45_sensitivity_cutoff", "SELECT max(score) AS cutoff FROM (SELECT l_extendedprice AS score, count(*) OVER (ORDER BY l_extendedprice DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS got, count(*) OVER () AS n FROM lineitem WHERE l_returnflag = 'R') WHERE got > 0.95 * n")

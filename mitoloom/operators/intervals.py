@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mitoloom.operators.ordered import in_ranges, scanned
+
 
 def merged(regions: DataFrame, by: list[str]) -> DataFrame:
-    """Overlapping or adjacent closed intervals (s, e) as islands: by, s, e, n."""
-    order = Window.partitionBy(*by).orderBy("s", "e")
-    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(before.isNull() | (F.col("s") > before + 1), 1).otherwise(0)
-    islands = regions.withColumn("__new", starts).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Overlapping or adjacent closed intervals (s, e) as islands: by, s, e, n. Rows whose s or e is null are left out.
+
+    Intervals lie in ranges of (by, s, e), so that one key of very many intervals is many tasks. The largest end so far is a maximum
+    that is carried from range to range; as it is taken together with the key, it starts anew with each key. Islands that go over
+    ranges have one number, as the count of their starts is carried on too.
+    """
+    order = [*(F.col(c) for c in by), F.col("s"), F.col("e")]
+    rows = in_ranges(regions.where("s IS NOT NULL AND e IS NOT NULL").select(*by, "s", "e"), order)
+    furthest = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], "e")
+    marked = scanned(rows, furthest, order, "__before", F.max, inclusive=False)
+    same = F.col("__before").isNotNull()
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__before.k{i}"))
+    flagged = marked.withColumn("__new", F.when(same & (F.col("s") <= F.col("__before.e") + 1), 0).otherwise(1))
+    islands = scanned(flagged, F.col("__new"), order, "__island")
     return islands.groupBy(*by, "__island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n")).drop("__island")
 
 

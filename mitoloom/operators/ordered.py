@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,34 +13,51 @@ from pyspark.sql import functions as F
 def durable(df: DataFrame) -> DataFrame:
     """df written to ``spark.checkpoint.dir``, so that what follows neither repeats it nor loses it with an executor.
 
-    Without that folder, as on one machine without a setting, df itself.
+    Where that is unset and all tasks run on this machine, to a temporary folder; on a cluster it must be set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            return df
-        context.setCheckpointDir(folder)
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="mitoloom-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
 def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df plus __range: rows lie in ranges of ``order``, numbered in that order, each sorted within."""
+    """df plus __range: rows lie in ranges of ``order``, numbered in that order, each sorted within.
+
+    __range and the names that begin with it belong to this module: a column of such a name raises.
+    """
+    if taken := [c for c in df.columns if c.lower().startswith("__range")]:
+        raise ValueError(f"columns of a reserved name: {taken}")
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return durable(ranged.withColumn("__range", F.spark_partition_id()))
 
 
-def running(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
-    """df plus ``name``: the sum of ``value`` over all rows up to each, by ``order``; rows that tie there follow one another.
+def scanned(rows: DataFrame, value: Column, order: list[Column], name: str, fold: Callable[[str], Column] = F.sum, inclusive: bool = True) -> DataFrame:
+    """rows of in_ranges plus ``name``: the sum (or ``fold``: max, min) of ``value`` over all rows before each, by ``order``, and
+    its own with ``inclusive``; null where there is none.
 
-    Ranges are summed first, in a row each; a range's rows then carry on from the sum of those before.
+    Ranges are folded first, in a row each; a range's rows then carry on from what those before come to.
     """
-    rows = in_ranges(df, order).withColumn("__v", value)
-    sums = rows.groupBy("__range").agg(F.sum("__v").alias("__s"))
-    before = F.coalesce(F.sum("__s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__range", before.alias("__before"))  # as many rows as ranges
-    here = F.sum("__v").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(F.broadcast(sums), "__range").withColumn(name, here + F.col("__before")).drop("__range", "__v", "__before")
+    marked = rows.withColumn("__range_v", value)
+    ends = marked.groupBy("__range").agg(fold("__range_v").alias("__range_s"))
+    before = fold("__range_s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("__range", before.alias("__range_b"))  # as many rows as ranges
+    here = fold("__range_v").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+    joined = marked.join(F.broadcast(ends), "__range").withColumn("__range_h", here)
+    h, b = F.col("__range_h"), F.col("__range_b")
+    both = h + b if fold is F.sum else F.when(h > b if fold is F.max else h < b, h).otherwise(b)
+    out = F.when(h.isNull(), b).when(b.isNull(), h).otherwise(both)
+    return joined.withColumn(name, out).drop("__range_v", "__range_b", "__range_h")
+
+
+def running(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """df plus ``name``: the sum of ``value`` over all rows up to each, by ``order``; rows that tie there follow one another."""
+    return scanned(in_ranges(df, order), value, order, name).drop("__range")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame:
@@ -46,4 +67,6 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame
 
 def every_nth(df: DataFrame, step: int, most: int, order: list[Column]) -> DataFrame:
     """The first of every ``step`` rows by ``order``, ``most`` at most."""
-    return numbered(df, order, "__n").where((F.col("__n") % step == 0) & (F.col("__n") < step * most)).drop("__n")
+    place = F.col("__range_n")
+    rows = scanned(in_ranges(df, order), F.lit(1), order, "__range_n").where(((place - 1) % step == 0) & (place <= step * most))
+    return rows.drop("__range", "__range_n")

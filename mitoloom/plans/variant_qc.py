@@ -7,10 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from mitoloom.functions import stats as st
-from mitoloom.functions.numeric import binomial_quantile, fit_beta, fit_beta_binomial
+from mitoloom.functions.numeric import fit_beta, fit_beta_binomial
+from mitoloom.functions.special import binomial_quantile
 from mitoloom.operators import filters
 from mitoloom.operators.ordered import durable, every_nth
 
@@ -52,11 +52,6 @@ def background(calls: DataFrame, least_depth: int, least_quality: float) -> Data
     return sums.mapInPandas(fit, f"pos {kind}, n long, error double, alpha double, beta double")
 
 
-@F.pandas_udf(DoubleType())
-def _quantile(depth: pd.Series, error: pd.Series, q: pd.Series) -> pd.Series:
-    return pd.Series([float(binomial_quantile(c, int(n), p)) for n, p, c in zip(depth, error, q, strict=True)])
-
-
 def evidence(calls: DataFrame, sites: DataFrame, least_depth: int, least_quality: float, level: float = 0.99) -> DataFrame:
     """The alternative alleles that errors do not explain: deep and sure samples, more reads than all but 1 % of error counts.
 
@@ -66,7 +61,7 @@ def evidence(calls: DataFrame, sites: DataFrame, least_depth: int, least_quality
     sample = Window.partitionBy("pos", "sample")
     sure = calls.withColumns({"__q": F.min("aq").over(sample), "__top": F.max("idx").over(sample)}).where((F.col("__q") >= least_quality) & (F.col("__top") > 0) & (F.col("dp") >= least_depth))
     rows = sure.where("idx > 0").join(sites.select("pos", "error"), "pos")
-    bounds = rows.select("dp", "error").distinct().withColumn("__most", _quantile("dp", "error", F.lit(level)))
+    bounds = rows.select("dp", "error").distinct().withColumn("__most", binomial_quantile(F.col("dp"), F.col("error"), F.lit(level)))
     return rows.join(bounds, ["dp", "error"]).where(F.col("ad") > F.col("__most")).select(*calls.columns)
 
 
