@@ -1,114 +1,176 @@
-"""Benchmark decontamination: n-gram seeds join training passages to test items, Smith-Waterman scores the pairs."""
+"""Benchmark decontamination: rare words of test items as seeds join them to passages, Smith-Waterman scores what may reach the bound."""
 
 from __future__ import annotations
 
-import re
+import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mitoloom.llm.bitfilter import bit_filter, passes
 from mitoloom.llm.lean import lean
 from mitoloom.llm.shared import cut, pick, unused
-from mitoloom.llm.words import M1, WordTable, mix, ngram_starts, pieces, rolling
+from mitoloom.llm.words import pieces, ranges
+from mitoloom.operators.ordered import running
 
-PUNCTUATION = re.compile(r"[\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words of the items that are sought in one pass over the texts, and bytes of text that are searched together.
+BLOCK_WORDS, PIECE = 1_000_000, 8 << 20
+#: What it costs to look at a window, in postings of a seed.
+WINDOW_COST = 100.0
 
 
-class PlainWords(WordTable):
-    """Words in lower case without punctuation; words of punctuation alone are dropped."""
+class PlainWords:
+    """Words of each text in lower case, of letters and digits alone; words without any are dropped."""
 
     def __init__(self, texts: pa.Array):
-        super().__init__(texts, lower="utf8")
-        self.vocabulary = [PUNCTUATION.sub("", w) for w in self.vocabulary]
-        self.keep(np.array([w != "" for w in self.vocabulary], dtype=bool))
-
-    def grams(self, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, position in the text, width, hash) of all n-grams of these widths."""
-        flat = self.hashes()[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
-        out = []
-        for width in widths:
-            starts, counts = ngram_starts(self.offsets, width)
-            text = np.repeat(np.arange(len(counts)), counts)
-            out.append((text, starts - self.offsets[text], np.full(len(starts), width), rolling(flat, width)[starts] if len(starts) else np.zeros(0, np.uint64)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        self.vocabulary = pc.replace_substring_regex(coded.dictionary, r"[^\p{L}\p{N}]+", "")
+        codes = coded.indices.to_numpy()
+        kept = pc.not_equal(self.vocabulary, "").to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, dtype=bool)
+        self.codes = codes[kept]
+        self.offsets = np.concatenate([[0], np.cumsum(kept)])[offsets - offsets[0]]
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.offsets)
 
     def words(self, text: int, low: int, high: int) -> str:
         a = self.offsets[text]
-        return " ".join(self.vocabulary[c] for c in self.codes[a + low : a + high])
+        return " ".join(self.vocabulary.take(pa.array(self.codes[a + low : a + high])).to_pylist())
 
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in it, number among ``words``) of the words that are among them, in order."""
+        number = pc.fill_null(pc.index_in(self.vocabulary, value_set=words), -1).to_numpy()
+        token = number[self.codes] if len(number) else np.zeros(0, np.int32)
+        at = np.flatnonzero(token >= 0)
+        text = np.searchsorted(self.offsets, at, side="right") - 1
+        return text, at - self.offsets[text], token[at].astype(np.int64)
 
-def reach_class(words: np.ndarray, least: float) -> np.ndarray:
-    """For items of so many words, the power of two above the words that an alignment that scores ``least`` can lie around a seed.
-
-    n matches less the gaps between them score least * 2n or more: at most 2n * (1 - least) words of the text lie in gaps.
-    """
-    reach = words + np.ceil(2 * words * max(0.0, 1 - least))
-    return np.ceil(np.log2(reach + 1)).astype(np.int64)
 
+@dataclass
+class Bounds:
+    """What an alignment of an item must have to score enough: so many of the item's words, within so many words of the text."""
 
-def marked(grams: np.ndarray, classes: np.ndarray | int) -> np.ndarray:
-    """Hashes of grams together with a class of reach."""
-    return mix(grams ^ (np.asarray(classes).astype(np.uint64) * M1))
+    words: int
+    window: int
 
+    @classmethod
+    def of(cls, n: int, least: float) -> Bounds:
+        """k matches less the gaps and mismatches among them score 2 * k - g, which must be least * 2n: so k >= least * n, and at most
+        2n * (1 - least) further words of the text lie between them."""
+        return cls(max(1, math.ceil(least * n - 1e-9)), n + math.floor(2 * n * (1 - least) + 1e-9))
 
-def item_grams(items: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(item, item_id, words) of each different item, and (item, n, gram, mark, class) of each of its grams.
 
-    An item of fewer than ``width`` words gives its whole sequence as one gram. ``item`` tells items apart, also of one id.
-    """
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            table = PlainWords(batch.column("text"))
-            words = pa.array([table.words(i, 0, int(n)) for i, n in enumerate(table.counts)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), words], names=["item_id", "words"])
+def _tail(rate: float, least: int) -> float:
+    """P(X >= least) for a Poisson variable."""
+    below, term = 0.0, math.exp(-rate)
+    for k in range(least):
+        below += term
+        term *= rate / (k + 1)
+    return max(0.0, 1 - below)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "words"):
-            table = PlainWords(batch.column("words"))
-            text, _, wide, hashes = table.grams(list(range(1, width + 1)))
-            use = wide == np.minimum(width, table.counts[text])
-            text, hashes, n = text[use], hashes[use], table.counts[text[use]]
-            classes = reach_class(n, least)
-            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(text)), pa.array(n), *(pa.array(x.view(np.int64)) for x in (hashes, marked(hashes, classes))), pa.array(classes)], names=["item", "n", "gram", "mark", "class"])
 
-    texts = items.mapInArrow(lean(plain), "item_id long, words string").where("words <> ''").distinct()
-    texts = cut(texts.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words"))
-    return texts, cut(texts.select("item", "words").mapInArrow(lean(grams), "item long, n long, gram long, mark long, class long").distinct())
+def seeds_of(words: Counter, bounds: Bounds, frequency: dict[str, float]) -> tuple[int, list[str]]:
+    """(j, the item's rarest words): words such that no alignment that scores enough has fewer than j of them.
 
-
-def passages(rows: DataFrame, bits, widths: list[int], classes: list[int]) -> DataFrame:
-    """(doc_id, start, words, grams): stretches of the documents as far around a seed as its items reach, overlaps merged."""
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            table = PlainWords(batch.column("text"))
-            text, pos, wide, hashes = table.grams(widths)
-            reach = np.zeros(len(hashes), dtype=np.int64)
-            for c in classes:
-                reach[passes(bits.value, marked(hashes, c))] = 1 << c
-            hit = reach > 0
-            text, pos, wide, hashes, reach = (x[hit] for x in (text, pos, wide, hashes, reach))
-            by = np.lexsort((pos - reach, text))
-            text, pos, wide, hashes, reach = (x[by] for x in (text, pos, wide, hashes, reach))
-            if not len(text):
-                continue
-            low, high = np.maximum(pos - reach, 0), np.minimum(pos + wide + reach, table.counts[text])
-            fresh = np.r_[True, (text[1:] != text[:-1]) | (low[1:] > np.maximum.accumulate(high + text * (1 << 40))[:-1] - text[1:] * (1 << 40))]
-            starts = np.flatnonzero(fresh)
-            ends = np.r_[starts[1:], len(text)]
-            highest = np.maximum.reduceat(high, starts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(text[starts])), pa.array(low[starts].astype(np.int64)), pa.array([table.words(int(t), int(a), int(b)) for t, a, b in zip(text[starts], low[starts], highest, strict=True)], pa.string()), pa.array([np.unique(hashes[a:b].view(np.int64)) for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int64()))],
-                names=["doc_id", "start", "words", "grams"],
-            )
-
-    return rows.mapInArrow(lean(cut_out), "doc_id long, start long, words string, grams array<long>")
+    All but ``bounds.words - j`` of the item's words, counted as often as they occur, hold at least j of any bounds.words of them.
+    More words meet more often by chance, and several must meet in one window; j is where the work expected of both is least.
+    """
+    order = sorted(words, key=lambda w: (frequency.get(w, 0.0), w))
+    n, chosen, held, rate = sum(words.values()), [], 0, 0.0
+    best: tuple[float, int, int] | None = None
+    for j in range(1, bounds.words + 1):
+        while held < n - bounds.words + j:
+            word = order[len(chosen)]
+            chosen.append(word)
+            held += words[word]
+            rate += frequency.get(word, 0.0)
+        cost = rate + WINDOW_COST * _tail(rate * bounds.window, j) / bounds.window
+        if best is None or cost < best[0]:
+            best = (cost, j, len(chosen))
+        if rate > best[0]:
+            break
+    return best[1], chosen[: best[2]]
+
+
+class Items:
+    """A block of items, ready to be looked for: words by number, seeds' items, and how often each item has each of its words."""
+
+    def __init__(self, rows: list[tuple[int, int, str]], width: int, least: float, frequency: dict[str, float] | None = None):
+        self.ids, self.texts = [r[1] for r in rows], [r[2] for r in rows]
+        counts = [Counter(t.split()) for t in self.texts]
+        vocabulary = sorted({w for c in counts for w in c})
+        self.words = pa.array(vocabulary, pa.string())
+        if frequency is None:
+            return
+        number = {w: i for i, w in enumerate(vocabulary)}
+        sizes = [sum(c.values()) for c in counts]
+        bounds = [Bounds.of(n, 1.0 if n < width else least) for n in sizes]
+        self.needed, self.window = (np.array([getattr(b, k) for b in bounds], np.int64) for k in ("words", "window"))
+        found = [seeds_of(c, b, frequency) for c, b in zip(counts, bounds, strict=True)]
+        self.together = np.array([j for j, _ in found], np.int64)
+        pairs = sorted((number[w], i) for i, (_, seeds) in enumerate(found) for w in seeds)
+        self.seed_items = np.array([i for _, i in pairs], np.int64)
+        self.seed_offsets = np.searchsorted([w for w, _ in pairs], np.arange(len(vocabulary) + 1))
+        own = sorted((i * len(vocabulary) + number[w], n) for i, c in enumerate(counts) for w, n in c.items())
+        self.own, self.times = np.array([k for k, _ in own], np.int64), np.array([n for _, n in own], np.int64)
+
+    def passages(self, text: np.ndarray, pos: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, first place, last place) of the passages that may hold an item, from the items' words in texts, in order.
+
+        First, where enough of the item's seeds lie within a window, everything that a window around them reaches; what overlaps is one
+        passage. Of these stay the ones that have, in some window, enough of all the item's words.
+        """
+        counts = self.seed_offsets[word + 1] - self.seed_offsets[word]
+        item = self.seed_items[ranges(self.seed_offsets[word], counts)]
+        at = np.repeat(np.arange(len(word)), counts)
+        key = text[at] * len(self.ids) + item
+        order = np.argsort(key, kind="stable")
+        key, item, place = key[order], item[order], pos[at][order]
+        last = np.arange(len(key)) + self.together[item] - 1
+        near = np.flatnonzero(last < len(key))
+        near = near[(key[last[near]] == key[near]) & (place[last[near]] - place[near] < self.window[item[near]])]
+        if not len(near):
+            return (np.zeros(0, np.int64),) * 4
+        key, item, reach = key[near], item[near], self.window[item[near]]
+        low, high = np.maximum(place[last[near]] - reach + 1, 0), place[near] + reach - 1
+        # low and high both grow with the place within a key
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (low[1:] > high[:-1] + 1)]
+        starts = np.flatnonzero(fresh)
+        key, item, low, high = key[starts], item[starts], low[starts], high[np.r_[starts[1:], len(high)] - 1]
+        enough = self._most_words(text, pos, word, key // len(self.ids), item, low, high) >= self.needed[item]
+        return key[enough] // len(self.ids), item[enough], low[enough], high[enough]
+
+    def _most_words(self, text: np.ndarray, pos: np.ndarray, word: np.ndarray, of: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each passage, the most of the item's words that a window of it has, each counted as often as the item has it at most."""
+        line = text * (np.int64(1) << 40) + pos
+        begin, end = np.searchsorted(line, of * (np.int64(1) << 40) + low), np.searchsorted(line, of * (np.int64(1) << 40) + high, side="right")
+        passage, token = np.repeat(np.arange(len(of)), end - begin), ranges(begin, end - begin)
+        wanted = item[passage] * len(self.words) + word[token]
+        at = np.minimum(np.searchsorted(self.own, wanted), len(self.own) - 1)
+        held = self.own[at] == wanted
+        passage, place, wanted, times = passage[held], pos[token[held]], word[token[held]], self.times[at[held]]
+        order = np.lexsort((place, wanted, passage))
+        passage, place, wanted, times = passage[order], place[order], wanted[order], times[order]
+        # a word counts in the windows that begin behind the place where it had come as often as the item has it
+        earlier = np.arange(len(place)) - times
+        back = np.maximum(earlier, 0)
+        full = (earlier >= 0) & (passage[back] == passage) & (wanted[back] == wanted)
+        first = np.maximum(np.where(full, place[back], -1), place - self.window[item[passage]]) + 1
+        edge, change, whose = np.concatenate([first, place + 1]), np.repeat([1, -1], len(place)), np.concatenate([passage, passage])
+        order = np.lexsort((change, edge, whose))
+        level = np.cumsum(change[order])
+        out = np.zeros(len(of), np.int64)
+        np.maximum.at(out, whose[order], level)  # each passage's changes sum to 0
+        return out
 
 
 def smith_waterman(items: list[list[str]], texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,34 +199,88 @@ def smith_waterman(items: list[list[str]], texts: list[list[str]]) -> tuple[np.n
     return score, end
 
 
-def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def item_texts(items: DataFrame) -> DataFrame:
+    """(item, item_id, words) of each different item; ``item`` tells items apart, also of one id."""
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            table = PlainWords(batch.column("text"))
+            words = pa.array([table.words(i, 0, int(n)) for i, n in enumerate(table.counts)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), words], names=["item_id", "words"])
+
+    texts = items.mapInArrow(lean(plain), "item_id long, words string").where("words <> ''").distinct()
+    return texts.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words")
+
+
+def word_frequencies(rows: DataFrame, words: pa.Array) -> dict[str, float]:
+    """The share of all words of all texts that each of ``words`` makes up; the driver gets a number a word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros(len(words), np.int64), 0
+        for batch in pieces(batches, limit=PIECE):
+            table = PlainWords(batch.column("text"))
+            total += len(table.codes)
+            seen += np.bincount(table.known(words)[2], minlength=len(words))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[seen[at], total])], names=["word", "n"])
+
+    sums = {r["word"]: r["n"] for r in rows.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
+    total = max(1, sums.pop(-1, 1))
+    names = words.to_pylist()
+    return {names[w]: n / total for w, n in sums.items()}
+
+
+def candidates(rows: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, item_id, item_words, words, start) of the passages that may hold an item of the block."""
+    spread = rows.sparkSession.sparkContext.broadcast(items)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = spread.value
+        for batch in pieces(batches, limit=PIECE):
+            table = PlainWords(batch.column("text"))
+            text, item, low, high = block.passages(*table.known(block.words))
+            if len(text):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(text)), pa.array([block.ids[i] for i in item], pa.int64()), pa.array([block.texts[i] for i in item], pa.string()), pa.array([table.words(int(t), int(a), int(b) + 1) for t, a, b in zip(text, low, np.minimum(high, table.counts[text] - 1), strict=True)], pa.string()), pa.array(low)],
+                    names=["doc_id", "item_id", "item_words", "words", "start"],
+                )
+
+    return rows.select("doc_id", "text").mapInArrow(lean(search), "doc_id long, item_id long, item_words string, words string, start long")
+
+
+def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and test item that a passage of the document copies: doc_id, item_id, score, start, end.
 
-    Words are compared in lower case without punctuation. Every n-gram of an item is a seed, however frequent: which of them an
-    edited copy keeps does not depend on what else the corpus holds. Each passage around a seed, wide enough for any
-    alignment of the seed's items that can score ``least``, is aligned to each item it shares a seed with, unless too few of the item's words occur
-    in it to reach ``least``; a copy that keeps no ``width`` words of the item in a row has no seed and is not found. Score is the local alignment's score over that of a full match (1: the whole item, word for word),
-    and pairs of ``least`` or more are returned, the best place each, as word positions with an exclusive end.
-    Null or empty texts and items match nothing; an item of fewer than ``width`` words must occur whole. Rows that repeat an
-    id give one row together. Nothing but the fixed-size filter, the gram widths and the classes of reach, of which there are some
-    dozens at most, is sent to the driver or broadcast by hand.
+    Words are compared in lower case, as letters and digits alone. Score is the best local alignment's score over that of a full match
+    (1: the whole item, word for word); pairs of ``least`` or more are returned, the best place each (the first of equal ones), as
+    word positions with an exclusive end. Nothing is lost on the way there: seeds are an item's rarest words in the corpus, as
+    many as no alignment of that score can do without (see seeds_of). Copies with a word put in behind each word, which keep no two
+    words in a row, are found like others.
+
+    Items go in blocks of ``block_words`` words (more by less than an item), each block through the texts twice: to count its words,
+    and to look for its items. A block is all that is broadcast or known to the driver.
+
+    Null or empty texts and items match nothing; an item of fewer than ``width`` words must occur whole. Rows that repeat an id give
+    one row together; so do items of one id. Rows with a null id give rows with a null doc_id.
     """
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts, grams = item_grams(pick(items, item_id=item_col, text=item_text_col).withColumn("item_id", F.col("item_id").cast("long")), width, least)
-    found = grams.agg(F.collect_set(F.least("n", F.lit(width))).alias("widths"), F.collect_set("class").alias("classes")).first()
+    texts = item_texts(pick(items, item_id=item_col, text=item_text_col).withColumn("item_id", F.col("item_id").cast("long")))
+    size = F.size(F.split("words", " "))
+    blocks = cut(running(texts.withColumn("n", size), size.cast("long"), [F.col("item")], "upto").select("item", "item_id", "words", F.floor((F.col("upto") - F.col("n")) / block_words).alias("block")))
     schema = "doc_id long, item_id long, score double, start long, end long"
-    if not found.widths:
+    found: DataFrame | None = None
+    for number in sorted(r["block"] for r in blocks.select("block").distinct().collect()):
+        block = sorted((r["item"], r["item_id"], r["words"]) for r in blocks.where(F.col("block") == number).collect())
+        frequency = word_frequencies(rows, Items(block, width, least).words)
+        part = candidates(rows, Items(block, width, least, frequency))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return rows.sparkSession.createDataFrame([], schema)
-    bits = bit_filter(grams.select("mark").distinct(), "mark")
-    found = cut(passages(rows, bits, sorted(map(int, found.widths)), sorted(map(int, found.classes))).withColumn("passage", F.xxhash64("doc_id", "start", "words")))
-    pairs = found.select("passage", F.explode("grams").alias("gram")).distinct().join(grams.select("gram", "item"), "gram").select("passage", "item").distinct()
-    pairs = pairs.join(texts.select("item", "item_id", F.col("words").alias("item_words")), "item").join(found.drop("grams").dropDuplicates(["passage"]), "passage")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             item, text = ([(w or "").split() for w in batch.column(c).to_pylist()] for c in ("item_words", "words"))
-            shared = [sum(map(set(b).__contains__, a)) for a, b in zip(item, text, strict=True)]
-            order = sorted((i for i in range(len(item)) if shared[i] >= least * len(item[i])), key=lambda i: (len(text[i]), len(item[i])))
+            order = sorted(range(len(item)), key=lambda i: (len(text[i]), len(item[i])))
             at = 0
             while at < len(order):
                 size = max(1, min(256, 400_000 // (len(text[order[at]]) + 1)))
@@ -176,11 +292,11 @@ def contaminated(df: DataFrame, items: DataFrame, *, width: int = 3, least: floa
                 if not good:
                     continue
                 _, back = smith_waterman([a[k][::-1] for k in good], [b[k][: end[k]][::-1] for k in good])
-                shift = batch.column("start").take(pa.array([some[k] for k in good])).to_numpy()
                 take = pa.array([some[k] for k in good])
+                shift = batch.column("start").take(take).to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("item_id").take(take), pa.array(share[good]), pa.array(shift + end[good] - back), pa.array(shift + end[good])], names=["doc_id", "item_id", "score", "start", "end"])
 
-    scored = pairs.select("doc_id", "item_id", "item_words", "words", "start").repartition("doc_id", "item_id").mapInArrow(lean(align), schema)
+    scored = found.repartition("doc_id", "item_id", "start").mapInArrow(lean(align), schema)
     return scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end"))).alias("best")).select("doc_id", "item_id", "best.score", "best.start", "best.end")
 
 

@@ -110,6 +110,60 @@ def test_edited_copies_are_found_beside_whole_ones(spark):
     assert got == pytest.approx(expected) and min(expected.values()) >= 0.5
 
 
+def all_pairs(docs, items, least=0.5, width=3):
+    """Every document against every item, without seeds: {(doc, item): score} of those that reach the bound."""
+    words = lambda t: [w for w in (re.sub(r"[\W_]+", "", w) for w in re.split("[\x20\x09-\x0d]+", (t or "").lower())) if w]
+    out = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = words(item), words(text)
+            if a and b:
+                share = decontaminate.smith_waterman([a], [b])[0][0] / (2 * len(a))
+                if share >= least and (len(a) >= width or share == 1):
+                    out[d, i] = max(share, out.get((d, i), 0))
+    return out
+
+
+@pytest.mark.parametrize(("least", "block"), [(0.5, 1_000_000), (0.5, 60), (0.75, 300), (1.0, 1_000_000)])
+def test_every_pair_that_scores_enough_is_found(spark, least, block):
+    """Against all pairs: copies kept in every second or third word, shuffled pieces, repeats, frequent words alone, long texts."""
+    rng = random.Random(11)
+    rare, often = [f"w{i}" for i in range(900)], ["the", "of", "and", "a", "in"]
+    word = lambda: rng.choice(often) if rng.random() < 0.5 else rng.choice(rare)
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 7, 20, 45])))) for i in range(40)]
+    items += [(40, "the of the of and the of a in the"), (41, "the the the the"), (41, "of of of"), (42, items[5][1]), (43, None), (44, " --- "), (None, items[6][1])]
+    docs = []
+    for i, text in items[:42]:
+        w = (text or "").split()
+        copies = [
+            [x for y in w for x in (y, "filler")], [y if k % 3 else "other" for k, y in enumerate(w)], [y for k, y in enumerate(w) if k % 4], w[::-1], w[: len(w) // 2 + 1], [*w, *w],
+            [y if k % 2 else rng.choice(often) for k, y in enumerate(w)], [x for k, y in enumerate(w) for x in ([y] if k % 2 else [y, "the", "of"])],
+        ]
+        for c in copies:
+            docs.append([*(word() for _ in range(rng.choice([0, 30]))), *c, *(word() for _ in range(rng.choice([0, 30])))])
+    docs.append([word() for _ in range(20_000)] + items[4][1].split() + [word() for _ in range(3000)])
+    docs.append(["the", "of"] * 4000)
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(9000, None), (9001, ""), (3, " ".join(docs[11])), (9002, "The, OF! the of-and; ...")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, words string, block long").repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench, least=least, block_words=block).collect()}
+    assert found == pytest.approx(all_pairs(rows, items, least)) and len(found) > 40
+
+
+def test_seeds_are_the_rarest_words_that_no_copy_can_do_without():
+    from collections import Counter
+
+    rng = random.Random(12)
+    for _ in range(200):
+        item = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 40))]
+        frequency = {w: rng.random() ** 4 / 3 for w in set(item)}
+        bounds = decontaminate.Bounds.of(len(item), rng.choice([0.5, 0.6, 1.0]))
+        j, seeds = decontaminate.seeds_of(Counter(item), bounds, frequency)
+        assert max(frequency[w] for w in seeds) <= min((f for w, f in frequency.items() if w not in seeds), default=1)
+        rest = sum(w not in seeds for w in item)
+        assert bounds.words - rest >= j >= 1  # even if all others are kept, j seeds are
+
+
 def test_alignment_scores_equal_the_plain_recurrence():
     rng = random.Random(5)
     pairs = [([rng.choice("abc") for _ in range(rng.randint(1, 9))], [rng.choice("abc") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
@@ -307,16 +361,13 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
 
     before, after = kept["decontamination"]
     words = lambda t: [w for w in (re.sub(r"[\W_]+", "", w) for w in re.split("[\x20\x09-\x0d]+", (t or "").lower())) if w]
-    threes = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
     found = set()
-    tests = [(w, threes(w)) for _, t in items if len(w := words(t)) >= 3]
+    tests = [w for _, t in items if len(w := words(t)) >= 3]
     for i, text in before:
         own = words(text)
-        grams = threes(own)
-        near = [w for w, g in tests if g & grams]
-        if near and i is not None:
-            score, _ = decontaminate.smith_waterman(near, [own] * len(near))
-            if (score / np.array([2 * len(w) for w in near]) >= 0.5).any():
+        if own and i is not None:
+            score, _ = decontaminate.smith_waterman(tests, [own] * len(tests))
+            if (score / np.array([2 * len(w) for w in tests]) >= 0.5).any():
                 found.add(i)
     assert 9003 in found and {i for i, _ in before} - {i for i, _ in after} == found
 
