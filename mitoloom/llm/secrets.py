@@ -6,10 +6,12 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,10 +28,23 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Contexts whose value is weighed by its guess cost: wider than ASSIGN in names, separators and characters.
 CONTEXT = re.compile(r"""(?:password|passwd|pass_?phrase|pwd|secret|token|api_?key|auth_?key|credentials?)["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*["'`]?([^\s"'`<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 HINT = re.compile(r"pass|pwd|secret|token|api_?key|auth_?key|credential", re.IGNORECASE | re.ASCII)
-#: Repeat units and walks longer than this many characters are not sought as such; shorter pieces of them are.
+#: Repeat units longer than this many characters are not sought as such; shorter pieces of them are.
 SPAN = 128
 #: Log10 of the guesses from which a value counts as a secret.
 STRONG = 8.0
+#: A value of letters alone is made of plain words, also ones that are not ranked, if its letters follow one another as those of words
+#: do: at most NATURAL digits each, by how often one letter follows another in the ranked words, no more than CONSONANTS consonants in a
+#: row, and one vowel in VOWELS letters or more.
+NATURAL, CONSONANTS, VOWELS = 1.5, 4, 5
+PLAIN = re.compile(r"[^\W\d_]+(?:(?:[-'’._/:]|\(\))[^\W\d_]+)*[-_./:()]*[.!?:)\]}…]*")
+PART = re.compile(r"[^\W\d_]+")
+HUMP = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
+RUN = re.compile(rf"[bcdfghjklmnpqrstvwxzçñß]{{{CONSONANTS + 1},}}")
+VOWEL = re.compile(r"[aeiouyà-æè-ïò-öù-ýœ]|[^a-zà-ÿœ]")
+#: Values up to this long are remembered with their cost.
+SHORT = 64
+#: Words that are ranked by how often the corpus has them, and documents that must have a word for that.
+MOST_WORDS, LEAST_DOCS = 50_000, 5
 
 # Common words in passwords, most common first.
 COMMON = "password letmein welcome monkey dragon master admin login qwerty iloveyou sunshine princess football baseball shadow superman michael jordan hunter secret summer winter spring autumn flower hello freedom whatever trustno test guest root user default changeme pass love god money cookie orange banana cheese coffee computer internet server database example sample token access key".split()
@@ -37,71 +52,164 @@ ENGLISH = "the and for are but not you all any can her was one our out day get h
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4301578$@!", "aeolstbsai")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(dict.fromkeys(COMMON + ENGLISH))))}
-LONGEST = max(map(len, RANK))
 NEXT = {(a, b) for row in KEYBOARD for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))} | {(a, b) for up, low in zip(KEYBOARD[1:], KEYBOARD[2:]) for i, b in enumerate(low) for j in (i, i + 1) if j < len(up) for a, b in ((up[j], b), (b, up[j]))}
 
 
+class Ranks:
+    """Words by rank, most common first, to be found in values all at once; and how letters follow one another in them."""
+
+    def __init__(self, words: Iterable[str]):
+        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for w in words if len(w) >= 3))}
+        self.found = ahocorasick.Automaton()
+        for w, r in self.rank.items():
+            self.found.add_word(w, (len(w), r))
+        if self.rank:
+            self.found.make_automaton()
+        self.after: dict[str, int] = {}
+        self.pairs: dict[str, int] = {}
+        for w in self.rank:
+            for x, y in pairwise(f" {w} "):
+                self.after[x] = self.after.get(x, 0) + 1
+                self.pairs[x + y] = self.pairs.get(x + y, 0) + 1
+        self.cost = lru_cache(maxsize=20_000)(self._cost)
+
+    def surprise(self, word: str) -> float:
+        """Digits a letter of a word costs when the one before it is known; unseen pairs count as half of one that was seen once."""
+        steps = list(pairwise(f" {word} "))
+        return sum(math.log10((self.after.get(x, 0) + 15) / (self.pairs.get(x + y, 0) + 0.5)) for x, y in steps) / len(steps)
+
+    def is_plain(self, value: str) -> bool:
+        """Whether a value is words of plain text, also ones that are not ranked."""
+        if not PLAIN.fullmatch(value):
+            return False
+        return all(self._like_a_word(w) and (w == part or len(w) > 3 or w.lower() in self.rank) for part in PART.findall(value) for w in HUMP.split(part))
+
+    def _like_a_word(self, word: str) -> bool:
+        low = word.lower()
+        if low in self.rank:
+            return True
+        shape = word.islower() or word.isupper() or word.istitle()
+        return shape and (len(low) <= 3 or (len(VOWEL.findall(low)) * VOWELS >= len(low) and not RUN.search(low) and self.surprise(low) <= NATURAL))
+
+    def guess_cost(self, value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+        """(log10 of guesses, segments) of the cheapest segmentation of a value; see _cost."""
+        return self.cost(value) if len(value) <= SHORT else self._cost(value)
+
+    def strong(self, value: str) -> bool:
+        return not self.is_plain(value) and self.guess_cost(value)[0] >= STRONG
+
+    def _words(self, low: str, plain: str, capitals: list[int]) -> Iterator[tuple[int, int, float]]:
+        """(start, end, cost) of ranked words, also in leet; each capital beyond a first costs a factor of two, unless all are."""
+        if not self.rank:
+            return
+        for text, more in ((low, 0.0), (plain, math.log10(2))) if plain != low else ((low, 0.0),):
+            for last, (size, rank) in self.found.iter(text):
+                start, end = last + 1 - size, last + 1
+                if not more or low[start:end] != plain[start:end]:
+                    upper = capitals[end] - capitals[start]
+                    yield start, end, math.log10(rank) + more + (0.3 if upper else 0) + max(0, upper - 1) * 0.3 * (upper < size)
+
+    def _cost(self, value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+        """best[j] is the least sum of log10 costs over segmentations of value[:j]; spans are ranked words (also in leet and with
+        capitals), dates, the longest repeats of a unit and keyboard walks, and single brute-force characters, which the last step
+        joins. Each further span costs a factor of two, for its kind and place. Work and memory are linear in the length; an
+        empty value costs 0.
+        """
+        n, low = len(value), value.lower()
+        if len(low) != n:  # a letter whose small form is two
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        spans: dict[int, list[tuple[int, float, str]]] = {}
+        brute = [0.0, *accumulate(map(_brute, value))]
+        for i, j, cost in self._words(low, low.translate(LEET), [0, *accumulate(map(str.isupper, value))]):
+            spans.setdefault(j, []).append((i, cost, "word"))
+        for i, j, digits in _dates(value):
+            spans.setdefault(j, []).append((i, math.log10(365.25 * 120 if j - i > 4 else 120) + (0 if digits else 0.6), "date"))
+        for i, j, unit in _repeats(value):
+            spans.setdefault(j, []).append((i, brute[i + unit] - brute[i] + math.log10((j - i) / unit), "repeat"))
+        for i, j in _walks(low):
+            spans.setdefault(j, []).append((i, math.log10(47 * 4 * (j - i)), "walk"))
+        best, via = [0.0] * (n + 1), [(0, "")] * (n + 1)
+        two = math.log10(2)
+        for j in range(1, n + 1):
+            i = j - 1
+            total, at = best[i] + brute[j] - brute[i] + (two if i and via[i][1] != "brute" else 0), (i, "brute")
+            for i, cost, kind in spans.get(j, ()):
+                other = best[i] + cost + (two if i else 0)
+                if other < total:
+                    total, at = other, (i, kind)
+            best[j], via[j] = total, at
+        out, j = [], n
+        while j:
+            i, kind = via[j]
+            if out and kind == "brute" == out[-1][0]:
+                out[-1] = (kind, i, out[-1][2])
+            else:
+                out.append((kind, i, j))
+            j = i
+        return best[n], tuple(reversed(out))
+
+
 def _brute(char: str) -> float:
     return math.log10(10 if char.isdigit() else 26 if char.isalpha() and char.isascii() else 33 if char.isascii() else 100)
 
 
-@lru_cache(maxsize=50_000)
+def _dates(value: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, of digits alone) of the longest date at each place."""
+    for m in re.finditer(r"\d", value):
+        if found := DATE.match(value, m.start()):
+            yield found.start(), found.end(), found.group().isdigit()
+
+
+def _repeats(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, unit) of each longest stretch that goes on as it began: two units or more, and three characters.
+
+    A stretch is found under its smallest unit alone, so that one character repeated is one stretch, not one for each unit.
+    """
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, known = len(codes), set()
+    for unit in range(1, min(SPAN, n // 2) + 1):
+        alike = np.concatenate([[False], codes[unit:] == codes[:-unit], [False]])
+        edges = np.flatnonzero(alike[1:] != alike[:-1])
+        for a, b in zip(edges[::2].tolist(), (edges[1::2] + unit).tolist(), strict=True):
+            if b - a >= max(2 * unit, 3) and (a, b) not in known:
+                known.add((a, b))
+                yield a, b, unit
+
+
+def _walks(low: str) -> Iterator[tuple[int, int]]:
+    """The longest stretches of three characters or more that are neighbours on a keyboard, or in the alphabet or the digits."""
+    start = 0
+    for j in range(1, len(low) + 1):
+        x, y = low[j - 1], low[j : j + 1]
+        if y and ((x, y) in NEXT or (abs(ord(y) - ord(x)) == 1 and y.isalnum() and x.isalnum())):
+            continue
+        if j - start >= 3:
+            yield start, j
+        start = j
+
+
+#: The words that are ranked where no corpus is at hand.
+WORDS = Ranks(COMMON + ENGLISH)
+
+
 def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
-    """(log10 of guesses, segments) of the cheapest segmentation of a value.
+    """(log10 of guesses, segments) of the cheapest segmentation of a value, by the fixed words alone."""
+    return WORDS.guess_cost(value)
+
 
-    best[j] is the least sum of log10 costs over segmentations of value[:j]; spans are dictionary words (also in leet and with
-    capitals), dates, repeats of one unit, keyboard walks and single brute-force characters, which the last step joins. Each
-    further span costs a factor of two, for its kind and place. Units of repeats and walks are bounded by SPAN, so that the cost is
-    linear in the length; an empty value costs 0.
+def corpus_words(df: DataFrame, *, text_col: str = "text", most: int = MOST_WORDS, least_docs: int = LEAST_DOCS) -> list[str]:
+    """The ``most`` words of 3 to 20 letters that most rows hold, ``least_docs`` at least.
+
+    Values in a credential context are left out, so that a secret that is often copied does not become a word. Counts are over
+    all rows; ``most`` words reach the driver.
     """
-    n, low = len(value), value.lower()
-    plain = low.translate(LEET)
-    spans: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    brute = [0.0, *accumulate(map(_brute, value))]
-    same = [0] * (SPAN + 1)
-    for i in range(n):
-        spans[i + 1].append((i, _brute(value[i]), "brute"))
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = min((r + bool(s is plain and low[i:j] != plain[i:j]) * r for s in (low, plain) if (r := RANK.get(s[i:j]))), default=0)
-            if rank:
-                capitals = sum(c.isupper() for c in value[i:j])
-                spans[j].append((i, math.log10(rank) + (0.3 if capitals else 0) + max(0, capitals - 1) * 0.3 * (capitals < j - i), "word"))
-        if m := DATE.match(value, i):
-            spans[m.end()].append((i, math.log10(365.25 * 120 if m.end() - i > 4 else 120) + (0.6 if not m.group().isdigit() else 0), "date"))
-        for unit in range(1, min(SPAN, (n - i) // 2) + 1):
-            # same[unit] is the end of the stretch around i in which each character equals the one ``unit`` before it
-            if same[unit] < i + unit:
-                j = i + unit
-                while j < n and value[j] == value[j - unit]:
-                    j += 1
-                same[unit] = j
-            times = (same[unit] - i) // unit
-            if times * unit >= 3 and times > 1:
-                spans[i + times * unit].append((i, brute[i + unit] - brute[i] + math.log10(times), "repeat"))
-        j = i + 1
-        while j < min(n, i + SPAN) and ((low[j - 1], low[j]) in NEXT or abs(ord(low[j]) - ord(low[j - 1])) == 1 and low[j].isalnum() and low[j - 1].isalnum()):
-            j += 1
-            if j - i >= 3:
-                spans[j].append((i, math.log10(47 * 4 * (j - i)), "walk"))
-    best, via = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
-    for j in range(1, n + 1):
-        for i, cost, kind in spans[j]:
-            total = best[i] + cost + (math.log10(2) if i and not (kind == "brute" and via[i][1] == "brute") else 0)
-            if total < best[j]:
-                best[j], via[j] = total, (i, kind)
-    out, j = [], n
-    while j:
-        i, kind = via[j]
-        if out and kind == "brute" == out[-1][0]:
-            out[-1] = (kind, i, out[-1][2])
-        else:
-            out.append((kind, i, j))
-        j = i
-    return best[n], tuple(reversed(out))
-
-
-def find_secrets(text: str) -> list[tuple[str, int, int]]:
+    plain = F.when(F.col("text").rlike(f"(?i){HINT.pattern}"), F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")).otherwise(F.col("text"))
+    words = pick(df, text=text_col).where("text IS NOT NULL").select(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}+"), 0).alias("words"))
+    counted = words.select(F.explode(F.array_distinct("words")).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count("*").alias("n"))
+    return [r["word"] for r in counted.where(F.col("n") >= least_docs).orderBy(F.col("n").desc(), "word").limit(most).collect()]
+
+
+def find_secrets(text: str, ranks: Ranks = WORDS) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; base kinds are leftmost matches that do not overlap within a kind."""
     spans = [("hex", *m.span()) for m in HEX.finditer(text)]
     if "AKIA" in text:
@@ -113,25 +221,30 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
             before = bisect_right(taken, (a, len(text) + 1))
-            if not (before and furthest[before - 1] >= b) and guess_cost(text[a:b])[0] >= STRONG:
+            if not (before and furthest[before - 1] >= b) and ranks.strong(text[a:b]):
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: Iterable[str] | None = None) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, kinds and places as an array.
 
     Every whole text is read; a null text counts as empty and has no spans (base_sha256 is then that of the empty string).
-    Places are code points, ends exclusive. Repeated rows each give their row. The work is a map over rows: no shuffle, and
-    batches are cut by bytes, so that very long texts come alone.
+    Places are code points, ends exclusive. Repeated rows each give their row. Values in a credential context are weighed by the
+    fixed words and, behind them, ``words``: those of the texts themselves (see corpus_words) unless given. The scan is a map
+    over rows without a shuffle, and batches are cut by bytes, so that very long texts come alone.
     """
+    ranked = [*COMMON, *ENGLISH, *(corpus_words(df, text_col=text_col) if words is None else words)]
+    spread = df.sparkSession.sparkContext.broadcast(ranked)
     found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = None
         for batch in pieces(batches):
+            ranks = ranks or Ranks(spread.value)
             out = {c: [] for c in ("n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "found")}
             for text in pc.fill_null(batch.column("text"), "").to_pylist():
-                spans = find_secrets(text)
+                spans = find_secrets(text, ranks)
                 kinds = [s[0] for s in spans]
                 for kind in KINDS:
                     out[f"n_{kind}"].append(kinds.count(kind))
