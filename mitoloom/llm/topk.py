@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mitoloom.llm.lean import lean
 from mitoloom.llm.shared import cut, new_folder, open_folder, pick
 
-#: Rows of a block; queries searched at a time; components of the vectors that a range, one task's forward index, holds.
+#: Rows of a block; queries searched at a time; most components of the vectors that a range, one task's forward index, holds.
 BLOCK, QUERIES, RANGE = 256, 512, 4 << 20
 
 
@@ -178,7 +178,7 @@ def top_k(df: DataFrame, *, k: int = 20, query_modulus: int = 20, scale: int = 6
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates are all rows but those with the query's id. That is
     the stated query set against all rows, in blocks: queries are written in groups to the shared folder, candidates are dealt
-    once into ranges of ``range_size`` vector components, and each range's task reads one group of queries after another. There
+    once into ranges of ``range_size`` vector components, fewer where tasks would be left without any, and each range's task reads one group of queries after another. There
     each query takes the blocks in order of the sum of its terms' maxima and stops when no bound reaches its kth score; the
     ranges' lists are merged by rank. Where there are several ranges, one of them is searched first, and its kth scores are the
     floors from which all ranges start. Vectors of other lengths count as padded with zeros, empty ones score 0; nulls take no
@@ -187,9 +187,12 @@ def top_k(df: DataFrame, *, k: int = 20, query_modulus: int = 20, scale: int = 6
     """
     rows = cut(integer_vectors(df, scale, id_col, vector_col))
     n = rows.agg(F.count("*").alias("rows"), F.count(F.when(F.col("vec_id") % query_modulus == 0, 1)).alias("asking"), F.max(F.size("vector")).alias("width")).first()
-    per_range = max(BLOCK, range_size // max(1, n.width or 1))
+    tasks = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    per_range = max(BLOCK, min(range_size // max(1, n.width or 1), -(-n.rows // tasks)))
     queries = cut(rows.where(F.col("vec_id") % query_modulus == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")))
     dealt = _dealt(rows, per_range, n.rows)
+    if n.rows > per_range:
+        dealt = cut(dealt)  # one range is read by itself before all are
 
     def searched(candidates: DataFrame, floors: DataFrame | None) -> DataFrame:
         folder = new_folder(df.sparkSession, "queries")
