@@ -14,11 +14,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mitoloom.llm.lean import lean
-from mitoloom.llm.shared import pick
+from mitoloom.llm.shared import pick, stored
 from mitoloom.llm.words import pieces
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -201,12 +201,18 @@ def corpus_words(df: DataFrame, *, text_col: str = "text", most: int = MOST_WORD
     """The ``most`` words of 3 to 20 letters that most rows hold, ``least_docs`` at least.
 
     Values in a credential context are left out, so that a secret that is often copied does not become a word. Counts are over
-    all rows; ``most`` words reach the driver.
+    all rows; of words that as many rows hold, all are taken or none, so that ``most`` words reach the driver at most.
     """
     plain = F.when(F.col("text").rlike(f"(?i){HINT.pattern}"), F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")).otherwise(F.col("text"))
     words = pick(df, text=text_col).where("text IS NOT NULL").select(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}+"), 0).alias("words"))
     counted = words.select(F.explode(F.array_distinct("words")).alias("word")).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count("*").alias("n"))
-    return [r["word"] for r in counted.where(F.col("n") >= least_docs).orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    counted = stored(counted.where(F.col("n") >= least_docs), "words")
+    # the least count from which there are no more than ``most`` words: a row for each different count is summed from the top
+    upto = F.sum("words").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    levels = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto)
+    least = levels.where(F.col("upto") <= most).agg(F.min("n").alias("n")).first()["n"]
+    chosen = counted.where(F.col("n") >= least).collect() if least is not None else []
+    return [r["word"] for r in sorted(chosen, key=lambda r: (-r["n"], r["word"]))]
 
 
 def find_secrets(text: str, ranks: Ranks = WORDS) -> list[tuple[str, int, int]]:
