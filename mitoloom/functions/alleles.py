@@ -90,3 +90,9 @@ def rotated(sequence: Column, shift: Column) -> Column:
 
 def mitotip_class(quartile: Column) -> Column:
     return F.when(quartile == "Q1", "likely pathogenic").when(quartile == "Q2", "possibly pathogenic").when(quartile == "Q3", "possibly benign").when(quartile == "Q4", "likely benign").otherwise("")
+
+
+def general_number(x: Column, digits: int = 6) -> Column:
+    """Text of so many significant digits without trailing zeros, with an exponent where the number is below 1e-4 or too long."""
+    text = F.when(x == 0, "0").otherwise(F.format_string(f"%.{digits}g", x))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")

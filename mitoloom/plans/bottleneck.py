@@ -28,7 +28,7 @@ def load_pairs(raw: DataFrame, low: float = 0.10, high: float = 0.90) -> DataFra
     return kept.withColumns({"p": F.col("m_alt") / F.col("m_dp"), "c": F.col("c_alt") / F.col("c_dp"), "g": F.when((F.col("has_g") == 1) & (F.col("g_dp") > 0), F.col("g_alt") / F.col("g_dp"))})
 
 
-def _surface(pairs: DataFrame, sizes: list[float], model: str) -> DataFrame:
+def surface(pairs: DataFrame, sizes: list[float], model: str) -> DataFrame:
     if model == "discrete":
         return likelihood.surface(pairs, sizes, "discrete")
     pairwise, trios = pairs.where("g IS NULL"), pairs.where("g IS NOT NULL")
@@ -52,7 +52,7 @@ def estimate(pairs: DataFrame, low: int = 1, high: int = 100, model: str = "cont
     def scan(sizes: list[float]) -> None:
         fresh = sorted({round(x, 2) for x in sizes} - values.keys())
         if fresh:
-            values.update((round(r.ne, 2), r.ll) for r in _surface(informative, fresh, model).collect())
+            values.update((round(r.ne, 2), r.ll) for r in surface(informative, fresh, model).collect())
 
     scan([float(x) for x in range(floor, high + 1)])
     peak = max(values, key=lambda x: (values[x], -x))

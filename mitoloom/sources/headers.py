@@ -34,6 +34,13 @@ class VcfHeader:
     def with_line(self, line: str) -> VcfHeader:
         return self if line in self.lines else VcfHeader([*self.lines[:-1], line, self.lines[-1]])
 
+    def with_declared(self, line: str) -> VcfHeader:
+        """The header with a line that declares a field, filter or contig, unless one of that kind and ID is there."""
+        start = re.match(r"##\w+=<ID=[^,>]+", line)
+        if start is None:
+            return self.with_line(line)
+        return self if any(re.match(re.escape(start[0]) + "[,>]", x) for x in self.lines) else VcfHeader([*self.lines[:-1], line, self.lines[-1]])
+
     def with_samples(self, samples: Sequence[str]) -> VcfHeader:
         """The samples in the order asked for; one that is not there, or comes twice, raises."""
         absent = [s for s in samples if s not in self.samples]
