@@ -9,7 +9,7 @@ from mitoloom.catalog.base import Views, query
 from mitoloom.catalog.rows import CONTINUOUS, MAJOR, USABLE, Z, sql_ranges
 from mitoloom.functions import alleles as al
 from mitoloom.functions import stats as st
-from mitoloom.operators import annotate, cohort, copynum, drift, filters, intervals, likelihood, pedigree, pileup
+from mitoloom.operators import annotate, cohort, copynum, drift, filters, intervals, likelihood, pedigree, pileup, summaries
 from mitoloom.operators.filters import BLACKLIST
 
 # ---- aggregates
@@ -22,21 +22,17 @@ def _(v: Views) -> DataFrame:
 
 @query("agg03_allele_universe", "SELECT pos, array_to_string(list_sort(list_distinct(list(allele) || ['A', 'C', 'G', 'T'])), ',') AS alleles FROM pileup WHERE allele <> 'N' GROUP BY pos")
 def _(v: Views) -> DataFrame:
-    bases = F.array(*map(F.lit, "ACGT"))
-    every = F.array_union(F.collect_set("allele"), bases)
-    by_length = F.array_sort(F.transform(every, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))
-    return v.pileup.where("allele <> 'N'").groupBy("pos").agg(F.array_join(F.transform(by_length, lambda x: x["a"]), ",").alias("alleles"))
+    return cohort.allele_universe(v.pileup.where("allele <> 'N'"), ["pos"]).select("pos", F.array_join("alleles", ",").alias("alleles"))
 
 
 @query("agg04_first_ref", "SELECT pos, sample, min_by(allele, read_id * 10 + rank_in_read) AS ref FROM pileup GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
-    return v.pileup.groupBy("pos", "sample").agg(F.min_by("allele", F.struct("read_id", "rank_in_read")).alias("ref"))
+    return cohort.first_seen(v.pileup, ["pos", "sample"], "allele", ["read_id", "rank_in_read"]).withColumnRenamed("allele", "ref")
 
 
 @query("agg08_major_allele", "SELECT pos, sample, allele, ad FROM calls QUALIFY row_number() OVER (PARTITION BY pos, sample ORDER BY ad DESC, allele) = 1")
 def _(v: Views) -> DataFrame:
-    top = v.calls.groupBy("pos", "sample").agg(F.min_by(F.struct("allele", "ad"), F.struct((-F.col("ad")).alias("m"), "allele")).alias("t"))
-    return top.select("pos", "sample", "t.allele", "t.ad")
+    return cohort.major_alleles(v.calls, ["pos", "sample"])
 
 
 @query("agg09_strand_counts", MAJOR + "SELECT pos, allele, fwd, rev, depth, k = 1 AS is_major, round(CASE WHEN mr * fwd <= 0 THEN 10000.0 ELSE CAST(mf * rev AS DOUBLE) / (mr * fwd) END, 6) AS sor FROM m")
@@ -48,12 +44,12 @@ def strand_counts(v: Views) -> DataFrame:
 
 @query("agg10_agg11_site_alleles", "SELECT pos, arg_max(ref, length(ref) * 1000 + ascii(ref)) AS longest, array_to_string(list_sort(list_distinct(list(alt))), ',') AS alts FROM alts GROUP BY pos")
 def _(v: Views) -> DataFrame:
-    return v.alts.groupBy("pos").agg(F.max_by("ref", F.struct(F.length("ref"), "ref")).alias("longest"), F.array_join(F.array_sort(F.collect_set("alt")), ",").alias("alts"))
+    return cohort.site_alleles(v.alts, ["pos"]).select("pos", "longest", F.array_join(F.array_sort("alts"), ",").alias("alts"))
 
 
 @query("agg12_site_quality", "SELECT pos, max(CASE WHEN qual < 50 THEN qual END) AS quality FROM pileup GROUP BY pos")
 def _(v: Views) -> DataFrame:
-    return v.pileup.groupBy("pos").agg(F.max(F.when(F.col("qual") < 50, F.col("qual"))).alias("quality"))
+    return cohort.site_quality(v.pileup, ["pos"], 50)
 
 
 SITE = """
@@ -90,8 +86,7 @@ def _(v: Views) -> DataFrame:
 
 @query("agg18_used_alleles", "SELECT pos, array_to_string(list_sort(list_distinct(list(allele) FILTER (WHERE idx > 0))), ',') AS used FROM genotyped GROUP BY pos")
 def _(v: Views) -> DataFrame:
-    used = F.array_join(F.array_sort(F.collect_set(F.when(F.col("idx") > 0, F.col("allele")))), ",")
-    return v.genotyped.groupBy("pos").agg(F.when(F.count_if(F.col("idx") > 0) > 0, used).alias("used"))
+    return cohort.used_alleles(v.genotyped, ["pos"]).select("pos", F.when(F.size("used") > 0, F.array_join(F.array_sort("used"), ",")).alias("used"))
 
 
 @query("agg19_fragments", "SELECT contig, CAST(sum(greatest(f, 1)) AS BIGINT) AS fragments FROM (SELECT rname AS contig, qname, count(CASE WHEN flag & 64 <> 0 THEN 1 END) AS f FROM reads WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 2048 = 0 GROUP BY 1, 2) GROUP BY contig")
@@ -138,7 +133,7 @@ def _(v: Views) -> DataFrame:
 
 @query("agg24_mean_interval", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(1.96 * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS half FROM lineitem GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return v.lineitem.groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(1.96 * F.stddev_samp("l_quantity") / F.sqrt(F.count("*")), 6).alias("half"))
+    return summaries.mean_interval(v.lineitem, ["l_returnflag"], "l_quantity").select("l_returnflag", F.round("mean", 6).alias("mean"), F.round("half", 6).alias("half"))
 
 
 @query("agg25_copy_number", COUNTS + "SELECT b.contig, round(avg(x), 6) AS cn, round(avg(x) - 1.96 * stddev_samp(x) / sqrt(count(x)), 6) AS cn_low, round(avg(x) + 1.96 * stddev_samp(x) / sqrt(count(x)), 6) AS cn_high FROM (SELECT b.contig, CASE WHEN b.contig = 'chrM' THEN 2.0 ELSE 1.0 END * b.ratio / a.ratio AS x FROM r b, r a WHERE regexp_full_match(a.contig, '(chr)?([1-9]|1[0-9]|2[0-2])')) b GROUP BY b.contig")
@@ -218,7 +213,7 @@ def _(v: Views) -> DataFrame:
 
 @query("agg38_site_pass", "SELECT pos, bool_or(ad >= 2 AND af >= 0.4 AND idx > 0) AS pass FROM calls GROUP BY pos")
 def _(v: Views) -> DataFrame:
-    return v.calls.groupBy("pos").agg(F.bool_or((F.col("ad") >= 2) & (F.col("af") >= 0.4) & (F.col("idx") > 0)).alias("pass"))
+    return cohort.site_pass(v.calls, ["pos"], (F.col("ad") >= 2) & (F.col("af") >= 0.4) & (F.col("idx") > 0))
 
 
 @query("agg40_allele_counts", "SELECT pos, idx, ac, an, round(CAST(ac AS DOUBLE) / an, 6) AS af FROM (SELECT pos, idx, CAST(count(*) AS BIGINT) AS ac, CAST(sum(count(*)) OVER (PARTITION BY pos) AS BIGINT) AS an FROM genotyped GROUP BY 1, 2) WHERE idx > 0")
@@ -243,7 +238,7 @@ def _(v: Views) -> DataFrame:
 
 @query("agg42_sample_counts", "SELECT sample, CAST(count(*) AS BIGINT) AS total, CAST(count(CASE WHEN ad >= 2 THEN 1 END) AS BIGINT) AS good FROM calls WHERE idx > 0 GROUP BY sample")
 def _(v: Views) -> DataFrame:
-    return v.calls.where("idx > 0").groupBy("sample").agg(F.count("*").alias("total"), F.count_if(F.col("ad") >= 2).alias("good"))
+    return cohort.sample_counts(v.calls, F.col("ad") >= 2)
 
 
 @query("agg43_z_scores", Z + "SELECT vec_id, CAST(d AS INT) AS d, round(z, 5) + 0.0 AS z FROM z")
@@ -299,12 +294,12 @@ def _(v: Views) -> DataFrame:
 
 @query("agg48_summary_helpers", "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS sd, arg_max(event_id, value * 1e6 - event_id / 1e9) AS at_max FROM events GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return v.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("at_max"))
+    return summaries.summary(v.events, ["event_type"], "value", "event_id").select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "median", "sd")], "at_max")
 
 
 @query("agg49_duplicates", "SELECT l_orderkey, l_suppkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(v: Views) -> DataFrame:
-    return v.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1")
+    return summaries.duplicates(v.lineitem, ["l_orderkey", "l_suppkey"])
 
 
 # ---- joins
@@ -363,10 +358,9 @@ def _(v: Views) -> DataFrame:
 
 @query("jn09_jn10_results_back", "SELECT c.pos, c.sample, c.allele, q.good, s.pass FROM calls c LEFT JOIN (SELECT pos, sample, max(ad) >= 2 AS good FROM calls WHERE dp > 1 GROUP BY 1, 2) q ON q.pos = c.pos AND q.sample = c.sample LEFT JOIN (SELECT pos, bool_or(ad >= 3) AS pass FROM calls GROUP BY 1) s ON s.pos = c.pos")
 def _(v: Views) -> DataFrame:
-    calls = v.calls
-    good = calls.where("dp > 1").groupBy("pos", "sample").agg((F.max("ad") >= 2).alias("good"))
-    sites = calls.groupBy("pos").agg(F.bool_or(F.col("ad") >= 3).alias("pass"))
-    return calls.join(good, ["pos", "sample"], "left").join(sites, "pos", "left").select("pos", "sample", "allele", "good", "pass")
+    good = v.calls.where("dp > 1").groupBy("pos", "sample").agg((F.max("ad") >= 2).alias("good"))
+    sites = cohort.site_pass(v.calls, ["pos"], F.col("ad") >= 3)
+    return cohort.with_results(v.calls, good, sites).select("pos", "sample", "allele", "good", "pass")
 
 
 @query("jn11_sample_subset", "SELECT pos, sample, idx, ad FROM genotyped WHERE sample IN ('s2', 's4') AND pos IN (SELECT pos FROM genotyped WHERE sample IN ('s2', 's4') GROUP BY pos HAVING sum(dp) > 0 AND max(idx) > 0)")
@@ -393,10 +387,11 @@ def _(v: Views) -> DataFrame:
     return annotate.star(rows, star).select("pos", "region", "area", "score")
 
 
-@query("jn15_residue_positions", "SELECT p_partkey, CAST(p_size * 3 + i AS BIGINT) AS pos FROM part, (SELECT unnest([0, 1, 2]) AS i) WHERE p_size <= 20")
+@query("jn15_residue_positions", "SELECT p_partkey, CAST(p_size * 3 + i AS BIGINT) AS pos FROM part, (SELECT unnest([0, 1, 2]) AS i)")
 def _(v: Views) -> DataFrame:
-    codons = v.part.select(F.col("p_size").alias("residue")).distinct().where("residue <= 20").select("residue", F.explode(F.sequence(F.col("residue").cast("bigint") * 3, F.col("residue").cast("bigint") * 3 + 2)).alias("pos"))
-    return v.part.join(codons, F.col("p_size") == F.col("residue")).select("p_partkey", "pos")
+    start = F.col("p_size").cast("bigint") * 3
+    codons = v.part.select("p_size", F.explode(F.sequence(start, start + 2)).alias("pos"))
+    return annotate.residue_positions(v.part.select("p_partkey", "p_size"), codons, ["p_size"]).select("p_partkey", "pos")
 
 
 @query("jn16_base_pairing", "WITH b AS (SELECT p_partkey AS pos, p_partkey % 4 AS gene, substring('ACGT', CAST(p_size % 4 + 1 AS BIGINT), 1) AS base, p_partkey + 4 * (p_size % 9 - 4) AS pair_pos FROM part) SELECT a.pos, CASE WHEN o.base IS NULL THEN 'loop' WHEN a.base || o.base IN ('AT', 'TA', 'AU', 'UA', 'CG', 'GC') THEN 'WC' ELSE 'non-WC' END AS pairing FROM b a LEFT JOIN b o ON o.gene = a.gene AND o.pos = a.pair_pos")
@@ -420,7 +415,8 @@ def _(v: Views) -> DataFrame:
 
 @query("jn19_metadata_outer", "SELECT p.p_partkey, n.n_name FROM nation n RIGHT JOIN part p ON p.p_size = n.n_nationkey")
 def _(v: Views) -> DataFrame:
-    return v.nation.join(v.part, F.col("n_nationkey") == F.col("p_size"), "right").select("p_partkey", "n_name")
+    nations = v.nation.select(F.col("n_nationkey").alias("p_size"), "n_name")
+    return cohort.with_metadata(v.part.select("p_partkey", "p_size"), nations, ["p_size"]).select("p_partkey", "n_name")
 
 
 ALIGNED = "SELECT doc_id, unnest(string_split(replace(seq, 'e', '-'), '')) AS a, unnest(string_split(replace(seq, 'a', '-'), '')) AS b, unnest(range(1, length(seq) + 1)) AS i FROM segments"
@@ -458,7 +454,8 @@ def _(v: Views) -> DataFrame:
 
 @query("win04_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.975), 6) AS high FROM lineitem GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return v.lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("l_extendedprice", F.lit(0.975)), 6).alias("high"))
+    found = summaries.quantiles(v.lineitem, ["l_returnflag"], "l_extendedprice", [0.025, 0.975])
+    return found.select("l_returnflag", F.round("q0", 6).alias("low"), F.round("q1", 6).alias("high"))
 
 
 @query("win05_profile_ci", SURFACE + ", b AS (SELECT *, max(ll) OVER () AS top, (SELECT arg_max(ne, ll) FROM surface) AS best FROM surface), w AS (SELECT best, max(CASE WHEN ll < top - 1.92 AND ne < best THEN ne END) AS l, min(CASE WHEN ll < top - 1.92 AND ne > best THEN ne END) AS r FROM b GROUP BY best) SELECT w.best, min(b.ne) AS low, max(b.ne) AS high, max(w.l) IS NULL AS low_clipped, max(w.r) IS NULL AS high_clipped FROM b, w WHERE (w.l IS NULL OR b.ne > w.l) AND (w.r IS NULL OR b.ne < w.r) GROUP BY w.best")
@@ -479,8 +476,7 @@ def _(v: Views) -> DataFrame:
 
 @query("win09_systematic_sample", "SELECT pos, sample, allele FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY sample, allele) - 1 AS i FROM calls) WHERE i % 3 = 0")
 def _(v: Views) -> DataFrame:
-    order = Window.partitionBy("pos").orderBy("sample", "allele")
-    return v.calls.withColumn("i", F.row_number().over(order) - 1).where("i % 3 = 0").select("pos", "sample", "allele")
+    return summaries.every_nth_of(v.calls, ["pos"], ["sample", "allele"], 3).select("pos", "sample", "allele")
 
 
 @query("win10_win11_ordered", "SELECT chrom, s, e, region_id FROM regions ORDER BY chrom, s, region_id")
@@ -490,21 +486,22 @@ def _(v: Views) -> DataFrame:
 
 @query("win12_win13_first_rows", "SELECT read_id, mapq FROM reads WHERE mapq < 5 ORDER BY read_id LIMIT 10")
 def _(v: Views) -> DataFrame:
-    return v.reads.where("mapq < 5").orderBy("read_id").limit(10).select("read_id", "mapq")
+    return summaries.first_rows(v.reads.where("mapq < 5"), ["read_id"], 10).select("read_id", "mapq")
 
 
 # ---- set operations
 
 
-@query("set01_union_all", "SELECT pos, CAST(count(*) AS BIGINT) AS n FROM (SELECT pos FROM alts WHERE pos % 2 = 0 UNION ALL SELECT pos FROM alts WHERE pos % 3 = 0) GROUP BY pos")
+@query("set01_union_all", "SELECT pos, CAST(count(*) AS BIGINT) AS n FROM (SELECT pos FROM alts UNION ALL SELECT pos FROM calls UNION ALL SELECT pos FROM alts WHERE length(ref) = 1) GROUP BY pos")
 def _(v: Views) -> DataFrame:
-    return v.alts.where("pos % 2 = 0").select("pos").unionByName(v.alts.where("pos % 3 = 0").select("pos")).groupBy("pos").agg(F.count("*").alias("n"))
+    parts = [v.alts.select("pos"), v.calls.select("pos"), v.alts.where("length(ref) = 1").select("pos")]
+    return summaries.concatenated(parts).groupBy("pos").agg(F.count("*").alias("n"))
 
 
-@query("set02_override_union", "SELECT pos, alt, 'second' AS side FROM (SELECT CASE WHEN pos <= 8569 THEN pos + 8000 ELSE pos - 8569 END AS pos, alt FROM alts WHERE pos % 4 = 0) UNION ALL SELECT pos, alt, 'first' FROM alts WHERE pos % 2 = 0 AND pos NOT IN (SELECT CASE WHEN pos <= 8569 THEN pos + 8000 ELSE pos - 8569 END FROM alts WHERE pos % 4 = 0)")
+@query("set02_override_union", "SELECT pos, alt, 'second' AS side FROM (SELECT CASE WHEN pos <= 8569 THEN pos + 8000 ELSE pos - 8569 END AS pos, alt FROM alts WHERE length(alt) > 2) UNION ALL SELECT pos, alt, 'first' FROM alts WHERE length(alt) <= 2 AND pos NOT IN (SELECT CASE WHEN pos <= 8569 THEN pos + 8000 ELSE pos - 8569 END FROM alts WHERE length(alt) > 2)")
 def _(v: Views) -> DataFrame:
-    first = v.alts.where("pos % 2 = 0").select("pos", "alt", F.lit("first").alias("side"))
-    second = v.alts.where("pos % 4 = 0").select(annotate.unshifted(F.col("pos")).alias("pos"), "alt", F.lit("second").alias("side"))
+    first = v.alts.where("length(alt) <= 2").select("pos", "alt", F.lit("first").alias("side"))
+    second = v.alts.where("length(alt) > 2").select(annotate.unshifted(F.col("pos")).alias("pos"), "alt", F.lit("second").alias("side"))
     return annotate.merged_by_position(first, second, ["pos"])
 
 

@@ -81,11 +81,11 @@ def _(v: Views) -> DataFrame:
     return bottleneck.load_pairs(raw).groupBy("m_dp", "m_alt", "c_dp", "c_alt").agg(F.count("*").alias("n"))
 
 
-@query("src13_region_tokens", "SELECT region_id, chrom, s, CASE WHEN region_id % 3 = 0 THEN CAST(4294967295 AS BIGINT) ELSE e END AS e FROM regions WHERE region_id > 0")
+@query("src13_region_tokens", "SELECT region_id, chrom, greatest(s, 1) AS s, CASE WHEN region_id % 3 = 0 THEN CAST(4294967295 AS BIGINT) ELSE e END AS e FROM regions")
 def _(v: Views) -> DataFrame:
     token = F.concat(F.lit(" "), "chrom", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.when(F.col("region_id") % 3 == 0, "").otherwise(F.col("e").cast("string")), F.lit(" "))
-    rows = text.regions(v.regions.where("region_id > 0").select(token.alias("value")))
-    return rows.join(v.regions.select("chrom", "s", "region_id"), ["chrom", "s"]).select("region_id", "chrom", "s", "e")
+    rows = text.regions(v.regions.select(token.alias("value")))
+    return rows.join(v.regions.select("chrom", F.greatest("s", F.lit(1)).alias("s"), "region_id"), ["chrom", "s"]).select("region_id", "chrom", "s", "e")
 
 
 @query("src14_strict_regions", "SELECT chrom, greatest(s, 1) AS s, e FROM regions")

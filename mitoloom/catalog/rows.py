@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mitoloom.catalog.base import Views, query
 from mitoloom.functions import alleles as al
 from mitoloom.functions import stats as st
-from mitoloom.operators import cigar, filters
+from mitoloom.operators import cigar, cohort, filters
 from mitoloom.operators.filters import BLACKLIST, MERGED_BLOCKLIST
 
 LGAMMA_POINTS = "l_extendedprice / 100.0"
@@ -55,8 +55,8 @@ def _(v: Views) -> DataFrame:
 
 @query("flt07_indel_split", "SELECT pos, sample, CASE allele WHEN 'R' THEN 1 ELSE 0 END AS indel, CAST(sum(ad) AS BIGINT) AS n, round(CAST(sum(ad) AS DOUBLE) / max(dp), 6) AS share FROM calls GROUP BY 1, 2, 3 HAVING CAST(sum(ad) AS DOUBLE) / max(dp) >= 0.4")
 def _(v: Views) -> DataFrame:
-    split = v.calls.groupBy("pos", "sample", F.when(F.col("allele") == "R", 1).otherwise(0).alias("indel")).agg(F.sum("ad").alias("n"), F.max("dp").alias("dp"))
-    return split.withColumn("share", F.col("n") / F.col("dp")).where("share >= 0.4").select("pos", "sample", "indel", "n", F.round("share", 6).alias("share"))
+    split = cohort.indel_shares(v.calls, ["pos", "sample"], F.col("allele") == "R", 0.4)
+    return split.select("pos", "sample", "indel", "n", F.round("share", 6).alias("share"))
 
 
 @query("flt08_valid_record", "SELECT pos, ref, alt FROM alts WHERE regexp_full_match(ref, '[ACGTNacgtn]+') AND length(alt) > 0 AND ref <> alt")
@@ -85,10 +85,9 @@ def _(v: Views) -> DataFrame:
     return v.alts.where(al.allele_class(F.col("ref"), F.col("alt")) == "SNV").select("pos", "ref", "alt")
 
 
-@query("flt13_flt14_depth_label", "SELECT row_a, row_b, CASE WHEN m_dp < 500 OR c_dp < 150 THEN 'LOW_DEPTH' ELSE 'PASS' END AS label FROM pairs WHERE m_dp > 0 AND c_dp > 0")
+@query("flt13_flt14_depth_label", "SELECT row_a, row_b, CASE WHEN m_dp < 150 OR c_dp < 150 THEN 'LOW_DEPTH' ELSE 'PASS' END AS label FROM pairs WHERE m_dp > 0 AND c_dp > 0")
 def _(v: Views) -> DataFrame:
-    label = F.when(F.col("c_dp") < 150, "LOW_DEPTH").otherwise(filters.depth_label(F.col("m_dp"), F.lit(1 << 30), 500))
-    return v.pairs.where("m_dp > 0 AND c_dp > 0").select("row_a", "row_b", label.alias("label"))
+    return v.pairs.where("m_dp > 0 AND c_dp > 0").select("row_a", "row_b", filters.depth_label(F.col("m_dp"), F.col("c_dp"), 150).alias("label"))
 
 
 USABLE = "WITH usable AS (SELECT *, round(CAST(m_alt AS DOUBLE) / m_dp, 6) AS p, round(CAST(c_alt AS DOUBLE) / c_dp, 6) AS c FROM pairs WHERE qc = 'PASS' AND m_dp > 0 AND c_dp > 0 AND m_alt BETWEEN 0 AND m_dp AND c_alt BETWEEN 0 AND c_dp AND round(CAST(m_alt AS DOUBLE) / m_dp, 6) BETWEEN 0.10 AND 0.90) "
@@ -109,9 +108,10 @@ def _(v: Views) -> DataFrame:
     return v.pileup.where("allele <> 'A'").groupBy("pos").agg(F.count_distinct("allele").alias("alts")).where("alts <= 1")
 
 
-@query("flt19_missing_fields", "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'missing' ELSE 'ready' END AS state FROM events")
+@query("flt19_missing_fields", "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL OR json_extract_string(props, '$.v') IS NULL OR value IS NULL THEN 'missing' ELSE 'ready' END AS state FROM events")
 def _(v: Views) -> DataFrame:
-    return v.events.select("event_id", F.when(F.get_json_object("props", "$.k").isNull(), "missing").otherwise("ready").alias("state"))
+    fields = {k: F.get_json_object("props", f"$.{k}") for k in ("k", "v")}
+    return v.events.select("event_id", *[c.alias(k) for k, c in fields.items()], "value").select("event_id", filters.call_state(["k", "v", "value"]).alias("state"))
 
 
 @query("flt20_background_samples", "SELECT pos, sample, dp FROM genotyped WHERE ploidy = 1 AND dp >= 2 AND aq >= 20 AND aq * 4 <= 100 AND (CASE WHEN pos % 4 = 0 THEN NULL ELSE ad * 2.0 END IS NULL OR ad * 2.0 <= 5)")
@@ -145,17 +145,17 @@ def _(v: Views) -> DataFrame:
 
 @query("flt23_drop_empty_sites", "SELECT pos FROM genotyped GROUP BY pos HAVING sum(dp) > 0 AND max(idx) > 0")
 def _(v: Views) -> DataFrame:
-    return v.genotyped.groupBy("pos").agg(F.sum("dp").alias("d"), F.max("idx").alias("i")).where("d > 0 AND i > 0").select("pos")
+    return cohort.varied_sites(v.genotyped, ["pos"])
 
 
 @query("flt24_tidy_rows", "SELECT pos, sample, allele FROM genotyped WHERE NOT (idx = 0 AND ploidy > 1)")
 def _(v: Views) -> DataFrame:
-    return v.genotyped.where(~((F.col("idx") == 0) & (F.col("ploidy") > 1))).select("pos", "sample", "allele")
+    return cohort.tidy_calls(v.genotyped).select("pos", "sample", "allele")
 
 
 @query("flt25_heteroplasmy_rows", "SELECT pos, sample, allele, ad FROM genotyped WHERE ploidy > 1 AND idx <> 0")
 def _(v: Views) -> DataFrame:
-    return v.genotyped.where("ploidy > 1 AND idx <> 0").select("pos", "sample", "allele", "ad")
+    return cohort.mixed_alternatives(v.genotyped).select("pos", "sample", "allele", "ad")
 
 
 Z = """WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
@@ -451,3 +451,19 @@ def _(v: Views) -> DataFrame:
 @query("scl39_slice", "SELECT vec_id, round(list_sum(list_transform(embedding[3:6], lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
 def _(v: Views) -> DataFrame:
     return v.embeddings.select("vec_id", F.round(F.aggregate(F.slice("embedding", 3, 4), F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("total"))
+
+
+@query("scl03_chi2_tail", "SELECT p_partkey, df, round(1 - list_sum(list_transform(range(0, 400), lambda n: exp((df / 2.0 + n) * ln(x / 2) - x / 2 - lgamma(df / 2.0 + n + 1)))), 6) + 0.0 AS tail FROM (SELECT p_partkey, CAST(1 + p_partkey % 9 AS BIGINT) AS df, p_size * 0.7 + 0.013 AS x FROM part)")
+def _(v: Views) -> DataFrame:
+    from mitoloom.functions.special import chi2_tail
+
+    rows = v.part.select("p_partkey", (F.col("p_partkey") % 9 + 1).alias("df"), (F.col("p_size") * 0.7 + 0.013).alias("x"))
+    return rows.select("p_partkey", "df", (F.round(chi2_tail(F.col("x"), F.col("df")), 6) + 0.0).alias("tail"))
+
+
+@query("scl14_binomial_quantile", "WITH r AS (SELECT p_partkey, CAST(p_size * 8 AS BIGINT) AS n, (p_partkey % 50 + 1) / 700.0 AS p FROM part), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM r), c AS (SELECT *, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))) OVER (PARTITION BY p_partkey ORDER BY k) AS below FROM k) SELECT p_partkey, CAST(min(k) AS BIGINT) AS most FROM c WHERE below >= 0.99 GROUP BY p_partkey")
+def _(v: Views) -> DataFrame:
+    from mitoloom.functions.special import binomial_quantile
+
+    share = (F.col("p_partkey") % 50 + 1) / 700.0
+    return v.part.select("p_partkey", binomial_quantile(F.col("p_size") * 8, share, F.lit(0.99)).alias("most"))

@@ -98,3 +98,8 @@ def merged_by_position(first: DataFrame, second: DataFrame, key: list[str]) -> D
 def unshifted(pos: Column, shift: int = 8000, length: int = 16569) -> Column:
     """Positions of a reference turned by ``shift`` back on the plain one."""
     return F.when(pos <= length - shift, pos + shift).otherwise(pos - (length - shift))
+
+
+def residue_positions(residues: DataFrame, codons: DataFrame, key: list[str]) -> DataFrame:
+    """Each residue with the positions of its codon (codons: key, pos); residues that no codon makes give none."""
+    return residues.join(codons.select(*key, "pos").distinct(), key)

@@ -101,3 +101,81 @@ def allele_counts(calls: DataFrame) -> DataFrame:
     counted = calls.groupBy("pos", "idx").agg(F.count("*").alias("ac"))
     total = counted.withColumn("an", F.sum("ac").over(Window.partitionBy("pos")))
     return total.where("idx > 0").withColumn("af", F.col("ac") / F.col("an"))
+
+
+def by_length(alleles: Column) -> Column:
+    """An array of texts by length, then by code points."""
+    return F.transform(F.array_sort(F.transform(alleles, lambda a: F.struct(F.length(a).alias("n"), a.alias("a")))), lambda x: x["a"])
+
+
+def allele_universe(seen: DataFrame, by: list[str]) -> DataFrame:
+    """by, alleles: all alleles seen and the four bases, by length, then text. N and null alleles do not count."""
+    named = F.when(F.col("allele") != "N", F.col("allele"))
+    return seen.groupBy(*by).agg(by_length(F.array_union(F.collect_set(named), F.array(*map(F.lit, "ACGT")))).alias("alleles"))
+
+
+def first_seen(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """The value of each key's first row by ``order``."""
+    return rows.groupBy(*by).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def major_alleles(calls: DataFrame, by: list[str]) -> DataFrame:
+    """by, allele, ad: the deepest allele, the first by text of equal ones."""
+    top = calls.groupBy(*by).agg(F.min_by(F.struct("allele", "ad"), F.struct((-F.col("ad")).alias("m"), "allele")).alias("__t"))
+    return top.select(*by, "__t.allele", "__t.ad")
+
+
+def indel_shares(calls: DataFrame, by: list[str], indel: Column, least: float) -> DataFrame:
+    """by, indel, n, share: the depth of indels and of the rest out of all, where that is ``least`` or more."""
+    split = calls.groupBy(*by, indel.cast("int").alias("indel")).agg(F.sum("ad").alias("n"), F.max("dp").alias("__dp"))
+    return split.withColumn("share", F.try_divide("n", "__dp")).where(F.col("share") >= least).drop("__dp")
+
+
+def site_alleles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, longest (the longest reference, of equal ones the last by text) and alts (different alternatives, by length, then text)."""
+    return rows.groupBy(*by).agg(F.max_by("ref", F.struct(F.length("ref"), "ref")).alias("longest"), by_length(F.collect_set("alt")).alias("alts"))
+
+
+def site_quality(calls: DataFrame, by: list[str], below: float) -> DataFrame:
+    """by, quality: the best of the samples' qualities that lie below a number which stands for no bound; null without any."""
+    return calls.groupBy(*by).agg(F.max(F.when(F.col("qual") < below, F.col("qual"))).alias("quality"))
+
+
+def used_alleles(calls: DataFrame, by: list[str]) -> DataFrame:
+    """by, used: the alternatives that some genotype names, by length, then text; empty where all are the reference."""
+    return calls.groupBy(*by).agg(by_length(F.collect_set(F.when(F.col("idx") > 0, F.col("allele")))).alias("used"))
+
+
+def site_pass(calls: DataFrame, by: list[str], mutation: Column) -> DataFrame:
+    """by, pass: whether any sample's call is a mutation; unknown ones are not."""
+    return calls.groupBy(*by).agg(F.bool_or(F.coalesce(mutation, F.lit(False))).alias("pass"))
+
+
+def sample_counts(calls: DataFrame, good: Column) -> DataFrame:
+    """sample, total, good: how many alternatives each sample has, and how many of them are good."""
+    return calls.where("idx > 0").groupBy("sample").agg(F.count("*").alias("total"), F.count_if(good).alias("good"))
+
+
+def varied_sites(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Sites with some depth and some sample that is not the reference."""
+    return calls.groupBy(*by).agg(F.sum("dp").alias("__d"), F.max("idx").alias("__i")).where("__d > 0 AND __i > 0").select(*by)
+
+
+def tidy_calls(calls: DataFrame) -> DataFrame:
+    """Known alleles, without the reference allele of mixed genotypes."""
+    return calls.where("idx IS NOT NULL AND NOT (idx = 0 AND ploidy > 1)")
+
+
+def mixed_alternatives(calls: DataFrame) -> DataFrame:
+    """The alternatives of mixed genotypes."""
+    return calls.where("ploidy > 1 AND idx > 0")
+
+
+def with_results(calls: DataFrame, results: DataFrame, sites: DataFrame) -> DataFrame:
+    """calls with what is known of their sample at the site (results: pos, sample, ...) and of the site (sites: pos, ...), else null."""
+    return calls.join(results, ["pos", "sample"], "left").join(sites, "pos", "left")
+
+
+def with_metadata(calls: DataFrame, metadata: DataFrame, key: list[str]) -> DataFrame:
+    """All calls, with their sample's metadata where there is any."""
+    return metadata.join(calls, key, "right")

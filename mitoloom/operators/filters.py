@@ -77,3 +77,11 @@ def background_ready(calls: DataFrame, least_depth: int, least_quality: float, m
     """
     even = (F.coalesce("fs", F.lit(0.0)) <= most_strand) & (F.coalesce("sor", F.lit(0.0)) <= most_odds)
     return calls.where((F.col("ploidy") == 1) & (F.col("dp") >= least_depth) & (F.col("aq") >= least_quality) & even)
+
+
+def call_state(fields: Iterable[str]) -> Column:
+    """``missing`` where a sample lacks one of the fields, else ``ready``."""
+    lacks = F.lit(False)
+    for name in fields:
+        lacks = lacks | F.col(name).isNull()
+    return F.when(lacks, "missing").otherwise("ready")
