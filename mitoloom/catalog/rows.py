@@ -201,11 +201,18 @@ def _(v: Views) -> DataFrame:
     return cigar.indels(v.reads).select("read_id", "ref_pos", "allele")
 
 
-@query("prj04_indel_reanchor", "SELECT pos, sample, allele, indel FROM (SELECT *, max(indel) OVER (PARTITION BY pos, sample) AS wins FROM (SELECT CASE allele WHEN 'R' THEN pos - 1 ELSE pos END AS pos, sample, allele, CASE allele WHEN 'R' THEN 1 ELSE 0 END AS indel FROM calls)) WHERE indel = wins")
+DISPLACED = """WITH c AS (SELECT pos, sample, allele, CASE allele WHEN 'R' THEN 1 ELSE 0 END AS indel, ad FROM calls),
+s AS (SELECT *, sum(ad) OVER (PARTITION BY sample, pos, indel) / sum(ad) OVER (PARTITION BY sample, pos) AS share, max(indel) OVER (PARTITION BY sample, pos) AS top FROM c),
+m AS (SELECT CASE WHEN pos = 1 AND indel = 1 THEN -1 ELSE indel END AS edge, greatest(pos - indel, 1) AS pos, sample, allele, indel FROM s WHERE top = 0 OR share >= 0.3)
+SELECT pos, sample, allele, indel FROM (SELECT *, max(edge) OVER (PARTITION BY sample, pos) AS wins FROM m) WHERE edge = wins"""
+
+
+@query("prj04_indel_reanchor", DISPLACED)
 def _(v: Views) -> DataFrame:
-    from mitoloom.operators.pileup import reanchored
+    from mitoloom.operators.pileup import displaced
 
-    return reanchored(v.calls.select("pos", "sample", "allele", (F.col("allele") == "R").cast("int").alias("indel")), ["sample"]).select("pos", "sample", "allele", "indel")
+    counted = v.calls.select("pos", "sample", "allele", (F.col("allele") == "R").cast("int").alias("indel"), F.col("ad").alias("n"))
+    return displaced(counted, 0.3, ["sample"]).select("pos", "sample", "allele", "indel")
 
 
 @query("prj05_chunks", "SELECT chrom, region_id, CAST(c AS BIGINT) AS s, CAST(least(e, c + 9) AS BIGINT) AS e FROM (SELECT *, unnest(range(s, e + 1, 10)) AS c FROM regions)")

@@ -65,8 +65,8 @@ def missing_id(value: Column) -> Column:
 
 
 def trimmed_number(x: Column, digits: int = 6) -> Column:
-    """Fixed-point text without trailing zeros or point."""
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), "0+$", ""), r"\.$", "")
+    """Fixed-point text without trailing zeros or point; null for null."""
+    return F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), "0+$", ""), r"\.$", ""))
 
 
 def info_map(info: Column) -> Column:
@@ -93,6 +93,7 @@ def mitotip_class(quartile: Column) -> Column:
 
 
 def general_number(x: Column, digits: int = 6) -> Column:
-    """Text of so many significant digits without trailing zeros, with an exponent where the number is below 1e-4 or too long."""
-    text = F.when(x == 0, "0").otherwise(F.format_string(f"%.{digits}g", x))
+    """Text of so many significant digits without trailing zeros, with an exponent where the number is below 1e-4 or too long; null for
+    null."""
+    text = F.when(x == 0, "0").when(x.isNotNull(), F.format_string(f"%.{digits}g", x))
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")

@@ -83,13 +83,6 @@ def strand_bias(counts: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumns({"fs": st.phred(p), "sor": st.strand_odds_ratio(mf, mr, F.col("fwd"), F.col("rev"))})
 
 
-def reanchored(calls: DataFrame, by: list[str]) -> DataFrame:
-    """Indels move to the base before them and displace whatever stands there."""
-    moved = calls.withColumn("pos", F.col("pos") - F.col("indel"))
-    wins = F.max("indel").over(Window.partitionBy("pos", *by))
-    return moved.withColumn("__wins", wins).where("indel = __wins").drop("__wins")
-
-
 def filled_grid(calls: DataFrame, by: str = "sample") -> DataFrame:
     """A row for every covered position and every sample; absent calls have depth 0.
 

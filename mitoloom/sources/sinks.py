@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,20 +57,27 @@ def _store(spark: SparkSession, path: str) -> tuple[Any, Any]:
 
 
 def merge_parts(spark: SparkSession, folder: str, path: str) -> None:
-    """The parts of a folder as one file, in the order of their names, copied as streams; gzip parts give one gzip file."""
-    store, place = _store(spark, folder)
-    target, at = _store(spark, path)
-    parts = sorted(f.getPath().toString() for f in store.listStatus(place) if f.getPath().getName().startswith("part-"))
-    out = target.create(at, True)
-    try:
-        for part in parts:
-            source = store.open(_store(spark, part)[1])
-            try:
-                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
-            finally:
-                source.close()
-    finally:
-        out.close()
+    """The parts of a folder as one file, in the order of their names; gzip parts give one gzip file.
+
+    One task copies them as streams, a piece at a time; the driver has their names alone.
+    """
+    from mitoloom.sources.variants import store_of
+
+    store, root = store_of(folder)
+    parts = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("part-"))
+    target = store_of(path)[1]
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = store_of(folder)
+        for frame in frames:
+            with store.open_output_stream(target, compression=None) as out:
+                for part in frame["parts"].iloc[0]:
+                    with store.open_input_file(part) as source:
+                        while data := source.read(1 << 20):
+                            out.write(data)
+            yield pd.DataFrame({"path": [target]})
+
+    spark.createDataFrame([(parts,)], "parts array<string>").coalesce(1).mapInPandas(copy, "path string").collect()
 
 
 def write_table(rows: DataFrame, path: str, comments: Sequence[str] = (), order: Sequence[str] = ()) -> None:

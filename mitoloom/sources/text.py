@@ -159,6 +159,15 @@ def with_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return pairs, rows.where(~F.startswith("value", F.lit("#"))).select("file", "line", "value")
 
 
+def commented_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document a file, as a row of ``schema`` (null fields where it lacks them), without the lines that begin with ``#``.
+
+    A document is read whole, as one value; a file that is no JSON raises.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?m)^\s*#.*$", "").alias("value"))
+    return whole.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def dimension(spark: SparkSession, path: str, columns: dict[str, int | str], key: list[str], sep: str = "\t", header: bool = False) -> DataFrame:
     """An annotation file as a table with a unique key: columns by place or header name; of repeated keys the first stays."""
     raw = spark.read.csv(path, sep=sep, header=header, comment="#")

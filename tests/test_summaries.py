@@ -61,3 +61,41 @@ def test_summaries_of_values(spark):
     residues = spark.createDataFrame([("ND1", 7, "p"), ("X", 1, "q")], "locus string, residue int, label string")
     codons = spark.createDataFrame([("ND1", 7, 30), ("ND1", 7, 30), ("ND1", 7, 31), (None, 7, 32)], "locus string, residue int, pos int")
     assert pairs(annotate.residue_positions(residues, codons, ["locus", "residue"]), "label", "pos") == [("p", 30), ("p", 31)]
+
+
+def test_groups_and_orientation_of_reads(spark):
+    from mitoloom.operators import reads
+
+    rows = [("lane:1:2", {"RG": "g", "NM": "3"}), ("lane:1:2", {"NM": "3"}), ("plain", {}), ("a:b", None), (None, None)]
+    df = spark.createDataFrame(rows, "qname string, tags map<string,string>").coalesce(1)
+    assert [tuple(r) for r in df.select(reads.read_group(F.col("tags"), F.col("qname")), reads.tag(F.col("tags"), "NM")).collect()] == [("g", "3"), ("lane", "3"), ("", ""), ("a", ""), ("", "")]
+    pairs_ = [(32, "c", 5, "c", 9), (16, "c", 9, "c", 5), (0, "c", 5, "c", 9), (32, "c", 9, "c", 5), (32, "c", 5, "d", 9), (36, "c", 5, "c", 9), (40, "c", 5, "c", 9), (32, "*", 5, "*", 9), (None, "c", 5, "c", 9)]
+    got = spark.createDataFrame(pairs_, "flag int, rname string, pos int, rnext string, pnext int").coalesce(1)
+    assert [r[0] for r in got.select(reads.proper_orientation(*(F.col(c) for c in got.columns))).collect()] == [True, True, False, False, False, False, False, False, False]
+
+
+def test_commented_json_and_metadata(spark, tmp_path):
+    from mitoloom.sources import text
+
+    (tmp_path / "a.json").write_text('# made by\n  # x\n{\n  "Ne": 5.5,\n  "note": "a # b"\n}\n')
+    row = text.commented_json(spark, str(tmp_path / "a.json"), "Ne double, note string, more int").first()
+    assert tuple(row) == (5.5, "a # b", None)
+    (tmp_path / "b.json").write_text("{no")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
+        text.commented_json(spark, str(tmp_path / "b.json"), "Ne double").collect()
+    (tmp_path / "t.tsv").write_text("#model=continuous\n#n = 3\n\na\tb\n1\t2\n")
+    meta, body = text.with_metadata(spark, str(tmp_path / "t.tsv"))
+    assert {(r.key, r.value.strip()) for r in meta.collect()} == {("model", "continuous"), ("n", "3")} and [r.value for r in body.orderBy("line").collect()] == ["a\tb", "1\t2"]
+    (tmp_path / "d.tsv").write_text("# note\nk\tv\n1\tx\n1\tx\n2\ty\n")
+    table = text.dimension(spark, str(tmp_path / "d.tsv"), {"key": "k", "value": 1}, ["key"], header=True)
+    assert pairs(table, "key", "value") == [("1", "x"), ("2", "y")]
+
+
+def test_tables_of_results(spark):
+    from mitoloom.sources import sinks
+
+    report = spark.createDataFrame([("chrM", 12, 16569, 0.443, 1.25, 800.5, None, 900.0, 16000, 1)], "contig string, fragments long, length long, gc double, ratio double, cn double, cn_low double, cn_high double, effective_length long, regions long")
+    row = sinks.copynum_rows(report).first()
+    assert list(row.asDict()) == sinks.COPYNUM_COLUMNS and tuple(row) == ("chrM", "12", "16569", "0.443", "1.25", "800.5", "NA", "900", "16000", "1")
+    scored = spark.createDataFrame([("s", "chrM", 5, "A", "G", 2, 0.5, 9.0, 0.01, 0.99, m, i) for m, i in ((True, 1), (True, 0), (False, 1))], "sample string, chrom string, pos int, ref string, alt string, ploidy int, alpha double, beta double, error double, pp double, mutation boolean, idx int")
+    assert sinks.qc_rows(scored).count() == 1 and sinks.qc_rows(scored).columns == sinks.QC_COLUMNS
