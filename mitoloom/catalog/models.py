@@ -57,7 +57,7 @@ def _(v: Views) -> DataFrame:
 
 @query("sim01_sim02_cohort")
 def _(v: Views) -> DataFrame:
-    rows = drift.terms(filters.usable_pairs(simulate.cohort(v.spark, 100, 10, 10)))
+    rows = drift.terms(simulate.offspring(filters.usable_pairs(v.pairs), 10, ["row_a", "row_b"]))
     return drift.kimura(rows).select("n", F.round("b", 6).alias("b"), F.lit(1 - simulate.expected_drift(10, 1)).alias("expected_b"))
 
 

@@ -140,8 +140,8 @@ def fit_mixtures(rows: DataFrame, most: int = 10, *, restarts: int = 2, rounds:
 
     EM over all rows (``features``: arrays): every k and restart goes through the data in the same job a round, until its mean log
     likelihood changes by less than ``tolerance``; of restarts the likeliest is kept. Starts come from ``sample`` rows, those of
-    smallest hash, so that reruns agree. A full covariance has ``floor`` added to its diagonal. No more Gaussians than rows;
-    no rows raise.
+    smallest hash, so that reruns agree. A full covariance has ``floor`` added to its diagonal, and needs more rows than features: there
+    are as many Gaussians at most as that leaves, but one. No rows raise.
     """
     data = durable(rows.select("features"))
     n = data.count()
@@ -150,7 +150,7 @@ def fit_mixtures(rows: DataFrame, most: int = 10, *, restarts: int = 2, rounds:
     seeds = np.array([r["features"] for r in data.orderBy(F.xxhash64("features"), "features").limit(sample).collect()], dtype=float)
     one = _moments(data, [Mixture(np.ones(1), seeds[:1], np.eye(seeds.shape[1])[None])])[0]
     whole = _maximised(Mixture(np.ones(1), seeds[:1], np.eye(seeds.shape[1])[None]), one, n, floor)
-    models = [whole, *(_starts(seeds, whole.covariances[0], k, s) for k in range(2, min(most, n) + 1) for s in range(restarts))]
+    models = [whole, *(_starts(seeds, whole.covariances[0], k, s) for k in range(2, min(most, n // (seeds.shape[1] + 1)) + 1) for s in range(restarts))]
     before, left = [-math.inf] * len(models), list(range(len(models)))
     for _ in range(rounds + 1):
         going = []

@@ -99,3 +99,17 @@ def test_tables_of_results(spark):
     assert list(row.asDict()) == sinks.COPYNUM_COLUMNS and tuple(row) == ("chrM", "12", "16569", "0.443", "1.25", "800.5", "NA", "900", "16000", "1")
     scored = spark.createDataFrame([("s", "chrM", 5, "A", "G", 2, 0.5, 9.0, 0.01, 0.99, m, i) for m, i in ((True, 1), (True, 0), (False, 1))], "sample string, chrom string, pos int, ref string, alt string, ploidy int, alpha double, beta double, error double, pp double, mutation boolean, idx int")
     assert sinks.qc_rows(scored).count() == 1 and sinks.qc_rows(scored).columns == sinks.QC_COLUMNS
+
+
+def test_children_drawn_for_given_mothers(spark):
+    from mitoloom.operators import drift, simulate
+
+    pairs_ = spark.range(6000).select("id", (0.1 + 0.8 * (F.col("id") % 97) / 97).alias("p"), F.lit(1000).alias("m_dp"), F.lit(1000).alias("c_dp"))
+    for generations in (1, 3):
+        drawn = simulate.offspring(pairs_, 10, ["id"], generations=generations)
+        b = drift.kimura(drift.terms(drawn.withColumn("m_dp", F.lit(10**9)))).first().b
+        assert abs((1 - b) - simulate.expected_drift(10, generations)) < 0.02
+    again = simulate.offspring(pairs_.repartition(7), 10, ["id"])
+    assert sorted((r.id, r.c_alt) for r in again.collect()) == sorted((r.id, r.c_alt) for r in simulate.offspring(pairs_, 10, ["id"]).collect())
+    edge = spark.createDataFrame([(1, 0.0, 50), (2, 1.0, 50), (3, None, 50), (4, 0.5, 0)], "id int, p double, c_dp int")
+    assert [r.c_alt for r in simulate.offspring(edge, 10, ["id"]).orderBy("id").collect()] == [0, 50, None, 0]
