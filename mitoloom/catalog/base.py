@@ -50,6 +50,12 @@ class Views:
         getattr(self, source).createOrReplaceTempView(self_view)
         return self.spark.sql(f"SELECT {', '.join(expressions)} FROM {self_view} WHERE {condition}")
 
+    def placed(self, name: str) -> DataFrame:
+        """A view of one table, without groups, plus file and row: where each row lies in the table."""
+        source, expressions, condition = VIEWS[name]
+        rows = getattr(self, source).selectExpr("*", "_metadata.file_path AS file", "_metadata.row_index AS row")
+        return rows.where(condition).selectExpr(*expressions, "file", "row")
+
 
 def _with(sql: str) -> str:
     """The SQL with the views that it names, and theirs, put before it."""

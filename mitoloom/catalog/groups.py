@@ -27,7 +27,8 @@ def _(v: Views) -> DataFrame:
 
 @query("agg04_first_ref", "SELECT pos, sample, min_by(allele, read_id * 10 + rank_in_read) AS ref FROM pileup GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
-    return cohort.first_seen(v.pileup, ["pos", "sample"], "allele", ["read_id", "rank_in_read"]).withColumnRenamed("allele", "ref")
+    # rows of equal read and rank: the first in the table
+    return cohort.first_seen(v.placed("pileup"), ["pos", "sample"], "allele", ["read_id", "rank_in_read", "file", "row"]).withColumnRenamed("allele", "ref")
 
 
 @query("agg08_major_allele", "SELECT pos, sample, allele, ad FROM calls QUALIFY row_number() OVER (PARTITION BY pos, sample ORDER BY ad DESC, allele) = 1")

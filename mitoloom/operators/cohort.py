@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +117,9 @@ def allele_universe(seen: DataFrame, by: list[str]) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
-    """The value of each key's first row by ``order``."""
-    return rows.groupBy(*by).agg(F.min_by(value, F.struct(*order)).alias(value))
+    """The value of each key's first row by ``order``, which should leave no ties; rows with a null there or for a value take no part."""
+    whole = reduce(lambda a, c: a & F.col(c).isNotNull(), order, F.col(value).isNotNull())
+    return rows.groupBy(*by).agg(F.min_by(value, F.when(whole, F.struct(*order))).alias(value))
 
 
 def major_alleles(calls: DataFrame, by: list[str]) -> DataFrame:
