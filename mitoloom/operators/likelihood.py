@@ -56,6 +56,13 @@ def surface(pairs: DataFrame, sizes: list[float], model: str = "continuous", by:
     return every.select(*keys, "ne", (F.col("ll") + F.col("constant")).alias("ll"))
 
 
+def pooled(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value: the logarithm of the sum of exp(value) over each key's rows."""
+    top = F.max(value).over(Window.partitionBy(*by))
+    below = rows.select(*by, value, top.alias("__top")).groupBy(*by).agg(F.max("__top").alias("__top"), F.sum(F.exp(F.col(value) - F.col("__top"))).alias("__s"))
+    return below.select(*by, (F.col("__top") + F.ln("__s")).alias(value))
+
+
 def best_size(grid: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(ne, ll) of the highest value, ties to the smallest size."""
     top = F.max(F.struct("ll", (-F.col("ne")).alias("m"))).alias("t")
