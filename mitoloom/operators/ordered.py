@@ -26,6 +26,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """df by keys in as many tasks as shuffles have partitions, however few its bytes: for rows that take Python long.
+
+    Where df's rows lie by these very keys already, Spark leaves them, and then may put them in fewer tasks: give a hash of the keys.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """df plus __range: rows lie in ranges of ``order``, numbered in that order, each sorted within.
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mitoloom.functions.numeric import golden_section
+from mitoloom.functions.special import lgamma
 from mitoloom.operators import drift, filters, likelihood
-from mitoloom.operators.ordered import durable
+from mitoloom.operators.ordered import dealt, durable
 
 
 def load_pairs(raw: DataFrame, low: float = 0.10, high: float = 0.90) -> DataFrame:
@@ -103,14 +104,14 @@ def families(pairs: DataFrame, low: int = 2, high: int = 100, least: int = 3) ->
     """A continuous fit for each (fam, mother); families under ``least`` informative sites are skipped, with a warning.
 
     Equal observations of a family are counted before they travel, so that its group is bounded by distinct (p, c_alt, c_dp).
-    Pairs without a family share the family ALL. No pairs give no rows.
+    A likelihood sums over distinct (p, c_alt), (p, c_dp - c_alt), c_dp and p. Pairs without a family share the family ALL. No pairs
+    give no rows.
     """
 
     def fit(key, frame):
         import numpy as np
         import pandas as pd
 
-        gamma = np.vectorize(math.lgamma, otypes=[float])
         rows = frame[(frame["p"] > 0) & (frame["p"] < 1)]
         times = rows["times"].to_numpy(float)
         head = [*key, int(frame["times"].sum()), int(times.sum())]
@@ -118,11 +119,20 @@ def families(pairs: DataFrame, low: int = 2, high: int = 100, least: int = 3) ->
         if times.sum() < least:
             return pd.DataFrame([[*head, None, None, None, None, False, False, True, f"fewer than {least} informative sites"]], columns=names)
         p, k, n = (rows[c].to_numpy(float) for c in ("p", "c_alt", "c_dp"))
-        constant = gamma(n + 1) - gamma(k + 1) - gamma(n - k + 1)
+        constant = float((times * (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))).sum())
+
+        def counted(*columns):
+            """Different rows of some columns, and how often each is there."""
+            sums = pd.DataFrame([*columns, times]).T.groupby([*range(len(columns))])[len(columns)].sum()
+            return *(sums.index.get_level_values(i).to_numpy() for i in range(len(columns))), sums.to_numpy()
+
+        # each term depends on some of p, k and n only, so that equal ones are counted once
+        (hit_p, hits, by_hit), (miss_p, misses, by_miss), (trials, by_trials), (share, by_share) = counted(p, k), counted(1 - p, n - k), counted(n), counted(p)
 
         def ll(size: float) -> float:
-            a, b = p * (size - 1), (1 - p) * (size - 1)
-            return float((times * (constant + gamma(k + a) + gamma(n - k + b) - gamma(n + a + b) - gamma(a) - gamma(b) + math.lgamma(size - 1))).sum())
+            s = size - 1
+            drawn = (by_hit * lgamma(hits + hit_p * s)).sum() + (by_miss * lgamma(misses + miss_p * s)).sum() - (by_trials * lgamma(trials + s)).sum()
+            return float(constant + drawn - (by_share * (lgamma(share * s) + lgamma((1 - share) * s))).sum() + times.sum() * math.lgamma(s))
 
         whole = np.array([ll(x) for x in range(low, high + 1)])
         peak = float(low + whole.argmax())
@@ -145,7 +155,7 @@ def families(pairs: DataFrame, low: int = 2, high: int = 100, least: int = 3) ->
 
     fam = F.when(F.coalesce("fam", F.lit("")) == "", "ALL").otherwise(F.col("fam"))
     counted = pairs.groupBy(fam.alias("fam"), "mother", "p", "c_alt", "c_dp").agg(F.count("*").alias("times"))
-    return counted.groupBy("fam", "mother").applyInPandas(fit, FAMILY)
+    return dealt(counted, "fam", "mother").groupBy("fam", "mother").applyInPandas(fit, FAMILY)
 
 
 def result(pairs: DataFrame, **options: Any) -> dict[str, Any]:
