@@ -123,46 +123,79 @@ def allele_sets(sites: list[Site], least_share: float) -> list[tuple[list[int],
     return out
 
 
-def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.5, tolerance: float = 1e-8, rounds: int = 500) -> np.ndarray:
-    """Nelder-Mead search for a minimum, until the vertices' values spread by less than ``tolerance``."""
-    points = [start, *(start + step * np.eye(len(start))[i] for i in range(len(start)))]
-    values = [f(p) for p in points]
+def simplexes(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, step: float = 0.5, tolerance: float = 1e-8, rounds: int = 500) -> np.ndarray:
+    """Nelder-Mead searches for the minima of many problems at once, each until its vertices' values spread by less than ``tolerance``.
+
+    f takes one point a problem and the problems' numbers, start is problems by parameters. Problems that have ended drop out.
+    """
+    wide = start.shape[1]
+    points = np.concatenate([start[:, None], start[:, None] + step * np.eye(wide)], axis=1)
+    left = np.arange(len(start))
+    values = np.stack([f(points[:, j], left) for j in range(wide + 1)], axis=1)
+    found = np.empty(start.shape)
     for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < tolerance:
-            break
-        middle = np.mean(points[:-1], axis=0)
-        far = middle + (middle - points[-1])
-        at_far = f(far)
-        if at_far < values[0]:
-            further = middle + 2 * (middle - points[-1])
-            at_further = f(further)
-            points[-1], values[-1] = (further, at_further) if at_further < at_far else (far, at_far)
-        elif at_far < values[-2]:
-            points[-1], values[-1] = far, at_far
-        else:
-            near = middle + 0.5 * ((far if at_far < values[-1] else points[-1]) - middle)
-            at_near = f(near)
-            if at_near < min(at_far, values[-1]):
-                points[-1], values[-1] = near, at_near
-            else:
-                points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
-                values = [values[0], *(f(p) for p in points[1:])]
-    return points[int(np.argmin(values))]
+        order = np.argsort(values, axis=1, kind="stable")
+        points, values = np.take_along_axis(points, order[:, :, None], axis=1), np.take_along_axis(values, order, axis=1)
+        done = values[:, -1] - values[:, 0] < tolerance
+        if done.any():
+            found[left[done]] = points[done, 0]
+            left, points, values = left[~done], points[~done], values[~done]
+        if not len(left):
+            return found
+        worst, at_worst = points[:, -1].copy(), values[:, -1].copy()
+        middle = np.mean(points[:, :-1], axis=1)
+        far = middle + (middle - worst)
+        at_far = f(far, left)
+        points[:, -1], values[:, -1] = far, at_far
+        i = np.flatnonzero(at_far < values[:, 0])
+        further = middle[i] + 2 * (middle[i] - worst[i])
+        at_further = f(further, left[i])
+        better = at_further < at_far[i]
+        points[i[better], -1], values[i[better], -1] = further[better], at_further[better]
+        i = np.flatnonzero(~((at_far < values[:, 0]) | (at_far < values[:, -2])))
+        near = middle[i] + 0.5 * (np.where((at_far < at_worst)[i, None], far[i], worst[i]) - middle[i])
+        at_near = f(near, left[i])
+        better = at_near < np.minimum(at_far[i], at_worst[i])
+        points[i[better], -1], values[i[better], -1] = near[better], at_near[better]
+        i = i[~better]
+        points[i, -1] = worst[i]
+        points[i, 1:] = points[i, :1] + 0.5 * (points[i, 1:] - points[i, :1])
+        for j in range(1, wide + 1):
+            values[i, j] = f(points[i, j], left[i])
+    found[left] = points[np.arange(len(left)), np.argmin(values, axis=1)]
+    return found
+
+
+def simplex(f: Callable[[np.ndarray], float], start: np.ndarray) -> np.ndarray:
+    """One search of simplexes."""
+    return simplexes(lambda points, _: np.array([f(x) for x in points]), start[None])[0]
+
+
+def lgammas(x: np.ndarray) -> np.ndarray:
+    """math.lgamma of each number."""
+    return np.array([math.lgamma(v) for v in x.ravel().tolist()]).reshape(x.shape)
+
+
+def fit_betas(n: np.ndarray, sum_log: np.ndarray, sum_log1m: np.ndarray, default: tuple[float, float] = (2.5, 1680.0)) -> np.ndarray:
+    """Two columns of Beta parameters of greatest likelihood from counts and two sums of logarithms; within [0.01, 1e6]; the default
+    under three values. All fits go through the search together."""
+    out = np.tile(np.array(default), (len(n), 1))
+    some = np.flatnonzero(n >= 3)
+    count, one, other = n[some].astype(float), sum_log[some], sum_log1m[some]
+
+    def loss(t: np.ndarray, i: np.ndarray) -> np.ndarray:
+        a, b = np.exp(np.clip(t, -20, 20)).T
+        return -((a - 1) * one[i] + (b - 1) * other[i] - count[i] * (lgammas(a) + lgammas(b) - lgammas(a + b))) / count[i]
+
+    if len(some):
+        out[some] = np.clip(np.exp(np.clip(simplexes(loss, np.tile(np.log(np.array(default)), (len(some), 1))), -20, 20)), 0.01, 1e6)
+    return out
 
 
 def fit_beta(n: float, sum_log: float, sum_log1m: float, default: tuple[float, float] = (2.5, 1680.0)) -> tuple[float, float]:
-    """Beta parameters of greatest likelihood from the count and two sums of logarithms; within [0.01, 1e6]; default under three values."""
-    if n < 3:
-        return default
-
-    def loss(t: np.ndarray) -> float:
-        a, b = np.exp(np.clip(t, -20, 20))
-        return -((a - 1) * sum_log + (b - 1) * sum_log1m - n * (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))) / n
-
-    a, b = np.exp(np.clip(simplex(loss, np.log(np.array(default))), -20, 20))
-    return float(min(max(a, 0.01), 1e6)), float(min(max(b, 0.01), 1e6))
+    """One fit of fit_betas."""
+    a, b = fit_betas(np.array([n]), np.array([sum_log], float), np.array([sum_log1m], float), default)[0]
+    return float(a), float(b)
 
 
 Counts = tuple[list[float], list[int]]

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mitoloom.functions import stats as st
-from mitoloom.functions.numeric import fit_beta, fit_beta_binomial
+from mitoloom.functions.numeric import fit_beta_binomial, fit_betas
 from mitoloom.functions.special import binomial_quantile
 from mitoloom.operators import filters
-from mitoloom.operators.ordered import durable, every_nth
+from mitoloom.operators.ordered import dealt, durable, every_nth
 
 #: Beta-Binomial parameters where there is too little to fit.
 DEFAULT_SHAPE = (0.5, 0.2)
@@ -36,7 +35,7 @@ def histogram_divergence(calls: DataFrame, by: list[str], bins: int, a: Column |
 def background(calls: DataFrame, least_depth: int, least_quality: float) -> DataFrame:
     """(site key, n, error, alpha, beta): each site's background error over its one-allele samples, and its Beta fit.
 
-    The fit needs a count and two sums of logarithms, so a site travels as one row and the search runs over rows in Arrow batches.
+    The fit needs a count and two sums of logarithms, so a site travels as one row, and all sites of an Arrow batch are searched together.
     """
     error = F.lit(1.0) - F.col("af")
     ready = filters.background_ready(calls, least_depth, least_quality)
@@ -45,11 +44,11 @@ def background(calls: DataFrame, least_depth: int, least_quality: float) -> Data
 
     def fit(frames):
         for frame in frames:
-            fits = [fit_beta(k, a, b) for k, a, b in zip(frame["k"], frame["a"], frame["b"], strict=True)]
-            yield frame.assign(alpha=pd.Series([x for x, _ in fits], index=frame.index, dtype=float), beta=pd.Series([x for _, x in fits], index=frame.index, dtype=float))[["pos", "n", "error", "alpha", "beta"]]
+            fits = fit_betas(*(frame[c].to_numpy(float) for c in "kab"))
+            yield frame.assign(alpha=fits[:, 0], beta=fits[:, 1])[["pos", "n", "error", "alpha", "beta"]]
 
     kind = dict(sums.dtypes)["pos"]
-    return sums.mapInPandas(fit, f"pos {kind}, n long, error double, alpha double, beta double")
+    return dealt(sums, F.xxhash64("pos")).mapInPandas(fit, f"pos {kind}, n long, error double, alpha double, beta double")
 
 
 def evidence(calls: DataFrame, sites: DataFrame, least_depth: int, least_quality: float, level: float = 0.99) -> DataFrame:

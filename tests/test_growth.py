@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from mitoloom.plans import bottleneck
+from mitoloom.functions import numeric
+from mitoloom.plans import bottleneck, variant_qc
 
 
 def tasks(df):
@@ -21,3 +22,24 @@ def test_family_fits_run_in_several_tasks_and_equal_the_sum_over_rows(spark):
     for r in fits.collect():
         ll = lambda s, fam=r.fam: sum(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + math.lgamma(k + p * (s - 1)) + math.lgamma(n - k + (1 - p) * (s - 1)) - math.lgamma(n + s - 1) - math.lgamma(p * (s - 1)) - math.lgamma((1 - p) * (s - 1)) + math.lgamma(s - 1) for f, _, p, k, n in rows if f == fam)
         assert r.max_ll == pytest.approx(ll(r.ne), rel=1e-12) and all(ll(r.ne + d) <= r.max_ll + 1e-6 for d in (-0.05, 0.05) if 2 <= r.ne + d <= 40)
+
+
+def test_beta_fits_of_many_sites_go_together():
+    rng = np.random.default_rng(6)
+    samples = [rng.beta(*rng.uniform(0.3, 50, 2), rng.integers(0, 9)).clip(1e-9, 1 - 1e-9) for _ in range(300)]
+    n, one, other = np.array([len(x) for x in samples]), np.array([np.log(x).sum() for x in samples]), np.array([np.log1p(-x).sum() for x in samples])
+    fits = numeric.fit_betas(n, one, other)
+    assert (fits[n < 3] == (2.5, 1680.0)).all()
+    for i in range(300):
+        assert tuple(fits[i]) == numeric.fit_beta(n[i], one[i], other[i])
+        ll = lambda a, b, i=i: (a - 1) * one[i] + (b - 1) * other[i] - n[i] * (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+        assert n[i] < 3 or all(ll(*fits[i]) >= ll(fits[i][0] * x, fits[i][1] * y) - 1e-5 for x, y in ((1.1, 1), (0.9, 1), (1, 1.1), (1, 0.9)) if fits[i].max() < 9e5)
+    calls = []
+    numeric.simplexes(lambda points, which: calls.append(len(which)) or ((points - which[:, None]) ** 2).sum(axis=1), np.zeros((300, 2)))
+    assert len(calls) < 3000 < sum(calls)
+
+
+def test_background_is_fitted_in_several_tasks(spark):
+    calls = spark.range(4000).selectExpr("CAST(id % 500 AS INT) AS pos", "concat('s', id) AS sample", "0 AS idx", "100 AS ad", "100 AS dp", "0.99D - id / 1e5 AS af", "60.0D AS aq", "1L AS ploidy", "0.0D AS fs", "1.0D AS sor", "0 AS low", "0 AS high", "'A' AS allele")
+    sites = variant_qc.background(calls, 1, 0.0)
+    assert tasks(sites) > 1 and sites.count() == 500
