@@ -426,8 +426,8 @@ ALIGNED = "SELECT doc_id, unnest(string_split(replace(seq, 'e', '-'), '')) AS a,
 @query("jn21_alignment_columns", f"SELECT doc_id, CAST((576 + row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) % 16569 + 1 AS BIGINT) AS pos, a, b FROM ({ALIGNED}) WHERE a <> '-'")
 def _(v: Views) -> DataFrame:
     one, other = F.replace("seq", F.lit("e"), F.lit("-")), F.replace("seq", F.lit("a"), F.lit("-"))
-    rows = v.segments.select("doc_id", F.explode(annotate.alignment_columns(one, other, 577, 16569)).alias("x"))
-    return rows.select("doc_id", F.col("x.pos").cast("bigint").alias("pos"), F.col("x.one").alias("a"), F.col("x.other").alias("b"))
+    rows = annotate.alignment_columns(v.segments, one, other, 577, 16569, ["doc_id"])
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("one").alias("a"), F.col("other").alias("b"))
 
 
 @query("jn22_duplicate_children", "SELECT child, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(c_custkey % 400 AS STRING) AS child FROM customer) GROUP BY child HAVING count(*) > 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,11 +50,15 @@ def base_pairing(bases: DataFrame) -> DataFrame:
     return joined.withColumn("pairing", F.when(F.col("pair_base").isNull(), "loop").when(F.concat("base", "pair_base").isin(*PAIRS), "WC").otherwise("non-WC"))
 
 
-def alignment_columns(one: Column, other: Column, start: int, length: int) -> Column:
-    """array<struct<pos, one, other>> over the columns where ``one`` has no gap, numbered from ``start`` round ``length``."""
-    both = F.zip_with(F.split(one, ""), F.split(other, ""), lambda a, b: F.struct(a.alias("one"), b.alias("other")))
+def alignment_columns(rows: DataFrame, one: Column, other: Column, start: int, length: int, keep: Sequence[str] = ()) -> DataFrame:
+    """keep, pos, one, other: a row for each column where ``one`` has no gap, numbered from ``start`` round ``length``.
+
+    Places come from exploding and are numbered in generated code; only gaps are told by a function over the array.
+    """
+    both = F.arrays_zip(F.split(one, "").alias("one"), F.split(other, "").alias("other"))
     kept = F.filter(both, lambda x: (x["one"] != "-") & (x["one"] != ""))
-    return F.transform(kept, lambda x, i: F.struct((F.pmod(i + (start - 1), F.lit(length)) + 1).alias("pos"), x["one"].alias("one"), x["other"].alias("other")))
+    columns = rows.select(*keep, F.posexplode(kept).alias("__i", "__x"))
+    return columns.select(*keep, (F.pmod(F.col("__i") + (start - 1), F.lit(length)) + 1).alias("pos"), F.col("__x.one").alias("one"), F.col("__x.other").alias("other"))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, least: int) -> DataFrame:

@@ -214,8 +214,8 @@ def chimp(spark: SparkSession, folder: str) -> DataFrame:
     rows = text.lines(spark, f"{folder}/{FILES['chimp']}").select("line", F.split(F.trim("value"), " ").alias("f"))
     joined = lambda mark: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.startswith(F.get("f", F.lit(0)), F.lit(mark)), F.struct("line", F.get("f", F.lit(1)).alias("s"))))), lambda x: x["s"]), "")
     both = rows.agg(joined("[1]").alias("one"), joined("[2]").alias("other"))  # a genome of 16,569 bases
-    columns = both.select(F.explode(annotate.alignment_columns(F.col("one"), F.col("other"), ALIGNED_FROM, LENGTH)).alias("x"))
-    return columns.select("x.pos", F.col("x.one").alias("base"), F.col("x.other").alias("chimp_ref"))
+    columns = annotate.alignment_columns(both, F.col("one"), F.col("other"), ALIGNED_FROM, LENGTH)
+    return columns.select("pos", F.col("one").alias("base"), F.col("other").alias("chimp_ref"))
 
 
 #: Loaders by what their key is.

@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mitoloom.functions import numeric
+from mitoloom.operators import annotate
 from mitoloom.plans import bottleneck, variant_qc
 
 
@@ -43,3 +45,12 @@ def test_background_is_fitted_in_several_tasks(spark):
     calls = spark.range(4000).selectExpr("CAST(id % 500 AS INT) AS pos", "concat('s', id) AS sample", "0 AS idx", "100 AS ad", "100 AS dp", "0.99D - id / 1e5 AS af", "60.0D AS aq", "1L AS ploidy", "0.0D AS fs", "1.0D AS sor", "0 AS low", "0 AS high", "'A' AS allele")
     sites = variant_qc.background(calls, 1, 0.0)
     assert tasks(sites) > 1 and sites.count() == 500
+
+
+def test_alignment_columns_leave_gaps_out_and_go_round(spark):
+    """Places are numbered outside of functions over arrays, which are interpreted: one of those is left, for the gaps."""
+    rows = spark.createDataFrame([(1, "AC-GT", "A-TG"), (2, "", "A"), (3, "--", "AC"), (4, None, "A"), (5, "G", "TT")], "id int, x string, y string")
+    found = annotate.alignment_columns(rows, F.col("x"), F.col("y"), 4, 5, ["id"])
+    got = sorted((r.id, r.pos, r.one, r.other) for r in found.collect())
+    assert got == sorted([(1, 4, "A", "A"), (1, 5, "C", "-"), (1, 1, "G", "G"), (1, 2, "T", None), (5, 4, "G", "T")], key=lambda r: r[:2])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") == 1
