@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mitoloom.operators.ordered import running
+
 
 def mean_interval(rows: DataFrame, by: Sequence[str], value: str, z: float = 1.96) -> DataFrame:
     """by, n, mean, half (half the width of the mean's interval), low, high. One value has no width; null values take no part, and a
@@ -25,8 +28,25 @@ def summary(rows: DataFrame, by: Sequence[str], value: str, ident: str) -> DataF
 
 
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """by and q0, q1, ...: values at the shares, on the line between the two nearest."""
-    return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(float(s))).alias(f"q{i}") for i, s in enumerate(shares)])
+    """by and q0, q1, ...: values at the shares, on the line between the two nearest.
+
+    Equal values are counted first, and places come from counts carried over ranges of (by, value), so that no task holds a key.
+    """
+    counted = rows.groupBy(*by, F.col(value).cast("double").alias("__value")).agg(F.count(value).alias("__n"))
+    placed = running(counted, F.col("__n"), [F.col(c) for c in (*by, "__value")], "__to")
+    keys = [F.col(c).alias(f"__key{i}") for i, c in enumerate(by)]
+    ends = placed.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.min(F.col("__to") - F.col("__n")).alias("__start"))
+    same = reduce(lambda a, i: a & F.col(by[i]).eqNullSafe(F.col(f"__key{i}")), range(len(by)), F.lit(True))
+    to = F.col("__to") - F.col("__start")
+    at = lambda place: F.max(F.when((to - F.col("__n") <= place) & (place < to), F.col("__value")))
+    whole = [(F.col("__all") - 1) * F.lit(float(s)) for s in shares]
+    found = placed.join(ends, same).groupBy(*by).agg(*[x for i, p in enumerate(whole) for x in (at(F.floor(p)).alias(f"__l{i}"), at(F.ceil(p)).alias(f"__h{i}"), F.first(p).alias(f"__p{i}"))])
+
+    def between(i: int) -> Column:
+        low, high, p = F.col(f"__l{i}"), F.col(f"__h{i}"), F.col(f"__p{i}")
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+
+    return found.select(*by, *[between(i).alias(f"q{i}") for i in range(len(shares))])
 
 
 def duplicates(rows: DataFrame, key: Sequence[str]) -> DataFrame:

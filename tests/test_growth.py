@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mitoloom.functions import numeric
-from mitoloom.operators import annotate
+from mitoloom.operators import annotate, summaries
 from mitoloom.plans import bottleneck, variant_qc
 
 
@@ -54,3 +54,15 @@ def test_alignment_columns_leave_gaps_out_and_go_round(spark):
     got = sorted((r.id, r.pos, r.one, r.other) for r in found.collect())
     assert got == sorted([(1, 4, "A", "A"), (1, 5, "C", "-"), (1, 1, "G", "G"), (1, 2, "T", None), (5, 4, "G", "T")], key=lambda r: r[:2])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") == 1
+
+
+def test_quantiles_hold_no_key_in_one_task(spark):
+    """Keys with ties, nulls and one value, against values sorted whole."""
+    rng = np.random.default_rng(9)
+    values = [("a", float(x)) for x in rng.integers(0, 900, 5000) / 7] + [(None, float(x)) for x in rng.normal(size=1001)] + [("b", 2.0), ("b", None), ("c", None)]
+    found = summaries.quantiles(spark.createDataFrame(values, "k string, x double"), ["k"], "x", [0.0, 0.025, 0.5, 0.975, 1.0])
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: list(r)[1:] for r in found.collect()}
+    assert got.keys() == {"a", "b", "c", None} and got["b"] == [2.0] * 5 and got["c"] == [None] * 5
+    for k in ("a", None):
+        assert got[k] == pytest.approx(np.quantile([x for i, x in values if i == k], [0.0, 0.025, 0.5, 0.975, 1.0]).tolist(), rel=1e-12)
