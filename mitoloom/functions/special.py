@@ -142,6 +142,20 @@ def _binomial_quantile(n: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series(binomial_quantiles(q.to_numpy(float), n.to_numpy(float), p.to_numpy(float)))
 
 
+@F.pandas_udf(DoubleType())
+def log_beta_share(k: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """ln (B(k + a, n - k + b) / B(a, b)); null unless 0 <= k <= n and n, a, b > 0.
+
+    As columns, its six gamma functions make code that Java does not compile, row by row slower than Arrow batches.
+    """
+    k, n, a, b = (x.to_numpy(float) for x in (k, n, a, b))
+    out = np.full(len(k), np.nan)
+    known = (k >= 0) & (k <= n) & (n > 0) & (a > 0) & (b > 0)
+    k, n, a, b = k[known], n[known], a[known], b[known]
+    out[known] = lgamma(k + a) + lgamma(n - k + b) - lgamma(n + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b)
+    return pd.Series(out)
+
+
 def chi2_tail(x: Column, df: Column) -> Column:
     """The upper tail of chi squared with any degrees of freedom; 1 for statistics that are not positive, null for null ones."""
     return F.when(x.isNotNull() & df.isNotNull(), _chi2_tail(F.coalesce(x.cast("double"), F.lit(0.0)), F.coalesce(df.cast("double"), F.lit(1.0))))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mitoloom.functions import stats as st
 from mitoloom.functions.numeric import fit_beta_binomial, fit_betas
-from mitoloom.functions.special import binomial_quantile
+from mitoloom.functions.special import binomial_quantile, log_beta_share
 from mitoloom.operators import filters
 from mitoloom.operators.ordered import dealt, durable, every_nth
 
@@ -60,7 +58,7 @@ def evidence(calls: DataFrame, sites: DataFrame, least_depth: int, least_quality
     sample = Window.partitionBy("pos", "sample")
     sure = calls.withColumns({"__q": F.min("aq").over(sample), "__top": F.max("idx").over(sample)}).where((F.col("__q") >= least_quality) & (F.col("__top") > 0) & (F.col("dp") >= least_depth))
     rows = sure.where("idx > 0").join(sites.select("pos", "error"), "pos")
-    bounds = rows.select("dp", "error").distinct().withColumn("__most", binomial_quantile(F.col("dp"), F.col("error"), F.lit(level)))
+    bounds = dealt(rows.select("dp", "error").distinct(), F.xxhash64("dp", "error")).withColumn("__most", binomial_quantile(F.col("dp"), F.col("error"), F.lit(level)))
     return rows.join(bounds, ["dp", "error"]).where(F.col("ad") > F.col("__most")).select(*calls.columns)
 
 
@@ -115,17 +113,17 @@ def quality_control(calls: DataFrame, *, least_depth: int = 100, least_quality:
     numbers = ["ad", "dp", "af", "aq", "srf"]
     missing = F.max(F.coalesce(*[F.when(F.col(c).isNull(), 1) for c in numbers], F.lit(0))).over(sample) > 0
     k, n = F.col("ad").cast("double"), F.col("dp").cast("double")
-    error = st.log_beta(k + F.col("alpha"), n - k + F.col("beta")) - st.log_beta(F.col("alpha"), F.col("beta"))
+    error = log_beta_share(k, n, F.col("alpha"), F.col("beta"))
     known = ~F.col("pre_filtered") & (n > 0) & (k >= 0) & (k <= n)
     joined = calls.join(sites.select("pos", "error", "alpha", "beta"), "pos").withColumn("pre_filtered", missing)
     rows = durable(joined.withColumns({"log_error": F.when(known, error), "lowest": F.lit(1.0), "mutation": F.lit(False)}))
     total = rows.select("pos", "sample").distinct().count()
     sure = F.when(F.col("aq") < least_quality, 1 / (1 + F.exp(10 * (F.lit(float(least_quality)) - F.col("aq"))))).otherwise(F.lit(1.0))
     weight = F.ln(sure * F.col("srf") + 1e-12)
-    shape = _shape(balanced(evidence(rows.where("NOT pre_filtered").select(*calls.columns), sites, least_depth, least_quality))) or DEFAULT_SHAPE
+    shape = _shape(balanced(durable(evidence(rows.where("NOT pre_filtered").select(*calls.columns), sites, least_depth, least_quality)))) or DEFAULT_SHAPE
     for turn in range(rounds):
         a, b = shape
-        mutation = st.log_beta(k + a, n - k + b) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)) + weight
+        mutation = log_beta_share(k, n, F.lit(float(a)), F.lit(float(b))) + weight
         scored = rows.withColumn("pp", F.when(F.col("log_error").isNotNull(), st.posterior(F.col("log_error"), mutation, prior)).otherwise(F.lit(0.0)))
         flagged = scored.withColumns({"before": F.col("mutation"), "lowest": F.least("lowest", "pp"), "mutation": F.max("pp").over(sample) > least_posterior})
         rows = durable(flagged)

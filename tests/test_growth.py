@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mitoloom.functions import numeric
+from mitoloom.functions import numeric, special
 from mitoloom.operators import annotate, summaries
 from mitoloom.plans import bottleneck, variant_qc
 
@@ -66,3 +66,12 @@ def test_quantiles_hold_no_key_in_one_task(spark):
     assert got.keys() == {"a", "b", "c", None} and got["b"] == [2.0] * 5 and got["c"] == [None] * 5
     for k in ("a", None):
         assert got[k] == pytest.approx(np.quantile([x for i, x in values if i == k], [0.0, 0.025, 0.5, 0.975, 1.0]).tolist(), rel=1e-12)
+
+
+def test_log_beta_share_equals_gamma_functions_and_loop_holds_none(spark):
+    """The quality control's scores come in Arrow batches: as columns they make code too long to be compiled."""
+    rows = [(3.0, 10.0, 0.5, 20.0), (0.0, 7.0, 2.0, 0.2), (7.0, 7.0, 1e3, 1e-2), (8.0, 7.0, 1.0, 1.0), (None, 7.0, 1.0, 1.0), (0.0, 0.0, 1.0, 1.0), (600.0, 90000.0, 0.01, 1e6)]
+    got = [r.x for r in spark.createDataFrame(rows, "k double, n double, a double, b double").select(special.log_beta_share("k", "n", "a", "b").alias("x")).collect()]
+    g = math.lgamma
+    want = [g(k + a) + g(n - k + b) - g(n + a + b) - g(a) - g(b) + g(a + b) if k is not None and k <= n and n else None for k, n, a, b in rows]
+    assert [x is None for x in got] == [x is None for x in want] and all(x is None or x == pytest.approx(y, rel=1e-9, abs=1e-9) for x, y in zip(got, want, strict=True))
