@@ -231,6 +231,22 @@ def test_one_changed_letter_is_linked_at_every_length(spark):
     assert min(recall.values()) >= 0.95
 
 
+def test_fingerprints_are_compiled_and_no_pair_is_compared_twice(spark, monkeypatch):
+    lines = [f"one two three four five six seven eight nine {w}" for w in ("ten", "tan", "tin", "ton", "tun")] + ["a b c", "a b d"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    plan = ld.fingerprints(ld.lines_of(df, "text"))._jdf.queryExecution().sparkPlan()
+    assert "lambdafunction" not in plan.toString()
+    stages = spark.newSession()
+    stages.conf.set("spark.sql.adaptive.enabled", "false")
+    whole = ld.fingerprints(ld.lines_of(stages.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "text"))
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(whole._jdf.queryExecution().executedPlan())
+    assert code.size() and all(code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size()))  # what the JVM compiles
+    seen, verified = [], ld.verified
+    monkeypatch.setattr(ld, "verified", lambda pairs, *rest: seen.extend((min(r), max(r)) for r in pairs.select("u", "v").collect()) or verified(pairs, *rest))
+    assert {r.group_doc_id for r in ld.line_groups(df).collect() if r.doc_id < 5} == {0}
+    assert seen and len(seen) == len(set(seen))
+
+
 def test_query_groups_equal_lines_of_any_length(spark, tmp_path):
     from mitoloom.llm import registry
 
