@@ -1,5 +1,6 @@
 """Near-duplicate operators against brute force."""
 
+import os
 import random
 from itertools import combinations
 
@@ -9,6 +10,7 @@ import pytest
 
 from mitoloom.llm import jaccard_join as jj
 from mitoloom.llm import line_dedup as ld
+from mitoloom.llm import shared
 from mitoloom.llm.components import connected_components
 from mitoloom.llm.signature_tree import Sets, linked_groups
 from mitoloom.llm.words import shingle_sets
@@ -255,3 +257,15 @@ def test_query_groups_equal_lines_of_any_length(spark, tmp_path):
     got = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no) for r in registry.op1_line_dedup(spark, str(tmp_path)).collect()}
     moved = {(1, 0): (0, 0), (1, 2): (0, 1), (2, 0): (0, 2), (3, 0): (2, 1)}
     assert got == {(d, n): moved.get((d, n), (d, n)) for d, t in enumerate(texts) for n in range(t.count("\n") + 1)}
+
+
+def test_tables_of_finished_steps_are_deleted(spark, monkeypatch):
+    folders, make = [], shared.new_folder
+    monkeypatch.setattr(shared, "new_folder", lambda session, name: folders.append(make(session, name)) or folders[-1])
+    rng = random.Random(9)
+    words = [rng.choices([f"w{i}" for i in range(300)], k=30) for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join([*w[:-1], "x"])) for i, w in enumerate(words)]
+    got = {r.doc_id: r.group_doc_id for r in ld.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+    left = {f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in folders if os.path.exists(f.removeprefix("file://"))}
+    assert {"lines", "fingerprints", "blocks", "unique", "texts"} == {f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in folders} and left == {"lines", "unique"}
