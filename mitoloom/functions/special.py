@@ -1,4 +1,5 @@
-"""Incomplete gamma and beta functions over arrays, and what follows from them: tails of chi squared, binomial sums and quantiles."""
+"""Incomplete gamma and beta functions over arrays, and what follows from them: tails of chi squared, of binomials and of two by two
+tables, and quantiles."""
 
 from __future__ import annotations
 
@@ -132,6 +133,43 @@ def binomial_quantiles(q: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
+def table_walks(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, *, up: bool, most: float = math.inf) -> np.ndarray:
+    """Sums of q over the tables with the margins of [[a, b], [c, d]] beside it, of larger first cells or smaller ones.
+
+    q is a table's probability over that of the given one; those above ``most`` are left out. Each step multiplies q by the ratio of
+    two neighbours' probabilities for all tables that have not ended; NaN where a count is missing.
+    """
+    total = np.zeros(len(a))
+    steps = np.minimum(b, c) if up else np.minimum(a, d)
+    left = np.flatnonzero(steps > 0)
+    k, row, column, rest, q = a[left], (a + b)[left], (a + c)[left], (d - a)[left], np.ones(len(left))
+    ends = a[left] + (steps[left] if up else -steps[left])
+    while len(left):
+        q = q * ((row - k) * (column - k) / ((k + 1) * (rest + k + 1)) if up else k * (rest + k) / ((row - k + 1) * (column - k + 1)))
+        k = k + (1 if up else -1)
+        total[left] += np.where(q <= most, q, 0.0)
+        going = (k != ends) & (q > 0)
+        if not going.all():
+            left, k, row, column, rest, q, ends = (x[going] for x in (left, k, row, column, rest, q, ends))
+    return total
+
+
+def table_tails(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, tail: str) -> np.ndarray:
+    """Probability, among the tables with the margins of [[a, b], [c, d]], of those that are ``no likelier`` (slack 1e-8), or of a first
+    cell of a or ``less``, or a or ``greater``; NaN where a count is missing or negative."""
+    sound = (a >= 0) & (b >= 0) & (c >= 0) & (d >= 0)
+    out = np.full(len(a), np.nan)
+    a, b, c, d = a[sound], b[sound], c[sound], d[sound]
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    observed = np.exp(choose(a + b, a) + choose(c + d, c) - choose(a + b + c + d, a + c))
+    beside = np.ones(len(a))
+    for up, kind in ((True, "greater"), (False, "less")):
+        if tail in ("no likelier", kind):
+            beside = beside + table_walks(a, b, c, d, up=up, most=1 + 1e-8 if tail == "no likelier" else math.inf)
+    out[sound] = observed * beside
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def _chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(gamma_tail(df.to_numpy(float) / 2, x.to_numpy(float) / 2))

@@ -1,4 +1,4 @@
-"""Statistics as Column expressions, so that they stay inside code generation (but for one sum, in Arrow batches); each has a plain SQL twin in the catalog."""
+"""Statistics as Column expressions, so that they stay inside code generation (but for sums of many terms, in Arrow batches); each has a plain SQL twin in the catalog."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from mitoloom.functions import numeric
+from mitoloom.functions import numeric, special
 
 #: Stands for an infinite Phred value or odds ratio.
 INFINITE = 10_000.0
@@ -88,51 +88,38 @@ def proportion_interval(k: Column, n: Column, level: float = 0.95) -> tuple[Colu
     return F.greatest(F.lit(0.0), center - half), F.least(F.lit(1.0), center + half)
 
 
-def _table(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column, Column]:
-    """(smallest first cell, largest, start of a walk, probability) of [[a, b], [c, d]] among the tables with its margins.
+@F.pandas_udf(DoubleType())
+def _two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series(special.table_tails(*(x.to_numpy(float) for x in (a, b, c, d)), "no likelier"))
 
-    A walk holds q, the probability of the table it stands at over that of the observed one, the sum so far, and the margins.
-    """
-    row, column, total = (x.cast("double") for x in (a + b, a + c, a + b + c + d))
-    low, high = F.greatest(F.lit(0), a - d), F.least(a + b, a + c)
-    first = a.cast("double")
-    log = log_choose(row, first) + log_choose(total - row, column - first) - log_choose(total, column)
-    start = F.struct(F.lit(1.0).alias("q"), F.lit(0.0).alias("s"), row.alias("row"), column.alias("column"), (total - row - column).alias("rest"))
-    return low, high, start, F.exp(log)
 
+@F.pandas_udf(DoubleType())
+def _less(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series(special.table_tails(*(x.to_numpy(float) for x in (a, b, c, d)), "less"))
 
-def _walk(cells: Column, start: Column, up: bool, most: float | None) -> Column:
-    """Sum of q over the tables next to the given cells, one step on; with ``most``, only of those that are no larger.
 
-    Each step multiplies q by the ratio of two neighbouring tables' probabilities, which is 0 beyond the last one.
-    """
+@F.pandas_udf(DoubleType())
+def _greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series(special.table_tails(*(x.to_numpy(float) for x in (a, b, c, d)), "greater"))
 
-    def step(acc: Column, k: Column) -> Column:
-        k, kept = k.cast("double"), [acc[x].alias(x) for x in ("row", "column", "rest")]
-        up_ratio = (acc["row"] - k) * (acc["column"] - k) / ((k + 1) * (acc["rest"] + k + 1))
-        q = acc["q"] * (up_ratio if up else k * (acc["rest"] + k) / ((acc["row"] - k + 1) * (acc["column"] - k + 1)))
-        more = q if most is None else F.when(q <= most, q).otherwise(F.lit(0.0))
-        return F.struct(q.alias("q"), (acc["s"] + more).alias("s"), *kept)
 
-    return F.aggregate(cells, start, step, lambda acc: acc["s"])
+def _tail(kind, *cells: Column) -> Column:
+    """A tail of the tables with these margins, summed in Arrow batches for all rows step by step; 1 where a cell is null."""
+    return F.least(F.lit(1.0), kind(*(x.cast("double") for x in cells)))
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Sum over tables with these margins that are no more probable than the observed one (slack 1e-8)."""
-    low, high, start, observed = _table(a, b, c, d)
-    most = 1 + 1e-8
-    return F.least(F.lit(1.0), observed * (F.lit(1.0) + _walk(F.sequence(a, high), start, True, most) + _walk(F.sequence(a, low), start, False, most)))
+    return _tail(_two_sided, a, b, c, d)
 
 
 def fisher_less(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Probability of a first cell of ``a`` or less."""
-    low, _, start, observed = _table(a, b, c, d)
-    return F.least(F.lit(1.0), observed * (F.lit(1.0) + _walk(F.sequence(a, low), start, False, None)))
+    return _tail(_less, a, b, c, d)
 
 
 def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
-    _, high, start, observed = _table(a, b, c, d)
-    return F.least(F.lit(1.0), observed * (F.lit(1.0) + _walk(F.sequence(a, high), start, True, None)))
+    return _tail(_greater, a, b, c, d)
 
 
 def phred(p: Column) -> Column:

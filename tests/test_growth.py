@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mitoloom.functions import numeric, special
 from mitoloom.operators import annotate, summaries
-from mitoloom.plans import bottleneck, variant_qc
+from mitoloom.plans import bottleneck, caller, variant_qc
 
 
 def tasks(df):
@@ -75,3 +75,19 @@ def test_log_beta_share_equals_gamma_functions_and_loop_holds_none(spark):
     g = math.lgamma
     want = [g(k + a) + g(n - k + b) - g(n + a + b) - g(a) - g(b) + g(a + b) if k is not None and k <= n and n else None for k, n, a, b in rows]
     assert [x is None for x in got] == [x is None for x in want] and all(x is None or x == pytest.approx(y, rel=1e-9, abs=1e-9) for x, y in zip(got, want, strict=True))
+
+
+def test_fisher_of_calls_is_summed_in_batches_and_equals_the_sum_over_tables(spark):
+    assert isinstance(special.table_tails(*np.array([[3.0], [1.0], [2.0], [9.0]]), "less"), np.ndarray)
+    rng = np.random.default_rng(2)
+    cells = np.concatenate([rng.integers(0, 40, (200, 4)), [[0, 0, 0, 0], [5, 0, 0, 0], [0, 7, 3, 0], [900, 2000, 700, 1500]]])
+    for tail in ("no likelier", "less", "greater"):
+        got = special.table_tails(*cells.T.astype(float), tail)
+        for (a, b, c, d), p in zip(cells.tolist(), got.tolist(), strict=True):
+            log = lambda k, a=a, b=b, c=c, d=d: math.lgamma(a + b + 1) - math.lgamma(k + 1) - math.lgamma(a + b - k + 1) + math.lgamma(c + d + 1) - math.lgamma(a + c - k + 1) - math.lgamma(d - a + k + 1) - math.lgamma(a + b + c + d + 1) + math.lgamma(a + c + 1) + math.lgamma(b + d + 1)
+            chosen = [math.exp(log(k)) for k in range(max(0, a - d), min(a + b, a + c) + 1) if {"no likelier": log(k) <= log(a) + 1e-8, "less": k <= a, "greater": k >= a}[tail]]
+            assert p == pytest.approx(sum(chosen), rel=1e-8)
+    assert np.isnan(special.table_tails(*np.array([[np.nan], [1.0], [2.0], [9.0]]), "less")).all()
+    calls = spark.createDataFrame([("A", "G", "A", 30, 100, 0.3, 10, 20, 70, 40, 30)], "ref string, allele string, major string, ad int, dp int, af double, fwd int, rev int, major_ad int, major_fwd int, major_rev int")
+    plan = caller.with_statistics(calls)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(sequence" not in plan
