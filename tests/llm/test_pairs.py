@@ -269,3 +269,24 @@ def test_tables_of_finished_steps_are_deleted(spark, monkeypatch):
     assert got == {i: i % 100 for i, _ in rows}
     left = {f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in folders if os.path.exists(f.removeprefix("file://"))}
     assert {"lines", "fingerprints", "blocks", "unique", "texts"} == {f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in folders} and left == {"lines", "unique"}
+
+
+def test_shuffles_of_labelling_are_freed_once_it_ends(spark, monkeypatch):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    left, free = [], shared.free_finished
+    shared.free_finished(spark, turns=3)
+
+    def counted(session, **options):
+        free(session, **options)
+        if len(left) < 7:
+            left.append(files())
+            for _ in range(3):
+                free(session)
+            left[-1] -= files()
+
+    monkeypatch.setattr(ld, "free_finished", counted)
+    rng = random.Random(9)
+    words = [rng.choices([f"w{i}" for i in range(300)], k=30) for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join([*w[:-1], "x"])) for i, w in enumerate(words)]
+    assert {r.doc_id: r.group_doc_id for r in ld.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i % 100 for i, _ in rows}
+    assert left[6] == 0, left  # behind the labelling of blocks
