@@ -274,7 +274,8 @@ def test_tables_of_finished_steps_are_deleted(spark, monkeypatch):
 def test_shuffles_of_labelling_are_freed_once_it_ends(spark, monkeypatch):
     files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
     left, free = [], shared.free_finished
-    shared.free_finished(spark, turns=3)
+    for _ in range(3):
+        shared.free_finished(spark)
 
     def counted(session, **options):
         free(session, **options)
